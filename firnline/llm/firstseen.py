@@ -1,0 +1,336 @@
+"""Which windows of a corpus have been seen before: the common part of the two substring removers.
+
+Documents, in the order of doc_id, are cut into shards, each one row of a table in the shared folder. Every window (a
+fixed number of consecutive elements of one document) has an anchor, a place in it that depends on its content alone.
+Neighbouring windows with one anchor are an occurrence, with a key K (what is at the anchor) and a content C (all
+elements of its windows). Per shard, the distinct (K, C) go to the reducer of K's bucket as a sorted run; there the runs
+are merged by binary search, and each shard learns of its own records whether C is in an earlier shard, and whether K
+has several contents anywhere. An occurrence whose C came earlier is repeated as a whole; one whose K has a single
+content is new as a whole. Only for the first occurrence of each C with a contested K do the windows themselves make
+the same trip.
+
+What travels is pre-aggregated by shard, so a passage in a third of all documents costs a record for each shard.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import storage
+from . import textbytes as tb
+
+
+@dataclass
+class Sequence:
+    """Elements of a shard's documents. end[i] is where the document of element i ends; owner[i] its rank by doc_id."""
+
+    prefix: np.ndarray
+    offsets: np.ndarray
+    rank: np.ndarray
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return tb.segments(self.prefix, start, end)
+
+    def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every window's start, and its document."""
+        n = np.maximum(0, np.diff(self.offsets) - window + 1)
+        return tb.row_ranges(self.offsets[:-1], n), np.repeat(np.arange(len(n)), n)
+
+
+def sequence(values: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> Sequence:
+    up, _ = tb.powers(len(values) + 1)
+    c = np.empty(len(values) + 1, np.uint64)
+    c[0] = 0
+    np.cumsum(values * up[: len(values)], out=c[1:])
+    return Sequence(c, offsets, rank)
+
+
+@dataclass
+class Occurrences:
+    """Runs of windows with one anchor: first start, one past the last, document, anchor's key, content."""
+
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    content: np.ndarray
+
+
+def occurrences(seq: Sequence, start: np.ndarray, doc: np.ndarray, anchor: np.ndarray, key_of, window: int) -> Occurrences:
+    """anchor: a value for each window that differs between places; key_of(first windows) gives (key, place)."""
+    if not len(start):
+        z = np.zeros(0, np.int64)
+        return Occurrences(z, z, z, z.astype(np.uint64), z.astype(np.uint64))
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    low, high = start[at], start[np.append(at[1:], len(start)) - 1] + 1
+    key, place = key_of(at)
+    content = tb.mix(seq.hash(low, high + window - 1) ^ tb.mix((place - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64)))
+    return Occurrences(low, high, doc[at], key, content)
+
+
+def _first(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the least `order` of each, and where each value is among them."""
+    unique, inverse = np.unique(values, return_inverse=True)
+    least = np.full(len(unique), np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, order)
+    return unique, least, inverse
+
+
+# ---- shards ------------------------------------------------------------------------------------------------------------
+SHARD = "shard long, ids binary, nulls binary, ends binary, text binary"
+
+
+def shards(docs: DataFrame, size: int = 4 << 20) -> tuple[DataFrame, int]:
+    """The shard table, and the number of bytes in it. Rows of one doc_id are in one shard; nulls come first."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (4 * size)))
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        number, at = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[pa.Array, pa.Array]] = []
+        held_bytes, last = 0, None
+
+        def row():
+            nonlocal held, held_bytes, at
+            ids = pa.concat_arrays([h[0] for h in held])
+            buf, offsets = tb.text_bytes(pa.concat_arrays([h[1].cast(pa.large_string()) for h in held]))
+            nulls = np.asarray(ids.is_null())
+            out = [[number + at], [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], [np.packbits(nulls).tobytes()], [offsets.astype("<i8").tobytes()], [buf.tobytes()]]
+            held, held_bytes, at = [], 0, at + 1
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["shard", "ids", "nulls", "ends", "text"])
+
+        for batch in batches:
+            ids, text = batch.column(0), batch.column(1)
+            _, offsets = tb.text_bytes(text)
+            change = np.ones(len(ids), bool)
+            filled = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            change[1:] = filled[1:] != filled[:-1]
+            if len(ids):
+                change[0] = last is None or filled[0] != last
+                last = filled[-1]
+            begun = 0
+            for i in np.flatnonzero(change).tolist():
+                if held_bytes + offsets[i] - offsets[begun] >= size:
+                    if i > begun:
+                        held.append((ids.slice(begun, i - begun), text.slice(begun, i - begun)))
+                    if held:
+                        yield row()
+                    begun = i
+            if begun < len(ids):
+                held.append((ids.slice(begun), text.slice(begun)))
+                held_bytes += int(offsets[-1] - offsets[begun])
+        if held:
+            yield row()
+
+    packed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(pack, SHARD)
+    # bucketed, so that replies come to the shards and the texts stay where they are
+    name = "firnline_" + storage.path(spark, "shards").rpartition("/")[2].replace("-", "_")
+    buckets = max(1, min(4096, -(-total // (8 * size))))
+    packed.write.bucketBy(buckets, "shard").option("path", storage.path(spark, "shards")).saveAsTable(name)
+    return spark.table(name), int(total)
+
+
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, nulls, offsets, bytes, and each document's rank by doc_id."""
+    ids = np.frombuffer(row["ids"], "<i8")
+    nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8))[: len(ids)].astype(bool)
+    change = np.ones(len(ids), np.int64)
+    change[1:] = (ids[1:] != ids[:-1]) | (nulls[1:] != nulls[:-1])
+    return ids, nulls, np.frombuffer(row["ends"], "<i8"), np.frombuffer(row["text"], np.uint8), np.cumsum(change) - 1
+
+
+# ---- what travels -----------------------------------------------------------------------------------------------------
+RECORD = np.dtype([("k", "<u4"), ("c", "<u8")])
+
+
+def records(occ: Occurrences, buckets: int):
+    """Bucket of each occurrence and its record, the distinct records in order, and where each occurrence's is."""
+    bucket = ((occ.key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    k = (occ.key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort([occ.content, k, bucket])
+    b, kk, c = bucket[order], k[order], occ.content[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (b[1:] != b[:-1]) | (kk[1:] != kk[:-1]) | (c[1:] != c[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    one = np.empty(int(new.sum()), RECORD)
+    one["k"], one["c"] = kk[new], c[new]
+    return b[new], one, place
+
+
+def _runs(bucket: np.ndarray, payload: np.ndarray):
+    """(bucket, bytes) of each stretch of one bucket."""
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for a, e in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+        yield int(bucket[a]), payload[a:e].tobytes()
+
+
+def merge(table: pa.Table) -> pa.Table:
+    """Reducer of occurrences: two bits for each record: C is in an earlier shard; K has several contents."""
+    table = table.sort_by("shard")
+    runs = [np.frombuffer(x.as_buffer(), RECORD) for x in table.column("run").combine_chunks()]
+    k, c = np.concatenate([r["k"] for r in runs]), np.concatenate([r["c"] for r in runs])
+    which = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    contents, at = np.unique(c, return_index=True)  # the first place is in the earliest run
+    first = which[at]
+    pairs = np.unique(np.column_stack([k.astype(np.uint64), c]), axis=0) if len(k) < 2 else None
+    if pairs is None:
+        order = np.lexsort([c, k])
+        ks, cs = k[order], c[order]
+        new = np.append(True, (ks[1:] != ks[:-1]) | (cs[1:] != cs[:-1]))
+        ks = ks[new]
+    else:
+        ks = pairs[:, 0].astype(np.uint32)
+    keys, contested = np.unique(ks, return_counts=True)
+    out = []
+    for i, r in enumerate(runs):
+        earlier = first[np.searchsorted(contents, r["c"])] < i
+        several = contested[np.searchsorted(keys, r["k"])] > 1
+        out.append(np.packbits(np.concatenate([earlier, several])).tobytes())
+    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+
+
+def merge_windows(table: pa.Table) -> pa.Table:
+    """Reducer of windows: a bit for each hash: it is in an earlier shard."""
+    table = table.sort_by("shard")
+    runs = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("run").combine_chunks()]
+    which = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+    hashes, at = np.unique(np.concatenate(runs), return_index=True)
+    first = which[at]
+    out = [np.packbits(first[np.searchsorted(hashes, r)] < i).tobytes() for i, r in enumerate(runs)]
+    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+
+
+def _reply(bucket: np.ndarray, replies, rows: int) -> np.ndarray:
+    """Bits of all records, by record; rows: bits for each."""
+    bits = np.zeros((rows, len(bucket)), bool)
+    by = {r["bucket"]: r["bits"] for r in replies or ()}
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    for a, e in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+        n = e - a
+        bits[:, a:e] = np.unpackbits(np.frombuffer(by[int(bucket[a])], np.uint8))[: rows * n].reshape(rows, n)
+    return bits
+
+
+class Finder:
+    """Finds the windows that have been seen before. A subclass gives the elements of a shard and the anchors.
+
+    within: whether an earlier start in the same document counts as well.
+    """
+
+    window = 0
+    within = False
+    share = 12 << 20  # bytes of text for each bucket
+
+    def elements(self, buf: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> Sequence:
+        raise NotImplementedError
+
+    def anchored(self, seq: Sequence, start: np.ndarray, doc: np.ndarray) -> Occurrences:
+        raise NotImplementedError
+
+    def classes(self, seq: Sequence, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows that start at `start`: numbers that are equal for equal windows, and a hash of each."""
+        raise NotImplementedError
+
+    def output(self, row: dict, seq: Sequence, covered: np.ndarray):
+        raise NotImplementedError
+
+    schema = ""
+
+    # order of windows: by document, or by place
+    def _order(self, seq: Sequence, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return start if self.within else seq.rank[doc]
+
+    def _state(self, row: dict):
+        ids, nulls, offsets, buf, rank = unpack(row)
+        seq = self.elements(buf, offsets, rank)
+        start, doc = seq.starts(self.window)
+        return buf, seq, self.anchored(seq, start, doc)
+
+    def _resolve(self, seq: Sequence, occ: Occurrences, buckets: int, replies):
+        """Of each occurrence: seen before as a whole; to be taken apart, as the first of its content."""
+        bucket, one, place = records(occ, buckets)
+        earlier, several = _reply(bucket, replies, 2)[:, place] if len(place) else np.zeros((2, 0), bool)
+        order = self._order(seq, occ.doc, occ.low)
+        _, least, at = _first(occ.content, order)
+        seen = earlier | (least[at] < order)
+        return seen, several & ~seen
+
+    def _windows(self, seq: Sequence, buf: np.ndarray, occ: Occurrences, open_: np.ndarray, buckets: int):
+        """Windows of the open occurrences: start, seen before in this shard, and the records that travel."""
+        at = np.flatnonzero(open_)
+        n = occ.high[at] - occ.low[at]
+        start, doc = tb.row_ranges(occ.low[at], n), np.repeat(occ.doc[at], n)
+        number, h = self.classes(seq, buf, start)
+        order = self._order(seq, doc, start)
+        _, least, place = _first(number, order)
+        hashes = np.zeros(len(least), np.uint64)
+        hashes[place] = h
+        bucket = (tb.mix(hashes + tb.BASE) % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort([hashes, bucket])
+        to = np.empty(len(by), np.int64)
+        to[by] = np.arange(len(by))
+        return start, least[place] < order, bucket[by], hashes[by], to[place]
+
+    def run(self, docs: DataFrame) -> DataFrame:
+        table, total = shards(docs)
+        buckets = max(1, -(-total // self.share))
+        run_schema = "shard long, bucket long, run binary"
+        names = ["shard", "ids", "nulls", "ends", "text"]
+        spark = docs.sparkSession
+
+        def emit(found):
+            rows = list(found)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "bucket", "run"])
+
+        def each(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield batch.slice(i, 1).to_pylist()[0]
+
+        def level1(batches):
+            for row in each(batches):
+                _, seq, occ = self._state(row)
+                bucket, one, _ = records(occ, buckets)
+                yield emit((row["shard"], b, x) for b, x in _runs(bucket, one))
+
+        def level2(batches):
+            for row in each(batches):
+                buf, seq, occ = self._state(row)
+                _, open_ = self._resolve(seq, occ, buckets, row["replies"])
+                _, _, bucket, hashes, _ = self._windows(seq, buf, occ, open_, buckets)
+                yield emit((row["shard"], b, x) for b, x in _runs(bucket, hashes))
+
+        def level3(batches):
+            for row in each(batches):
+                buf, seq, occ = self._state(row)
+                seen, open_ = self._resolve(seq, occ, buckets, row["replies"])
+                start, local, bucket, hashes, place = self._windows(seq, buf, occ, open_, buckets)
+                again = local | _reply(bucket, row["replies2"], 1)[0][place] if len(place) else np.zeros(0, bool)
+                edge = np.zeros(len(seq.prefix) + 1, np.int32)
+                np.add.at(edge, occ.low[seen], 1)
+                np.add.at(edge, occ.high[seen] - 1 + self.window, -1)
+                np.add.at(edge, start[again], 1)
+                np.add.at(edge, start[again] + self.window, -1)
+                yield from self.output(row, seq, np.cumsum(edge)[: len(seq.prefix) - 1] > 0)
+
+        def by_shard(replies, name):
+            return replies.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+
+        reply_schema = "shard long, bucket long, bits binary"
+        first = storage.keep(table.select(*names).mapInArrow(level1, run_schema).groupBy("bucket").applyInArrow(merge, reply_schema), "replies")
+        mine = by_shard(first, "replies")
+        second = storage.keep(table.join(mine, "shard", "left").select(*names, "replies").mapInArrow(level2, run_schema).groupBy("bucket").applyInArrow(merge_windows, reply_schema), "replies")
+        both = table.join(mine, "shard", "left").join(by_shard(second, "replies2"), "shard", "left").select(*names, "replies", "replies2")
+        return both.mapInArrow(level3, self.schema)

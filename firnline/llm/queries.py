@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, materialise, neardup, packing, quality, quotes, secrets
+from . import ann, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.manifest(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeat_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
