@@ -2,8 +2,13 @@
 
 Every distinct set of word shingles has a signature of minima, read in several orders. In each order, texts that agree
 on the first values form a region; a region of few texts yields its neighbours as candidates, and a region of many is
-cut by further values until few are left. Each large region is joined to two of its texts besides: the one that meets
-most others over all orders (near the middle of the copies), and the least. Candidates are confirmed on the full sets.
+cut by further values until few are left. Besides, each text of a large region is a candidate with two of its texts: the
+one whose shingles are most often those of the others (the middle of a group of copies), and the least. Candidates are
+confirmed on the full sets.
+
+The forest finds a pair at the threshold with probability 1 - 1e-7 in small regions. In a region of more texts than
+`region`, a pair is found if a deeper region still holds both, or by way of the middle text; a chain of copies of copies
+inside a group of thousands can lose a link.
 
 Links are written once for each pair of distinct sets; equal sets share a class. The result is one row for each
 document. A text of fewer words than a shingle is one shingle; one without words, or null, has none and no links.
@@ -24,7 +29,7 @@ from .components import components
 
 ORDERS, DEPTH = 16, 3
 VALUES = ORDERS * DEPTH
-DEPTHS = (DEPTH, 2 * DEPTH, 4 * DEPTH, 8 * DEPTH, VALUES)
+DEPTHS = (DEPTH, 6, 10, 16, 24, VALUES)
 _random = np.random.Generator(np.random.PCG64(99))
 _A = _random.integers(1, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _random.integers(0, 1 << 32, VALUES, dtype=np.uint32)
@@ -89,36 +94,44 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp binary, shingles array<bigint>")
 
 
-def _candidates(classes: DataFrame, region: int) -> DataFrame:
-    """(a, b), a < b: pairs of set fingerprints worth comparing."""
+def _regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b), a < b, of neighbours in small regions; (key, fp, c) of the texts in large ones, c texts each."""
     order = lambda t, i: F.element_at("sig", ((t * DEPTH + i) % VALUES + 1).cast("int"))  # noqa: E731  value i of order t
     tree = F.col("tree")
     rows = classes.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree"))
     rows = rows.select("fp", "tree", F.xxhash64(tree, *[order(tree, i) for i in range(DEPTH)]).alias("key"))
-    found = []
+    pairs, large = None, None
     for level, depth in enumerate(DEPTHS):
         counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         many = storage.keep(rows.join(counts, "key"), "regions")
         near = many.where(F.col("c") <= region).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("x"))
         near = near.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
-        found.append(near)
+        pairs = near if pairs is None else pairs.union(near)
         big = many.where(F.col("c") > region)
         if big.isEmpty():
             break
-        middle = many.groupBy("fp").agg(F.sum("c").alias("met"))
-        pivots = big.join(middle, "fp").groupBy("key").agg(F.max_by("fp", F.struct("met", "fp")).alias("p"), F.min("fp").alias("q"))
-        stars = big.join(pivots, "key").select("fp", F.explode(F.array("p", "q")).alias("p")).where("fp <> p")
-        found.append(stars.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")))
+        own = big.select("key", "fp", "c", F.lit(level).alias("level"))
+        large = own if large is None else large.union(own)
         if depth < VALUES:
             more = [order(tree, i) for i in range(depth, DEPTHS[level + 1])]
             rows = big.select("fp", "tree", "key").join(classes, "fp").select("fp", "tree", F.xxhash64("key", *more).alias("key"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    return pairs.distinct(), large
+
+
+def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: every text of a large region with its middle text and its least."""
+    # each text in its largest region of the first level; shingles of more than half of it count for, others against
+    group = large.where("level = 0").groupBy("fp").agg(F.max_by(F.struct("key", "c"), F.struct("c", "key")).alias("g")).select("fp", "g.key", "g.c")
+    own = sets.join(group, "fp").select("fp", F.col("key").alias("g"), "c", F.explode("shingles").alias("s"))
+    often = own.groupBy("g", "s").agg(F.count("*").alias("n"))
+    score = own.join(often, ["g", "s"]).groupBy("fp").agg(F.sum(2 * F.col("n") - F.col("c")).alias("score"))
+    # a column of large regions is scored by the texts it has, the highest first
+    pivots = large.join(score, "fp").groupBy("key").agg(F.max_by("fp", F.struct("score", "fp")).alias("p"), F.min("fp").alias("q"))
+    stars = large.select("key", "fp").join(pivots, "key").select("fp", F.explode(F.array("p", "q")).alias("p")).where("fp <> p")
+    return stars.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: one row for each document.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles.
@@ -126,14 +139,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region:
     feats = storage.keep(_features(docs, words), "shingles")
     classes = storage.keep(feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     size = classes.select("fp", "n")
-    pairs = _candidates(classes.select("fp", "sig"), region)
-    pairs = pairs.join(size.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = storage.keep(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "pairs")
+
+    def comparable(pairs):
+        pairs = pairs.join(size.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+        return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    near, large = _regions(classes.select("fp", "sig"), region)
+    pairs = storage.keep(comparable(near), "pairs")
     # the sets of the texts that some pair names
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    owners = classes.join(needed, "fp", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
+    if large is not None:
+        needed = needed.union(large.where("level = 0").select("fp"))
+    owners = classes.join(needed.distinct(), "fp", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(owners, "doc_id", "left_semi")
     sets = storage.keep(_sets(texts, words).dropDuplicates(["fp"]), "sets")
+    if large is not None:
+        pairs = pairs.union(storage.keep(comparable(_stars(large, sets)), "pairs")).distinct()
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
