@@ -195,7 +195,7 @@ MID = "(date_diff('day', DATE '1970-01-01', date1) + temporal_baseline / 2.0)"
 at_mid = lambda d: d.withColumn("day", F.unix_date("date1") + F.col("temporal_baseline") / 2)
 _A = "2*pi()/365.25*"
 add("sine_fixed_frequency", lambda d: S.sine_fixed(at_mid(d), "day", "vx"), f", q AS (SELECT x, y, sin({_A}{MID}) AS s, cos({_A}{MID}) AS c, vx AS v FROM obs WHERE vx IS NOT NULL), m AS (SELECT x, y, avg(s) AS ms, avg(c) AS mc, avg(v) AS mv, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(s, c) AS sc, covar_pop(s, v) AS sv, covar_pop(c, v) AS cv FROM q GROUP BY x, y), f AS (SELECT *, (sv*cc - cv*sc)/(ss*cc - sc*sc) AS a, (cv*ss - sv*sc)/(ss*cc - sc*sc) AS b FROM m) SELECT x, y, r(sqrt(a*a + b*b)) AS amplitude, r(atan2(b, a)) AS phase, r(mv - a*ms - b*mc) AS \"offset\" FROM f")
-add_rates("annual_stats", lambda d: S.annual(d.withColumn("v", F.round(F.col("result_dx") * 365 / F.col("delta"), 3)), "date2", "v"), ", v AS (SELECT x, y, date2, round(result_dx*365/delta, 3) AS v FROM ilf), p AS (SELECT *, CASE WHEN v > lag(v) OVER w AND v > lead(v) OVER w THEN 1 ELSE 0 END AS peak FROM v WINDOW w AS (PARTITION BY x, y ORDER BY date2)), f AS (SELECT *, first_value(date2) OVER (PARTITION BY x, y, year(date2) ORDER BY v DESC, date2) AS top FROM p) SELECT x, y, year(date2)::INTEGER AS year, r(min(v)) AS min, r(max(v)) AS max, r(avg(v)) AS mean, r(median(v)) AS median, r(stddev_pop(v)) AS std, r((max(v) - min(v))/2) AS amplitude, dayofyear(min(top))::INTEGER AS max_day, sum(peak)::BIGINT AS nb_peaks FROM f GROUP BY x, y, year(date2)")
+add_rates("annual_stats", lambda d: S.annual(d.withColumn("v", F.round(F.col("result_dx") * 365 / F.col("delta"), 9)), "date2", "v"), ", v AS (SELECT x, y, date2, round(result_dx*365/delta, 9) AS v FROM ilf), p AS (SELECT *, CASE WHEN v > lag(v) OVER w AND v > lead(v) OVER w THEN 1 ELSE 0 END AS peak FROM v WINDOW w AS (PARTITION BY x, y ORDER BY date2)), f AS (SELECT *, first_value(date2) OVER (PARTITION BY x, y, year(date2) ORDER BY v DESC, date2) AS top FROM p) SELECT x, y, year(date2)::INTEGER AS year, r(min(v)) AS min, r(max(v)) AS max, r(avg(v)) AS mean, r(median(v)) AS median, r(stddev_pop(v)) AS std, r((max(v) - min(v))/2) AS amplitude, dayofyear(min(top))::INTEGER AS max_day, sum(peak)::BIGINT AS nb_peaks FROM f GROUP BY x, y, year(date2)")
 DAILY = ", n AS (SELECT x, y, date_diff('day', DATE '1970-01-01', date1)::INTEGER AS day, avg(vx) AS v FROM obs WHERE vx IS NOT NULL GROUP BY x, y, date1)"
 daily = lambda d: d.where("vx is not null").groupBy("x", "y", F.unix_date("date1").alias("day")).agg(F.avg("vx").alias("v"))
 add("rolling_std_7d", lambda d: S.rolling_std(daily(d), "day", "v", 36).select("x", "y", "day", "std"), DAILY + " SELECT x, y, day, r(stddev_samp(v) OVER (PARTITION BY x, y ORDER BY day RANGE BETWEEN 36 PRECEDING AND 36 FOLLOWING)) AS std FROM n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,7 +65,7 @@ def running_state(acq: DataFrame) -> DataFrame:
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote, as a table of the shared folder or memory."""
     spark = df.sparkSession
-    name = f"drained_{abs(hash((id(df), mode)))}"
+    name = f"drained_{uuid.uuid4().hex}"
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
