@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, suffixes
+from .sql import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
