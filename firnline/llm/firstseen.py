@@ -36,6 +36,15 @@ class Sequence:
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return tb.segments(self.prefix, start, end)
 
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of the n elements from every place that has so many."""
+        _, down = tb.powers(len(self.prefix))
+        m = max(0, len(self.prefix) - n)
+        h = (self.prefix[n:] - self.prefix[:m]) * down[:m]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h
+
     def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Every window's start, and its document."""
         n = np.maximum(0, np.diff(self.offsets) - window + 1)
@@ -136,7 +145,8 @@ def shards(docs: DataFrame, size: int = 4 << 20) -> tuple[DataFrame, int]:
     packed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(pack, SHARD)
     # bucketed, so that replies come to the shards and the texts stay where they are
     name = "firnline_" + storage.path(spark, "shards").rpartition("/")[2].replace("-", "_")
-    buckets = max(1, min(4096, -(-total // (8 * size))))
+    # and as many buckets as a shuffle has partitions, or the join would deal both sides anew
+    buckets = max(-(-total // (8 * size)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed.write.bucketBy(buckets, "shard").option("path", storage.path(spark, "shards")).saveAsTable(name)
     return spark.table(name), int(total)
 
@@ -169,10 +179,16 @@ def records(occ: Occurrences, buckets: int):
     return b[new], one, place
 
 
+def _stretches(bucket: np.ndarray) -> list[tuple[int, int]]:
+    if not len(bucket):
+        return []
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True))
+
+
 def _runs(bucket: np.ndarray, payload: np.ndarray):
     """(bucket, bytes) of each stretch of one bucket."""
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    for a, e in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+    for a, e in _stretches(bucket):
         yield int(bucket[a]), payload[a:e].tobytes()
 
 
@@ -216,8 +232,7 @@ def _reply(bucket: np.ndarray, replies, rows: int) -> np.ndarray:
     """Bits of all records, by record; rows: bits for each."""
     bits = np.zeros((rows, len(bucket)), bool)
     by = {r["bucket"]: r["bits"] for r in replies or ()}
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    for a, e in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+    for a, e in _stretches(bucket):
         n = e - a
         bits[:, a:e] = np.unpackbits(np.frombuffer(by[int(bucket[a])], np.uint8))[: rows * n].reshape(rows, n)
     return bits
@@ -239,8 +254,9 @@ class Finder:
     def anchored(self, seq: Sequence, start: np.ndarray, doc: np.ndarray) -> Occurrences:
         raise NotImplementedError
 
-    def classes(self, seq: Sequence, buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For windows that start at `start`: numbers that are equal for equal windows, and a hash of each."""
+    def classes(self, seq: Sequence, buf: np.ndarray, start: np.ndarray, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """For windows that start at `start`: numbers that are equal for equal windows, and a hash of each. If not exact,
+        the hashes may do for numbers: they are what the other shards were told."""
         raise NotImplementedError
 
     def output(self, row: dict, seq: Sequence, covered: np.ndarray):
@@ -267,12 +283,12 @@ class Finder:
         seen = earlier | (least[at] < order)
         return seen, several & ~seen
 
-    def _windows(self, seq: Sequence, buf: np.ndarray, occ: Occurrences, open_: np.ndarray, buckets: int):
+    def _windows(self, seq: Sequence, buf: np.ndarray, occ: Occurrences, open_: np.ndarray, buckets: int, exact: bool = True):
         """Windows of the open occurrences: start, seen before in this shard, and the records that travel."""
         at = np.flatnonzero(open_)
         n = occ.high[at] - occ.low[at]
         start, doc = tb.row_ranges(occ.low[at], n), np.repeat(occ.doc[at], n)
-        number, h = self.classes(seq, buf, start)
+        number, h = self.classes(seq, buf, start, exact)
         order = self._order(seq, doc, start)
         _, least, place = _first(number, order)
         hashes = np.zeros(len(least), np.uint64)
@@ -316,13 +332,10 @@ class Finder:
             for row in each(batches):
                 buf, seq, occ = self._state(row)
                 seen, open_ = self._resolve(seq, occ, buckets, row["replies"])
-                start, local, bucket, hashes, place = self._windows(seq, buf, occ, open_, buckets)
+                start, local, bucket, hashes, place = self._windows(seq, buf, occ, open_, buckets, exact=False)
                 again = local | _reply(bucket, row["replies2"], 1)[0][place] if len(place) else np.zeros(0, bool)
-                edge = np.zeros(len(seq.prefix) + 1, np.int32)
-                np.add.at(edge, occ.low[seen], 1)
-                np.add.at(edge, occ.high[seen] - 1 + self.window, -1)
-                np.add.at(edge, start[again], 1)
-                np.add.at(edge, start[again] + self.window, -1)
+                marks = lambda at, n=len(seq.prefix) + 1: np.bincount(at, minlength=n)
+                edge = marks(occ.low[seen]) - marks(occ.high[seen] - 1 + self.window) + marks(start[again]) - marks(start[again] + self.window)
                 yield from self.output(row, seq, np.cumsum(edge)[: len(seq.prefix) - 1] > 0)
 
         def by_shard(replies, name):

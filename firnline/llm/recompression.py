@@ -134,7 +134,7 @@ class WordWindows(firstseen.Finder):
 
         return firstseen.occurrences(seq, start, doc, low * 64 + (high - low), key_of, self.window)
 
-    def classes(self, seq, buf, start):
+    def classes(self, seq, buf, start, exact=True):
         h = seq.hash(start, start + self.window)
         return h, h
 

@@ -30,7 +30,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
     wide = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | wide[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     new = np.append(True, s[1:] != s[:-1])
     rank = np.empty(n + 1, np.int64)
@@ -47,7 +47,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
             break
         i = order[places]
         follow = rank[np.minimum(i + h, n)]
-        by = np.argsort((rank[i].astype(np.uint64) << np.uint64(32)) | (follow + 1).astype(np.uint64), kind="stable")
+        by = np.argsort((rank[i].astype(np.uint64) << np.uint64(32)) | (follow + 1).astype(np.uint64))
         i, follow = i[by], follow[by]
         order[places] = i
         group = rank[i]
@@ -65,24 +65,33 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 2
     n = len(buf)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    text = np.concatenate([buf.astype(np.int16), -np.arange(1, most + 1, dtype=np.int16)])  # beyond the end nothing agrees
-    other = text.copy()
-    other[n:] = -9999
+    words = np.zeros(n + 8, np.uint64)  # eight bytes from each position
+    wide = np.concatenate([buf, np.zeros(16, np.uint8)]).astype(np.uint64)
+    for i in range(8):
+        words = words << np.uint64(8) | wide[i : i + n + 8]
     by_position = np.zeros(n, np.int32)
     start = np.arange(0, n, lane)
     length = np.zeros(len(start), np.int64)
     for t in range(lane):  # in each lane, a prefix loses one byte at most from one position to the next
         i = start + t
-        inside = i < n
-        i, start, length = i[inside], start[inside], length[inside]
+        if not len(i):
+            break
+        if i[-1] >= n:
+            inside = i < n
+            i, start, length = i[inside], start[inside], length[inside]
         j = before[i]
         length = np.where(j >= 0, np.maximum(length - 1, 0), 0)
         going = np.flatnonzero(j >= 0)
         while len(going):
             at = length[going]
-            more = (at < most) & (text[np.minimum(i[going] + at, n)] == other[np.minimum(j[going] + at, n)])
-            going = going[more]
-            length[going] += 1
+            differ = words[np.minimum(i[going] + at, n)] ^ words[np.minimum(j[going] + at, n)]
+            same = np.zeros(len(going), np.int64)
+            for k in range(8):
+                same += differ < np.uint64(1 << (8 * k))  # leading bytes that agree
+            length[going] = at + same
+            going = going[(same == 8) & (at + same < most)]
+        # beyond the end nothing agrees
+        length = np.minimum(np.minimum(length, most), n - np.maximum(i, j))
         by_position[i] = length
     return by_position[order]
 
@@ -91,7 +100,7 @@ class ByteWindows(firstseen.Finder):
     within = False
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>"
 
-    def __init__(self, window: int = 50, gram: int = 16) -> None:
+    def __init__(self, window: int = 50, gram: int = 24) -> None:
         self.window, self.gram = window, gram
 
     def elements(self, buf, offsets, rank):
@@ -102,13 +111,15 @@ class ByteWindows(firstseen.Finder):
         if not len(start):
             return firstseen.occurrences(seq, start, doc, start, None, self.window)
         bits = np.uint64(max(1, n.bit_length()))
-        i = np.arange(n - g + 1)
-        least = (seq.hash(i, i + g) >> bits << bits) | i.astype(np.uint64)
+        least = seq.grams(g) >> bits
+        least = least << bits | np.arange(len(least), dtype=np.uint64)
         size = 1
         while size * 2 <= room:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
-        least = np.minimum(least[start], least[start + room - size])
+        if room > size:
+            least = np.minimum(least[: size - room], least[room - size :])
+        least = least[start]
         anchor = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
 
         def key_of(first_windows):
@@ -117,13 +128,14 @@ class ByteWindows(firstseen.Finder):
 
         return firstseen.occurrences(seq, start, doc, anchor, key_of, self.window)
 
-    def classes(self, seq, buf, start):
+    def classes(self, seq, buf, start, exact=True):
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if not exact:  # the names that the sorted strings travelled under
+            h = seq.hash(start, start + self.window)
+            return h, h
         # the stretches that the windows cover, end to end
-        edge = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + self.window, -1)
+        edge = np.bincount(start, minlength=len(buf) + 1) - np.bincount(start + self.window, minlength=len(buf) + 1)
         inside = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
         text = buf[inside]
         place = np.searchsorted(inside, start)
