@@ -1,8 +1,10 @@
 """Token ids of whole texts by a tokenizer file, exactly as its library gives them, with each distinct unit encoded once.
 
 A unit is a piece of text that the pre-tokenizer can't join to its neighbours: it ends at ASCII white space (dropped),
-between ASCII letters or digits and other ASCII characters, and between ASCII digits. Apostrophes and characters beyond
-ASCII stay with what is next to them. Units are looked up by 64-bit hash in a table of bounded size.
+between letters or digits and other ASCII characters, and between ASCII digits; letters are here those of ASCII and the
+accented Latin ones of two bytes. Apostrophes and other characters stay with what is next to them. Units are looked up
+by 64-bit hash in a table of bounded size. Units of Latin letters, of one digit or of ASCII signs are single pre-tokens
+and merged many at a time (see bpe); the library encodes the others.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from . import bpe
 from . import textbytes as tb
 
 _KIND = np.full(256, 3, np.uint8)  # other ASCII
@@ -22,6 +25,18 @@ _ENDS = np.zeros((5, 5), bool)
 _ENDS[0, :] = _ENDS[:, 0] = True
 _ENDS[1, [2, 3]] = _ENDS[[2, 3], 1] = True
 _ENDS[2, [2, 3]] = _ENDS[3, 2] = True
+_ENDS = _ENDS.reshape(-1)
+
+
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    """_KIND of each byte, with accented Latin letters as letters. Signs among them, and the one letter that lower case
+    takes apart, are left out."""
+    kind = _KIND[buf]
+    lead = np.flatnonzero((buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5))
+    a, b = buf[lead], buf[lead + 1]
+    lead = lead[~(((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == 0xC4) & (b == 0xB0)) | ((a == 0xC5) & (b == 0x89)))]
+    kind[lead] = kind[lead + 1] = 1
+    return kind
 
 
 def default_path() -> str:
@@ -37,6 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = bpe.of_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mask, self.most = np.uint64((1 << bits) - 1), most
         self.clear()
@@ -46,16 +62,38 @@ class Encoder:
         self.key, self.at, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def _keep(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(x) for x in ids], np.int64)
-        total = int(size.sum())
+    def _keep(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = len(ids)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.pool[self.used : self.used + total] = ids
         at = self.used + np.cumsum(size) - size
         self.used += total
         return at, size
 
+    def _units(self, data: bytes, start: list[int], end: list[int], single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and how many each has; single: those that are one pre-token of the kinds that `bpe` follows."""
+        ids, size = [], np.zeros(len(start), np.int64)
+        order = []
+        if self.merges is None:
+            single = np.zeros(len(start), bool)
+        for mine in (np.flatnonzero(single), np.flatnonzero(~single)):
+            if not len(mine):
+                continue
+            units = [data[start[i] : end[i]] for i in mine.tolist()]
+            if single[mine[0]]:
+                units = [u if u.isascii() else u.decode("utf-8", "replace").lower().encode() for u in units]
+                found, n = self.merges.encode(units)
+            else:
+                lists = [x.ids for x in self.tokenizer.encode_batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
+                n = np.array([len(x) for x in lists], np.int64)
+                found = np.fromiter((i for x in lists for i in x), np.uint32, int(n.sum()))
+            size[mine] = n
+            ids.append(found)
+            order.append(np.repeat(mine, n))
+        order = np.concatenate(order)
+        return np.concatenate(ids)[np.argsort(order, kind="stable")], size
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) end to end, and n + 1 offsets; null counts as empty."""
         buf, offsets = tb.text_bytes(column)
@@ -74,10 +112,10 @@ class Encoder:
         if not len(buf):
             return np.empty(0, np.uint32), np.zeros(n, np.int64)
         low = tb.LOWER[buf]
-        kind = _KIND[buf]
+        kind = _kinds(buf)
         edge = np.empty(len(buf) + 1, bool)
         edge[0] = edge[-1] = True
-        edge[1:-1] = _ENDS[kind[:-1], kind[1:]]
+        edge[1:-1] = _ENDS.take(kind[:-1] * np.uint8(5) + kind[1:])
         edge[offsets] = True
         at = np.flatnonzero(edge)
         keep = kind[at[:-1]] != 0
@@ -91,8 +129,10 @@ class Encoder:
             unique, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
             one = missed[first]
             data = low.tobytes()
-            units = [data[s:e].decode("utf-8", "replace") for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-            new_at, new_size = self._keep([x.ids for x in self.tokenizer.encode_batch(units, add_special_tokens=False)])
+            # bytes that keep a unit from being one of the simple ones: of other characters, or signs that don't print
+            odd = np.concatenate([[0], np.cumsum((kind == 4) | ((kind == 3) & ((buf < 33) | (buf > 126))))])
+            single = odd[end[one]] == odd[start[one]]
+            new_at, new_size = self._keep(*self._units(data, start[one].tolist(), end[one].tolist(), single))
             where[missed], size[missed] = new_at[inverse], new_size[inverse]
             to = (unique & self.mask).astype(np.int64)
             self.key[to], self.at[to], self.size[to] = unique, new_at, new_size

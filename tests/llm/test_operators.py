@@ -141,7 +141,8 @@ def test_tokens_are_the_librarys():
     from tokenizers import Tokenizer
 
     whole, own, r = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path()), random.Random(2)
-    texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 20))) for _ in range(1500)] + [None, ""]
+    odd = [*ODD, "laé.", "É!", "ñ", "×", "÷", "ŉ", "ḉ", "çé", "x9é", "\x7f", "\x01", "Wörter", "unbelievable"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 20))) for _ in range(1500)] + [None, ""]
     ids, ends = own.encode(pa.array(texts, pa.string()))
     for k, t in enumerate(texts):
         assert ids[ends[k] : ends[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
