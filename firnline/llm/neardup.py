@@ -120,18 +120,20 @@ def _regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | No
 
 def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: every text of a large region with its middle text and its least."""
-    # each text in its largest region of the first level; shingles of more than half of it count for, others against
-    group = large.where("level = 0").groupBy("fp").agg(F.max_by(F.struct("key", "c"), F.struct("c", "key")).alias("g")).select("fp", "g.key", "g.c")
-    own = sets.join(group, "fp").select("fp", F.col("key").alias("g"), "c", F.explode("shingles").alias("s"))
-    often = own.groupBy("g", "s").agg(F.count("*").alias("n"))
-    score = own.join(often, ["g", "s"]).groupBy("fp").agg(F.sum(2 * F.col("n") - F.col("c")).alias("score"))
-    # a column of large regions is scored by the texts it has, the highest first
-    pivots = large.join(score, "fp").groupBy("key").agg(F.max_by("fp", F.struct("score", "fp")).alias("p"), F.min("fp").alias("q"))
+    # each text in its largest region of the first level; shingles of more than half of that count for it, others against
+    group = large.where("level = 0").groupBy("fp").agg(F.max_by("key", F.struct("c", "key")).alias("g"))
+    own = sets.join(group, "fp").select("fp", "g", "shingles")
+    often = own.select("g", F.explode("shingles").alias("s")).groupBy("g", "s").agg(F.count("*").alias("n"))
+    often = often.join(group.groupBy("g").agg(F.count("*").alias("m")), "g").where("2 * n > m")
+    # at most twice as many as a text of the group has
+    common = often.groupBy("g").agg(F.collect_list("s").alias("common"))
+    score = own.join(common, "g", "left").select("fp", (2 * F.coalesce(F.size(F.array_intersect("shingles", "common")), F.lit(0)) - F.size("shingles")).alias("score"))
+    pivots = large.join(score, "fp", "left").groupBy("key").agg(F.max_by("fp", F.struct("score", "fp")).alias("p"), F.min("fp").alias("q"))
     stars = large.select("key", "fp").join(pivots, "key").select("fp", F.explode(F.array("p", "q")).alias("p")).where("fp <> p")
     return stars.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: one row for each document.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles.
