@@ -110,6 +110,37 @@ def initial_weights(error, baseline, apriori: bool, confidence: bool, decorrelat
     return w if decorrelation is None else w * (baseline <= decorrelation)
 
 
+# ---- diagnostics -------------------------------------------------------------------------------------------------------
+def hat_matrix(lo, hi, w, mu, coef) -> np.ndarray:
+    """Weighted observations to their fitted values: W A (A' W^2 A + coef^2 mu' mu)^-1 A' W."""
+    k = mu.shape[1]
+    a = ((np.arange(k) >= lo[:, None]) & (np.arange(k) < hi[:, None])) * w[:, None]
+    return a @ np.linalg.pinv(normal_matrix(lo, hi, w * w, k) + coef**2 * mu.T @ mu, hermitian=True) @ a.T
+
+
+def cross_validation(hat: np.ndarray, residual: np.ndarray, w: np.ndarray) -> float:
+    """Generalised cross-validation score of a weighted fit."""
+    n = len(residual)
+    return float(n * ((w * residual) ** 2).sum() / max(n - hat.trace(), 1e-12) ** 2)
+
+
+def studentised(hat: np.ndarray, residual: np.ndarray, w: np.ndarray, external: bool = False) -> np.ndarray:
+    """Residuals over their standard deviations; external: each deviation without the observation itself."""
+    r, free = w * residual, max(len(residual) - hat.trace(), 1e-12)
+    left = np.maximum(1 - hat.diagonal(), 1e-12)
+    spread = (r**2).sum() / free
+    if external:
+        spread = np.maximum((free * spread - r**2 / left) / max(free - 1, 1e-12), 1e-30)
+    return r / np.sqrt(np.maximum(spread, 1e-30) * left)
+
+
+def system_properties(lo, hi, w, mu, coef) -> dict:
+    """Condition and rank of the normal matrix, and whether the objective is strictly convex."""
+    n = normal_matrix(lo, hi, w * w, mu.shape[1]) + coef**2 * mu.T @ mu
+    values = np.linalg.eigvalsh(n)
+    return {"rank": int(np.linalg.matrix_rank(n, hermitian=True)), "condition": float(values[-1] / max(values[0], 1e-300)), "convex": bool(values[0] > 1e-12 * values[-1])}
+
+
 # ---- distribution ------------------------------------------------------------------------------------------------------
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
