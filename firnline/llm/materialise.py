@@ -92,7 +92,12 @@ def materialise(docs: DataFrame, where: str, key: int = 1, length: int = 2048, s
     def count(batches):
         from pyspark import TaskContext
 
-        n = sum(1 for _ in _sequences(batches, path, length, close))
+        encode, total = tokens.encoder(path), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                _, ends = encode.encode(batch.column(1).slice(lo, 512))
+                total += int(ends[-1]) + len(ends) - 1
+        n = -(-total // length)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["p", "n"])
 
     rows = sorted(docs.mapInArrow(count, "p long, n long").collect())  # one for each partition
