@@ -96,7 +96,7 @@ def _first(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarra
 SHARD = "shard long, ids binary, nulls binary, ends binary, text binary"
 
 
-def shards(docs: DataFrame, size: int = 4 << 20) -> tuple[DataFrame, int]:
+def shards(docs: DataFrame, size: int = 5 << 19) -> tuple[DataFrame, int]:
     """The shard table, and the number of bytes in it. Rows of one doc_id are in one shard; nulls come first."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
