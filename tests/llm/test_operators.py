@@ -440,3 +440,18 @@ def test_text_bytes_of_sliced_arrays():
     a = pa.array(["x", None, "yé", ""]).slice(1)
     buf, offsets = tb.text_bytes(a)
     assert buf.tobytes() == "yé".encode() and offsets.tolist() == [0, 0, 3, 3]
+
+
+def test_links_inside_a_large_family(spark):
+    r = random.Random(5)
+    common = [f"t{i}" for i in range(156)]  # any two share the template: similarity 0.6
+    own = lambda d: [f"d{d}x{i}" for i in range(48)]
+    texts = []
+    for d in range(400):
+        own_words = own(d)
+        texts.append((2 * d, " ".join(common + own_words)))
+        if d % 4 == 0:  # a copy of its own part, changed at the end: 0.81 with it, 0.6 with the others
+            texts.append((2 * d + 1, " ".join(common + own_words[:28] + [f"e{d}x{i}" for i in range(20)])))
+    r.shuffle(texts)
+    got = {g.doc_id: g.component_id for g in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in texts}
