@@ -223,8 +223,8 @@ EXACT = V.Inversion(regu="1", solver="LS")
 add("invert_l2_reg1", lambda d: V.invert(prepared(d), EXACT))
 add("invert_reg2", lambda d: V.invert(prepared(d), V.Inversion(regu="2", solver="LS")))
 add("invert_accel_prior", lambda d: V.invert(prepared(d), V.Inversion()))
-add("invert_directionxy", lambda d: V.invert(prepared(P.buffer_pixels(d, 2, 2, 2)), V.Inversion(regu="directionxy", solver="LS", most_iterations=3)))
-add("invert_l1", lambda d: V.invert(prepared(P.buffer_pixels(d, 1, 1, 1)), V.Inversion(regu="1", solver="L1", most_iterations=2)))
+add("invert_directionxy", lambda d: V.invert(prepared(d), V.Inversion(regu="directionxy", solver="LS")))
+add("invert_l1", lambda d: V.invert(prepared(d), V.Inversion(regu="1", solver="L1")))
 add("invert_error_propagation", lambda d: V.invert(prepared(d), V.Inversion(regu="1", solver="LS", errors=True)))
 add("invert_residual_norms", lambda d: V.quality(prepared(d), V.Inversion(regu="1", solver="LS", errors=True)))
 add("invert_diagnosis", lambda d: V.diagnosis(prepared(d), EXACT))
@@ -239,8 +239,8 @@ add("fft_peak", lambda d: S.spectrum_peak(daily(d)))
 add("butter_bandpass", lambda d: S.filtered(daily(d)))
 add("sine_free_frequency", lambda d: S.sine_free(daily(d)))
 add("coef_sweep_vvc", lambda d: O.sweep(prepared(d), [10, 100, 500], "vvc", EXACT))
-add("coef_sweep_stable", lambda d: O.sweep(prepared(P.buffer_pixels(d, 1, 1, 1)), [10, 100, 500], "stable_ground", EXACT))
-add("coef_saturation", lambda d: O.saturation_coef(O.sweep(prepared(P.buffer_pixels(d, 1, 1, 1)), [1, 5, 10, 50, 100, 500], "vvc", EXACT)))
+add("coef_sweep_stable", lambda d: O.sweep(prepared(d), [10, 100, 500], "stable_ground", EXACT))
+add("coef_saturation", lambda d: O.saturation_coef(O.sweep(prepared(d), [1, 5, 10, 50, 100, 500], "vvc", EXACT)))
 
 # ---- streams: the same windows over all events, from a stream; SQL counts them in one go ----------------------------------------------------------------
 

@@ -144,3 +144,14 @@ def test_selection_by_direction(spark):
     assert r.best_coef == 40 and r.good_coefs[-1] == 40
     s = optimise.select_coefs(m, "stable_ground", "min-max relative", 50.0).first()
     assert s.best_coef == 10 and s.good_coefs == [10.0]
+
+
+@pytest.mark.parametrize("name", ["invert_l1", "invert_directionxy", "coef_sweep_stable", "coef_saturation"])
+def test_queries_take_every_pixel_and_default_iterations(spark, sf, monkeypatch, name):
+    used = []
+    monkeypatch.setattr(catalogue.V, "invert", lambda obs, p: used.append(p) or obs)  # what reaches the kernels
+    monkeypatch.setattr(catalogue.O, "sweep", lambda obs, coefs, method, p: used.append(p) or obs)
+    monkeypatch.setattr(catalogue.O, "saturation_coef", lambda curve: curve)
+    got = catalogue.queries()[name](spark, sf)
+    assert got.select("x", "y").distinct().count() == 40 and got.count() == catalogue.bridge.obs(spark, sf).count()
+    assert [p.most_iterations for p in used] == [catalogue.V.Inversion().most_iterations]
