@@ -25,6 +25,43 @@ from . import storage
 from . import textbytes as tb
 
 
+_INV = np.uint64(pow(int(tb.BASE), -1, 1 << 64))
+_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i < n; kept for the next call."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", tb.BASE), ("down", _INV)):
+            p = np.empty(size, np.uint64)
+            p[0] = 1
+            k = 1
+            while k < size:  # doubling
+                m = min(k, size - k)
+                step = np.uint64(pow(int(base), k, 1 << 64))
+                p[k : k + m] = p[:m] * step
+                k += m
+            _powers[name] = p
+    return _powers["up"], _powers["down"]
+
+
+def prefix(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums for `segments`."""
+    up, _ = powers(len(buf) + 1)
+    c = np.empty(len(buf) + 1, np.uint64)
+    c[0] = 0
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=c[1:])
+    return c
+
+
+def segments(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each segment [start, end) of the bytes that `prefix` has seen."""
+    _, down = powers(len(c))
+    return tb.mix((c[end] - c[start]) * down[start])
+
+
 @dataclass
 class Sequence:
     """Elements of a shard's documents. end[i] is where the document of element i ends; owner[i] its rank by doc_id."""
@@ -34,11 +71,11 @@ class Sequence:
     rank: np.ndarray
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return tb.segments(self.prefix, start, end)
+        return segments(self.prefix, start, end)
 
     def grams(self, n: int) -> np.ndarray:
         """A hash of the n elements from every place that has so many."""
-        _, down = tb.powers(len(self.prefix))
+        _, down = powers(len(self.prefix))
         m = max(0, len(self.prefix) - n)
         h = (self.prefix[n:] - self.prefix[:m]) * down[:m]
         h ^= h >> np.uint64(32)
@@ -52,7 +89,7 @@ class Sequence:
 
 
 def sequence(values: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> Sequence:
-    up, _ = tb.powers(len(values) + 1)
+    up, _ = powers(len(values) + 1)
     c = np.empty(len(values) + 1, np.uint64)
     c[0] = 0
     np.cumsum(values * up[: len(values)], out=c[1:])
@@ -144,10 +181,10 @@ def shards(docs: DataFrame, size: int = 5 << 19) -> tuple[DataFrame, int]:
 
     packed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(pack, SHARD)
     # bucketed, so that replies come to the shards and the texts stay where they are
-    name = "firnline_" + storage.path(spark, "shards").rpartition("/")[2].replace("-", "_")
+    name, where = storage.table(spark, "shards")
     # and as many buckets as a shuffle has partitions, or the join would deal both sides anew
     buckets = max(-(-total // (8 * size)), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed.write.bucketBy(buckets, "shard").option("path", storage.path(spark, "shards")).saveAsTable(name)
+    packed.write.bucketBy(buckets, "shard").option("path", where).saveAsTable(name)
     return spark.table(name), int(total)
 
 

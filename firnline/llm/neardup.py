@@ -45,7 +45,7 @@ def shingle_sets(column: pa.Array, words: int):
     for a, b in tb.slices(offsets):
         part, own = tb.LOWER[buf[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         start, end, first = tb.runs(~tb.SPACE[part], own)
-        h = tb.segments(tb.prefix(part), start, end)
+        h = tb.segments(part, start, end)
         grams = tb.gram(h, words)
         for i in range(b - a):
             lo, hi = int(first[i]), int(first[i + 1])

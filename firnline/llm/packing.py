@@ -1,8 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Whole stretches of `length` ids fill sequences of their own; the rest of each document is a piece. Rows are dealt to
-partitions by a hash of their content and packed there in hash order, `group` pieces at a time, so groups are random
-and no group grows with the input. The pieces of the emptiest sequences of a group are cut to fill the gaps of the
+Whole stretches of `length` ids fill sequences of their own; the rest of each document is a piece. Rows are dealt evenly
+to partitions, equal ones as well, and packed there in the order of a hash of their content, `group` pieces at a time,
+so groups are random and no group grows with the input. Pieces leave a task BYTES at a time. The pieces of the emptiest sequences of a group are cut to fill the gaps of the
 others. A sequence whose size is a power of two needs no padding.
 
 Null or empty texts have one id, the closing one. Repeated rows are packed each on its own; ties keep hash order.
@@ -21,6 +21,10 @@ from . import tokens
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: Ids held before a batch of pieces leaves.
+BYTES = 4 << 20
+
+
 class Tournament:
     """Free room of bins; `place` gives the first bin with enough room, a new one if none has."""
 
@@ -93,6 +97,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, grou
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
         rest: list[tuple] = []
+        held = 0
+
+        def put(row):
+            nonlocal held
+            rows.append(row)
+            held += len(row[3]) + 64
 
         def flush():
             nonlocal rest, made
@@ -100,41 +110,42 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, grou
                 offset = 0
                 for i, s, n in b:
                     doc, at, ids, total = rest[i]
-                    rows.append((doc, at + s, n, ids[s : s + n].tobytes(), total, base + made, offset))
+                    put((doc, at + s, n, ids[s : s + n].tobytes(), total, base + made, offset))
                     offset += n
                 made += 1
             rest = []
 
         def out():
-            nonlocal rows
+            nonlocal rows, held
+            held = 0
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo in range(0, len(doc_ids), 1024):
-                part = batch.column(1).slice(lo, 1024)
+            for lo in range(0, len(doc_ids), 256):
+                part = batch.column(1).slice(lo, 256)
                 ids, ends = encode.encode(part)
                 ids = ids.astype("<u4")
                 for k in range(len(part)):
                     own = np.append(ids[ends[k] : ends[k + 1]], np.array([close], "<u4"))
                     whole = len(own) // length * length
                     for at in range(0, whole, length):
-                        rows.append((doc_ids[lo + k], at, length, own[at : at + length].tobytes(), len(own), base + made, 0))
+                        put((doc_ids[lo + k], at, length, own[at : at + length].tobytes(), len(own), base + made, 0))
                         made += 1
                     if whole < len(own):
                         rest.append((doc_ids[lo + k], whole, own[whole:].copy(), len(own)))
                     if len(rest) >= group:
                         flush()
-                    if len(rows) >= 8192:
+                    if held >= BYTES:
                         yield out()
         flush()
         yield out()
 
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    dealt = docs.select("doc_id", "text", key.alias("_key")).repartition("_key").sortWithinPartitions("_key", "doc_id")
-    return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    # round robin over sorted rows: equal rows aren't one task's, and a lost task deals the same rows again
+    dealt = docs.select("doc_id", "text").hint("rebalance").sortWithinPartitions(F.xxhash64("doc_id", "text"))
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def piece_digest(pieces: DataFrame) -> DataFrame:

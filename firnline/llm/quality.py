@@ -41,9 +41,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = tb.LOWER[part]
         start, end, first = tb.runs(_LETTER[low], own)
         doc = np.repeat(np.arange(n), np.diff(first))
-        sums = tb.prefix(low)
         heads = np.flatnonzero(end - start > 5)  # the first bytes of longer words stand for their inflections
-        hashes = np.concatenate([tb.segments(sums, start, end), ~tb.segments(sums, start[heads], start[heads] + 5)])
+        hashes = np.concatenate([tb.segments(low, start, end), ~tb.segments(low, start[heads], start[heads] + 5)])
         once = np.unique(np.concatenate([doc, doc[heads]]) << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
         words.append(once & ((1 << BITS) - 1))
         counts.append(np.bincount(once >> BITS, minlength=n))

@@ -93,7 +93,7 @@ class WordWindows(firstseen.Finder):
 
     def elements(self, buf, offsets, rank):
         start, end, first = tb.runs(~tb.SPACE[buf], offsets)
-        self_h = tb.segments(tb.prefix(buf), start, end)
+        self_h = tb.segments(buf, start, end)
         seq = firstseen.sequence(self_h, first, rank)
         seq.h, seq.word_start, seq.word_end = self_h, start, end
         return seq

@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as in tests on one machine."""
+    """spark.checkpoint.dir. Where the session names none: a temporary folder on one machine, as in tests, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="firnline-")
@@ -19,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/firnline-{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, noted for `sweep`."""
+    where = f"{shared_dir(spark)}/firnline-{name}-{uuid.uuid4().hex}"
+    _written.append(("path", where))
+    return where
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -29,9 +37,33 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def remove(spark: SparkSession, where: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(where)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A new name in the catalogue and its place in the shared folder, noted for `sweep`."""
+    where = path(spark, name)
+    called = "firnline_" + where.rpartition("/")[2].replace("-", "_")
+    _written.append(("table", called))
+    return called, where
+
+
+def mark() -> int:
+    """What is written from here on can be swept."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Drops what was written since a mark, but for the files that `but` reads. Call it once what depends on those is
+    saved."""
+    kept = [f.rpartition("/")[0] for f in but.inputFiles()] if but is not None else []
+    stay = []
+    for kind, name in _written[since:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        elif any(k.endswith(name.rpartition("/")[2]) for k in kept):
+            stay.append((kind, name))
+        else:
+            target = spark._jvm.org.apache.hadoop.fs.Path(name)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written[since:] = stay
 
 
 def broadcast_if_small(df: DataFrame, rows: int, width: int, most: int = 64 << 20) -> DataFrame:

@@ -104,7 +104,7 @@ class ByteWindows(firstseen.Finder):
         self.window, self.gram = window, gram
 
     def elements(self, buf, offsets, rank):
-        return firstseen.Sequence(tb.prefix(buf), offsets, rank)
+        return firstseen.Sequence(firstseen.prefix(buf), offsets, rank)
 
     def anchored(self, seq, start, doc):
         n, g, room = len(seq.prefix) - 1, self.gram, self.window - self.gram + 1

@@ -1,18 +1,20 @@
 """Vectorised work on the UTF-8 bytes of a column of texts: slices, words and 64-bit hashes.
 
-Hashes are polynomials over random byte values modulo 2**64, finished by a mixing step, so a segment's hash depends on
-its bytes alone and equal segments of any rows and executors hash alike.
+A segment's hash depends on its bytes alone, so equal segments of any rows and executors hash alike. Every eight bytes
+pass a mixing step of their own: no family of texts collides by its structure, as under polynomials modulo 2**64.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Segments of more bytes are hashed by BLAKE2, one by one.
+LONG = 256
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: ASCII white space, as in [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -21,23 +23,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n; kept for the next call."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", BASE), ("down", _INV)):
-            p = np.empty(size, np.uint64)
-            p[0] = 1
-            k = 1
-            while k < size:  # doubling
-                m = min(k, size - k)
-                step = np.uint64(pow(int(base), k, 1 << 64))
-                p[k : k + m] = p[:m] * step
-                k += m
-            _powers[name] = p
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -72,19 +57,27 @@ def slices(offsets: np.ndarray, most: int = 4 << 20):
         at = end
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums for `segments`."""
-    up, _ = powers(len(buf) + 1)
-    c = np.empty(len(buf) + 1, np.uint64)
-    c[0] = 0
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=c[1:])
-    return c
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, the first byte lowest; bytes beyond the end are 0."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def segments(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each segment [start, end) of the bytes that `prefix` has seen."""
-    _, down = powers(len(c))
-    return mix((c[end] - c[start]) * down[start])
+def segments(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each [start, end): eight at a time, each mixed into what came before; BLAKE2 for long ones."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(1))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    rows = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h, words = start[rows], size[rows], out[rows], eights(buf)
+    while len(rows):
+        h = mix(h ^ (words[at] & _HEAD[np.minimum(left, 8)]) * BASE)
+        more = left > 8
+        out[rows[~more]] = h[~more]
+        rows, at, left, h = rows[more], at[more] + 8, left[more] - 8, h[more]
+    return out
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +97,9 @@ def gram(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(m, np.uint64)
+    out = np.full(m, n, np.uint64)
     for i in range(n):
+        out ^= out >> np.uint64(32)
         out *= BASE
         out += h[i : i + m]
     return mix(out)

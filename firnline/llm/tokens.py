@@ -3,7 +3,7 @@
 A unit is a piece of text that the pre-tokenizer can't join to its neighbours: it ends at ASCII white space (dropped),
 between letters or digits and other ASCII characters, and between ASCII digits; letters are here those of ASCII and the
 accented Latin ones of two bytes. Apostrophes and other characters stay with what is next to them. Units are looked up
-by 64-bit hash in a table of bounded size. Units of Latin letters, of one digit or of ASCII signs are single pre-tokens
+in a table of fixed size, which compares their bytes. Units of Latin letters, of one digit or of ASCII signs are single pre-tokens
 and merged many at a time (see bpe); the library encodes the others.
 """
 
@@ -28,6 +28,12 @@ _ENDS[2, [2, 3]] = _ENDS[3, 2] = True
 _ENDS = _ENDS.reshape(-1)
 
 
+#: Units of up to so many bytes are kept, as two numbers of eight bytes each, and their length.
+SHORT = 16
+UNIT = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<i8")])
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def _kinds(buf: np.ndarray) -> np.ndarray:
     """_KIND of each byte, with accented Latin letters as letters. Signs among them, and the one letter that lower case
     takes apart, are left out."""
@@ -46,30 +52,18 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts. Memory: a table of 2**bits units and their ids, emptied when it holds more than `most` ids."""
+    """Ids of texts. Memory is fixed: a table of 2**bits units of up to SHORT bytes, kept with their bytes, and `most`
+    ids of them. The table is emptied when the ids are full; longer units are encoded as they come."""
 
-    def __init__(self, path: str, bits: int = 22, most: int = 32_000_000) -> None:
+    def __init__(self, path: str, bits: int = 19, most: int = 1 << 21) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = bpe.of_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mask, self.most = np.uint64((1 << bits) - 1), most
-        self.clear()
-
-    def clear(self) -> None:
-        n = int(self.mask) + 1
-        self.key, self.at, self.size = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def _keep(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = len(ids)
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = ids
-        at = self.used + np.cumsum(size) - size
-        self.used += total
-        return at, size
+        self.mask, n = np.uint64((1 << bits) - 1), 1 << bits
+        self.unit, self.at, self.size = np.zeros(n, UNIT), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used = np.zeros(most, np.uint32), 0
 
     def _units(self, data: bytes, start: list[int], end: list[int], single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units and how many each has; single: those that are one pre-token of the kinds that `bpe` follows."""
@@ -94,11 +88,44 @@ class Encoder:
         order = np.concatenate(order)
         return np.concatenate(ids)[np.argsort(order, kind="stable")], size
 
+    def _named(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each unit, and its UNIT: the bytes themselves for units of up to SHORT bytes."""
+        words, n = tb.eights(low), end - start
+        unit = np.empty(len(n), UNIT)
+        unit["n"] = n
+        unit["a"] = words[start] & _HEAD[np.minimum(n, 8)]
+        unit["b"] = words[np.minimum(start + 8, len(low))] & _HEAD[np.clip(n - 8, 0, 8)]
+        return tb.mix(unit["a"] * tb.BASE ^ tb.mix(unit["b"] + n.astype(np.uint64))), unit
+
+    def _ids(self, where: np.ndarray, size: np.ndarray, extra: np.ndarray) -> np.ndarray:
+        """Ids of units; those at len(pool) and beyond are in extra."""
+        rows = tb.row_ranges(where, size)
+        new = rows >= len(self.pool)
+        if not new.any():
+            return self.pool[rows]
+        out = self.pool[np.where(new, 0, rows)]
+        out[new] = extra[rows[new] - len(self.pool)]
+        return out
+
+    def _keep(self, slot: np.ndarray, unit: np.ndarray, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Units into the table, the last one of those that share a slot."""
+        short = np.flatnonzero((unit["n"] <= SHORT) & (size <= SHORT))
+        short = short[len(short) - 1 - np.unique(slot[short][::-1], return_index=True)[1]]
+        ids = ids[tb.row_ranges(at[short], size[short])]
+        if self.used + len(ids) > len(self.pool):
+            self.unit["n"], self.used = 0, 0
+            if len(ids) > len(self.pool):
+                return
+        slot, size = slot[short], size[short]
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.unit[slot], self.at[slot], self.size[slot] = unit[short], self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) end to end, and n + 1 offsets; null counts as empty."""
         buf, offsets = tb.text_bytes(column)
         ids, counts = [], []
-        for a, b in tb.slices(offsets, 2 << 20):
+        for a, b in tb.slices(offsets, 512 << 10):
             i, c = self._slice(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ids.append(i)
             counts.append(c)
@@ -106,8 +133,6 @@ class Encoder:
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), total
 
     def _slice(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.used > self.most:
-            self.clear()
         n = len(offsets) - 1
         if not len(buf):
             return np.empty(0, np.uint32), np.zeros(n, np.int64)
@@ -120,24 +145,28 @@ class Encoder:
         at = np.flatnonzero(edge)
         keep = kind[at[:-1]] != 0
         start, end = at[:-1][keep], at[1:][keep]
-        h = tb.segments(tb.prefix(low), start, end)
-        h[h == 0] = 1
+        h, unit = self._named(low, start, end)
         slot = (h & self.mask).astype(np.int64)
-        where, size = self.at[slot], self.size[slot].astype(np.int64)
-        missed = np.flatnonzero(self.key[slot] != h)
+        where, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        known = self.unit[slot]
+        missed = np.flatnonzero((known["n"] != unit["n"]) | (known["a"] != unit["a"]) | (known["b"] != unit["b"]) | (unit["n"] > SHORT))
+        extra = np.empty(0, np.uint32)
         if len(missed):
-            unique, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
-            one = missed[first]
             data = low.tobytes()
+            seen: dict[bytes, int] = {}
+            one = [seen.setdefault(data[i:j], len(seen)) for i, j in zip(start[missed].tolist(), end[missed].tolist(), strict=True)]
+            inverse = np.array(one)
+            first = missed[np.unique(inverse, return_index=True)[1]]
             # bytes that keep a unit from being one of the simple ones: of other characters, or signs that don't print
             odd = np.concatenate([[0], np.cumsum((kind == 4) | ((kind == 3) & ((buf < 33) | (buf > 126))))])
-            single = odd[end[one]] == odd[start[one]]
-            new_at, new_size = self._keep(*self._units(data, start[one].tolist(), end[one].tolist(), single))
-            where[missed], size[missed] = new_at[inverse], new_size[inverse]
-            to = (unique & self.mask).astype(np.int64)
-            self.key[to], self.at[to], self.size[to] = unique, new_at, new_size
-            # of units that share a slot the last one stays: its place and size come from the same assignment order
-        ids = self.pool[tb.row_ranges(where, size)]
+            # of long ones the library keeps a heap of pairs
+            single = (odd[end[first]] == odd[start[first]]) & (end[first] - start[first] <= 64)
+            extra, new_size = self._units(data, start[first].tolist(), end[first].tolist(), single)
+            new_at = np.cumsum(new_size) - new_size
+            where[missed], size[missed] = len(self.pool) + new_at[inverse], new_size[inverse]
+        ids = self._ids(where, size, extra)
+        if len(missed):
+            self._keep(slot[first], unit[first], extra, new_at, new_size)
         ends = np.concatenate([[0], np.cumsum(size)])
         counts = np.diff(ends[np.searchsorted(start, offsets)])
         if self.special and (b"<|" in (data := buf.tobytes())):  # the library looks for these in the raw text
