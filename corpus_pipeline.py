@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way is removed once its result is saved."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = storage.mark()
     for name, stage in STAGES:
         docs = storage.keep(stage(spark, docs, sf_dir), name)
+        storage.sweep(spark, mark, but=docs)
     return docs
