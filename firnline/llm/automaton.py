@@ -1,4 +1,5 @@
-"""Regular rules to one minimal deterministic automaton over byte classes, as numpy transition arrays."""
+"""Regular rules to one minimal deterministic automaton over byte classes, as numpy transition arrays: subset construction,
+then minimisation by splitting blocks."""
 
 from __future__ import annotations
 
@@ -85,76 +86,97 @@ def rep(part, least: int = 0):
     return ("rep", part, least)
 
 
-def _number(keys) -> list[int]:
-    seen: dict = {}
-    return [seen.setdefault(k, len(seen)) for k in keys]
+def backwards(node):
+    """The rule of the reversed texts."""
+    kind, *rest = node
+    if kind == "cat":
+        return ("cat", [backwards(part) for part in reversed(rest[0])])
+    if kind == "alt":
+        return ("alt", [backwards(part) for part in rest[0]])
+    if kind in ("opt", "rep"):
+        return (kind, backwards(rest[0]), *rest[1:])
+    return node
+
+
+def subsets(rule, search: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each byte, moves of each state by class, and whether it accepts; state 0 is the start."""
+    nfa = Nfa()
+    start = nfa.state()
+    end = nfa.build(rule, start)
+    sets = [s for moves in nfa.moves for s, _ in moves]
+    signature: dict[tuple, int] = {}
+    classes = np.array([signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256)])
+    closed = []
+    for s in range(len(nfa.moves)):
+        seen, todo = {s}, [s]
+        while todo:
+            fresh = [t for t in nfa.free[todo.pop()] if t not in seen]
+            seen.update(fresh)
+            todo += fresh
+        closed.append(frozenset(seen))
+    sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(signature))]
+    step = [[frozenset().union(*(closed[to] for on, to in m if b in on)) for b in sample] for m in nfa.moves]
+    begin = closed[start]
+    names, order, moves = {begin: 0}, [begin], []
+    for now in order:
+        row = []
+        for c in range(len(sample)):
+            to = frozenset().union(*(step[s][c] for s in now), begin if search else ())
+            if to not in names:
+                names[to] = len(order)
+                order.append(to)
+            row.append(names[to])
+        moves.append(row)
+    return classes, np.array(moves), np.array([int(end in s) for s in order])
+
+
+def product(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All automata side by side: the states that can be reached together, with a bit of acceptance for each."""
+    _, first, classes = np.unique(np.column_stack([c for c, _, _ in parts]), axis=0, return_index=True, return_inverse=True)
+    classes = classes.reshape(-1)
+    sizes = [len(a) for _, _, a in parts]
+    scale = np.cumprod([1, *sizes[:-1]])
+    known, layer, found, moves = np.zeros(1, np.int64), np.zeros(1, np.int64), [], []
+    while len(layer):
+        to = sum(m[layer // s % n][:, c[first]] * s for (c, m, _), s, n in zip(parts, scale.tolist(), sizes, strict=True))
+        found.append(layer)
+        moves.append(to)
+        layer = np.setdiff1d(to, known)
+        known = np.union1d(known, layer)
+    state = np.concatenate(found)
+    order = np.argsort(state)
+    accept = sum(a[state // s % n] << i for i, ((_, _, a), s, n) in enumerate(zip(parts, scale.tolist(), sizes, strict=True)))
+    return classes, order[np.searchsorted(state[order], np.concatenate(moves))], accept
+
+
+def minimal(classes: np.ndarray, moves: np.ndarray, accept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least automaton of the same texts: blocks of states are split until their moves agree. The start first, states
+    that accept last."""
+    part, blocks = np.unique(accept, return_inverse=True)[1], 0
+    while part.max() + 1 > blocks:
+        blocks = int(part.max()) + 1
+        rows = np.ascontiguousarray(np.column_stack([part, part[moves]]).astype(np.int32))
+        part = np.unique(rows.view(f"V{rows.shape[1] * 4}")[:, 0], return_inverse=True)[1]
+    one = np.unique(part, return_index=True)[1]
+    order = np.lexsort([one, accept[one] > 0, one != one[part[0]]])
+    place = np.empty(len(one), np.int64)
+    place[order] = np.arange(len(one))
+    one = one[order]
+    return classes, place[part][moves[one]], accept[one]
 
 
 class Dfa:
-    """table[state * width + class] is the next state times width; accept[state] has a bit for each rule; start is 0."""
+    """table[state * width + class] is the next state times width; accept[state] has a bit for each rule; start is 0.
+
+    Each rule goes through subset construction and minimisation, then all of them together through minimisation again.
+    """
 
     def __init__(self, rules: list, search: bool) -> None:
-        nfa = Nfa()
-        start = nfa.state()
-        ends = []
-        for rule in rules:
-            at = nfa.state()
-            nfa.free[start].append(at)
-            ends.append(nfa.build(rule, at))
-        sets = [s for moves in nfa.moves for s, _ in moves]
-        signature: dict[tuple, int] = {}
-        self.classes = np.array([signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256)], np.uint8)
-        width = len(signature)
-        sample = [int(np.flatnonzero(self.classes == c)[0]) for c in range(width)]
-
-        closed = []
-        for s in range(len(nfa.moves)):  # as bit sets
-            seen, todo = {s}, [s]
-            while todo:
-                for t in nfa.free[todo.pop()]:
-                    if t not in seen:
-                        seen.add(t)
-                        todo.append(t)
-            closed.append(sum(1 << x for x in seen))
-        moves = [[(on, closed[t]) for on, t in m] for m in nfa.moves]
-        per_class = [[0] * len(moves) for _ in range(width)]
-        for s, m in enumerate(moves):
-            for on, to in m:
-                for c, b in enumerate(sample):
-                    if b in on:
-                        per_class[c][s] |= to
-        live = [s for s, m in enumerate(moves) if m]
-        again = closed[start] if search else 0
-        names, table, accept, todo = {closed[start]: 0}, [], [], [closed[start]]
-        for now in todo:  # subset construction
-            inside = [s for s in live if now >> s & 1]
-            row = []
-            for c in range(width):
-                to, rows = again, per_class[c]
-                for s in inside:
-                    to |= rows[s]
-                if to not in names:
-                    names[to] = len(names)
-                    todo.append(to)
-                row.append(names[to])
-            table.append(row)
-            accept.append(sum(1 << i for i, e in enumerate(ends) if now >> e & 1))
-        t, a = np.array(table), np.array(accept)
-        part, blocks = np.unique(a, return_inverse=True)[1], 0
-        while part.max() + 1 > blocks:  # minimisation: split blocks until their moves agree
-            blocks = int(part.max()) + 1
-            part = np.array(_number(map(tuple, np.column_stack([part, part[t]]).tolist())))
-        one = np.unique(part, return_index=True)[1]
-        # the start first, states that accept last
-        order = np.lexsort([one, a[one] > 0, one != one[part[0]]])
-        place = np.empty(len(one), np.int64)
-        place[order] = np.arange(len(one))
-        part, one = place[part], one[order]
-        self.width, self.states = width, len(one)
-        self.next = part[t[one]]
-        self.table = (self.next * width).astype(np.int32).reshape(-1)
-        self.accept = a[one].astype(np.uint8)
-        self.accepts_from = int((self.accept == 0).sum()) * width if not self.accept[0] else 0
+        classes, self.next, accept = minimal(*product([minimal(*subsets(rule, search)) for rule in rules]))
+        self.states, self.width = self.next.shape
+        self.classes, self.accept = classes.astype(np.uint8), accept.astype(np.uint8)
+        self.table = (self.next * self.width).astype(np.int32).reshape(-1)
+        self.accepts_from = int((self.accept == 0).sum()) * self.width if not self.accept[0] else 0
         self.dead = {s for s in range(self.states) if not self.accept[s] and (self.next[s] == s).all()}
         #: Bytes after which the state is the start's, whatever it was before: texts can be cut behind them.
         self.resets = (self.next == self.next[0]).all(0)[self.classes] & (self.next[0] == 0)[self.classes]
@@ -177,15 +199,42 @@ class Dfa:
             self._rows, self.class_list, self.accept_list = self.next.tolist(), self.classes.tolist(), self.accept.tolist()
         return self._rows
 
-    def scan(self, buf: np.ndarray, cuts: np.ndarray, lane: int = 1024) -> np.ndarray:
-        """Positions of bytes after which some rule accepts. cuts: positions (with 0) before which the state is the start's.
+    def lasts(self, buf: np.ndarray, low: np.ndarray, at: np.ndarray, lock: int = 64) -> np.ndarray:
+        """Read backwards from each place `at` down to `low`: the furthest place where a match ends, -1 if none does."""
+        found = np.full(len(at), -1, np.int64)
+        lanes, here, floor, state = np.arange(len(at)), at.copy(), low, np.zeros(len(at), np.int64)
+        dead = np.zeros(self.states, bool)
+        dead[list(self.dead)] = True
+        for _ in range(lock):
+            if not len(lanes):
+                break
+            state = self.next[state, self.classes[buf[here]]]
+            hit = self.accept[state] > 0
+            found[lanes[hit]] = here[hit]
+            here = here - 1
+            going = ~dead[state] & (here >= floor)
+            lanes, here, floor, state = lanes[going], here[going], floor[going], state[going]
+        rows = self.rows
+        for lane, i, f, s in zip(lanes.tolist(), here.tolist(), floor.tolist(), state.tolist(), strict=True):  # long ones
+            data = buf[f : i + 1].tobytes()
+            for k in range(len(data) - 1, -1, -1):
+                s = rows[s][self.class_list[data[k]]]
+                if s in self.dead:
+                    break
+                if self.accept_list[s]:
+                    found[lane] = f + k
+        return found
+
+    def scan(self, buf: np.ndarray, cuts: np.ndarray, lane: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of bytes after which some rule accepts, and those rules' bits. cuts: positions (with 0) before which
+        the state is the start's.
 
         All lanes advance by one byte at a time, so the pass is one gather a byte; lanes begin at the cuts, or behind a
         resetting byte, about `lane` bytes apart.
         """
         n = len(buf)
         if not n:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.uint8)
         safe = self.resets[buf[:-1]]
         marks = np.zeros(n, bool)
         marks[1:] = safe
@@ -213,5 +262,9 @@ class Dfa:
             state[:k] = s
             hit = s >= self.accepts_from
             if hit.any():
-                hits.append(start[:k][hit] + t)
-        return np.sort(np.concatenate(hits)) if hits else np.empty(0, np.int64)
+                hits.append((start[:k][hit] + t, self.accept[s[hit] // self.width]))
+        if not hits:
+            return np.empty(0, np.int64), np.empty(0, np.uint8)
+        at, rules = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(at)
+        return at[order], rules[order]

@@ -1,5 +1,9 @@
 """Secret scans: all rules in one minimal automaton, one pass over the bytes of each text.
 
+The pass gives, for every byte, the rules of which a match ends there. The end of each span is the last of such bytes in a
+row; its start is the furthest one that the reversed rule reads back to, the leftmost. That is leftmost and longest as
+long as a rule's match goes on to the end of its last repeated class, as these rules' do. A rule's spans don't overlap.
+
 Null and empty texts have no spans. Offsets count code points, ends are exclusive. Ties and repeated rows are scanned
 row by row; further columns pass through `scan_secrets` and `redact_secrets` untouched, whatever their names.
 """
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .automaton import Dfa, alt, cat, chars, opt, rep, word
+from .automaton import Dfa, alt, backwards, cat, chars, opt, rep, word
 
 VALUE = chars("A-Za-z0-9+/_.=-")
 QUOTE = chars("\"'")
@@ -25,74 +29,56 @@ def _assign(least: int):
     return cat(names, opt(QUOTE), rep(chars(" ")), chars(":="), rep(chars(" ")), opt(QUOTE), rep(VALUE, least))
 
 
-#: kind: (rule as matched, rule as kept). A match of the first that the second rejects is used up all the same.
+#: kind: the rule. Spans that `KEPT` rejects are used up all the same.
 RULES = {
-    "assign": (_assign(1), _assign(6)),
-    "access": (cat(word("AKIA"), rep(chars("A-Z0-9"), 1)), cat(word("AKIA"), rep(chars("A-Z0-9"), 16))),
-    "hex": (rep(chars("0-9a-f"), 1), rep(chars("0-9a-f"), 24)),
-    "pem": (cat(word("-----BEGIN "), rep(chars("A-Z ")), word("PRIVATE KEY-----")),) * 2,
-    "slack": (cat(word("xox"), chars("abprs"), word("-"), rep(chars("A-Za-z0-9-"), 10)),) * 2,
+    "assign": _assign(1),
+    "access": cat(word("AKIA"), rep(chars("A-Z0-9"), 16)),
+    "hex": rep(chars("0-9a-f"), 24),
+    "pem": cat(word("-----BEGIN "), rep(chars("A-Z ")), word("PRIVATE KEY-----")),
+    "slack": cat(word("xox"), chars("abprs"), word("-"), rep(chars("A-Za-z0-9-"), 10)),
 }
+KEPT = {"assign": _assign(6)}
 BASE = ("assign", "access", "hex")
 _made: dict[str, object] = {}
 
 
 def automata() -> tuple[Dfa, dict[str, Dfa], dict[str, Dfa]]:
-    """The searching automaton of all rules, and each rule's own ones: as matched, as kept."""
+    """The searching automaton of all rules; each rule's reversed one; what is kept, from its start on."""
     if not _made:
-        # shorter counts than the rules' own keep the product of their states small; what is found is matched again
-        near = {"access": cat(word("AKIA"), rep(chars("A-Z0-9"), 4)), "hex": rep(chars("0-9a-f"), 12), "slack": cat(word("xox"), chars("abprs"), word("-"))}
-        _made["all"] = Dfa([near.get(kind, kept) for kind, (_, kept) in RULES.items()], search=True)
-        _made["each"] = {kind: Dfa([rule], search=False) for kind, (rule, _) in RULES.items()}
-        _made["kept"] = {kind: Dfa([kept], search=False) for kind, (_, kept) in RULES.items()}
-    return _made["all"], _made["each"], _made["kept"]
+        _made["all"] = Dfa(list(RULES.values()), search=True)
+        _made["back"] = {kind: Dfa([backwards(rule)], search=False) for kind, rule in RULES.items()}
+        _made["kept"] = {kind: Dfa([rule], search=False) for kind, rule in KEPT.items()}
+    return _made["all"], _made["back"], _made["kept"]
 
 
-def find(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+def find(buf: np.ndarray, offsets: np.ndarray, made=None) -> list[tuple[int, int, int, int]]:
     """(text, start, end, rule) of every span, in bytes of the text; leftmost, longest, without overlaps within a rule."""
-    machine, each, kept = automata()
+    machine, back, kept = made or automata()
     found = []
-    for a, b in tb.slices(offsets, 12 << 20):
+    for a, b in tb.slices(offsets, 4 << 20):
         part = buf[offsets[a] : offsets[b]]
         own = offsets[a : b + 1] - offsets[a]
-        hits = machine.scan(part, own[:-1])
-        if not len(hits):
-            continue
-        # no match crosses a resetting byte or a text's end: match again between the nearest ones
-        stop = machine.resets[part]
-        text = np.searchsorted(own, hits, "right") - 1
-        stops = np.flatnonzero(stop)
-        at = np.searchsorted(stops, hits)
-        low = np.maximum(np.append(-1, stops)[at] + 1, own[text])
-        high = np.minimum(np.append(stops, len(part))[at], own[text + 1])
-        places = np.unique(np.column_stack([text, low, high]), axis=0)
-        for t, lo, hi in places.tolist():
-            data, base = part[lo:hi].tobytes(), lo - int(own[t])
-            for rule, kind in enumerate(RULES):
-                i, one, own_kept = 0, each[kind], kept[kind]
-                firsts = _firsts(kind)
-                while i < len(data):
-                    if not firsts[data[i]]:
-                        i += 1
-                        continue
-                    end = one.longest(data, i, len(data))
-                    if end < 0:
-                        i += 1
+        hits, rules = machine.scan(part, own[:-1])
+        for rule, kind in enumerate(RULES):
+            at = hits[(rules >> rule & 1).astype(bool)]
+            if not len(at):
+                continue
+            at = at[np.append(at[1:] != at[:-1] + 1, True)]  # the last of each row of bytes
+            text = np.searchsorted(own, at, "right") - 1
+            low = own[text]
+            start = back[kind].lasts(part, low, at)
+            past, of = 0, -1
+            for t, s, e, lo in zip(text.tolist(), start.tolist(), (at + 1).tolist(), low.tolist(), strict=True):
+                if t == of and s < past:  # begins within the span before: the leftmost one behind that, if there is one
+                    s = int(back[kind].lasts(part, np.array([past]), np.array([e - 1]))[0]) if e > past else -1
+                    if s < 0:
                         continue
-                    if own_kept.longest(data, i, end) == end:
-                        found.append((a + t, base + i, base + end, rule))
-                    i = end
+                past, of = e, t
+                if kind not in kept or kept[kind].longest(part[s:e].tobytes(), 0, e - s) == e - s:
+                    found.append((a + t, s - lo, e - lo, rule))
     return found
 
 
-def _firsts(kind: str) -> list[bool]:
-    key = f"first {kind}"
-    if key not in _made:
-        one = automata()[1][kind]
-        _made[key] = [one.next[0][one.classes[b]] not in one.dead for b in range(256)]
-    return _made[key]
-
-
 def _points(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Byte offsets to code points."""
     if not len(data) or not (data >= 128).any():
@@ -103,12 +89,12 @@ def _points(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 
 
-def _spans(batch_column: pa.Array) -> list[list[dict]]:
+def _spans(batch_column: pa.Array, made=None) -> list[list[dict]]:
     buf, offsets = tb.text_bytes(batch_column)
     out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
     kinds = list(RULES)
     by_text: dict[int, list] = {}
-    for t, s, e, r in find(buf, offsets):
+    for t, s, e, r in find(buf, offsets, made):
         by_text.setdefault(t, []).append((s, e, r))
     for t, spans in by_text.items():
         spans.sort(key=lambda x: (x[0], x[2]))
@@ -123,11 +109,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secret_spans"
         docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, SPAN)])
     at = docs.columns.index(text)
+    made = automata()  # a few megabytes, built once
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def scan(batches):
         for batch in batches:
-            spans = pa.array(_spans(batch.column(at)), kind)
+            spans = pa.array(_spans(batch.column(at), made), kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(scan, schema)
@@ -135,7 +122,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secret_spans"
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of every rule replaced by `mark`, overlapping ones by one; the columns stay as they are."""
-    found = scan_secrets(docs, text, "_spans")
+    spans = "_spans"
+    while spans in docs.columns:
+        spans += "_"
+    found = scan_secrets(docs, text, spans)
     # what is between the ends so far and the next start, then the mark
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -143,8 +133,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
         gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         return F.when(x["start"] >= acc["at"], F.struct(F.concat(acc["out"], gap, F.lit(mark)).alias("out"), x["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
 
-    done = F.aggregate("_spans", state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    new = F.when(F.size("_spans") > 0, done).otherwise(F.col(text))
+    done = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
+    new = F.when(F.size(spans) > 0, done).otherwise(F.col(text))
     return found.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
