@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by largest inner product over balanced posting lists.
 
-Vectors get one more component, so that the largest inner product is the least distance. Centroids are fitted on a
-bounded sample with a penalty on large lists; each vector joins its nearest list and, near a boundary, a few more.
-Lists over `cap` vectors are dealt in parts. A query searches the centroids by a neighbour graph held in memory and
-takes the lists whose distance is within a ratio of the nearest; the ratio is the least that reaches `recall` on the
-sample. Lists score their vectors in double precision.
+Equal vectors are one vector of the index, with as many of their smallest ids as an answer can hold, so a vector that a
+third of all rows share is scored once. Vectors get one more component, from the largest norm of all rows, so that the
+largest inner product is the least distance. Centroids, one for about LIST distinct vectors, are fitted on a bounded
+sample with a penalty on large lists; each vector joins its nearest list and, near a boundary, a few more. Lists over `cap`
+vectors are dealt in parts, and so are the queries of lists that are asked more than `batch` times. A query searches the
+centroids by a neighbour graph held in memory and takes the lists whose distance is within a ratio of the nearest, and
+more until those hold enough other ids; the ratio is the least that reaches `recall` on the sample. Lists score their
+vectors in double precision.
 
 Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components
-take no part; neither do rows without id. Equal vectors tie: the smaller vec_id comes first. Repeated (vec_id, vector)
+take no part; neither do rows without id. Equal scores tie: the smaller vec_id comes first. Repeated (vec_id, vector)
 rows are returned once. An empty table gives no rows; extra columns are ignored.
 """
 
@@ -19,7 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE, LISTS, REPLICAS, BOUNDARY = 16_384, 128, 4, 1.08
+from . import storage
+from . import textbytes as tb
+
+#: Rows of the sample at least and at most; distinct vectors of a list on average; lists of a vector at most, and how much
+#: farther than the nearest they are.
+SAMPLE, MOST, LIST, REPLICAS, BOUNDARY = 16_384, 262_144, 400, 4, 1.08
+BLOCK = 4096
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -47,35 +56,42 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centroids with a graph of their neighbours."""
+    """Centroids with a graph of their neighbours. most: the largest norm of all vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int = LISTS, rounds: int = 12) -> None:
-        self.most = float(np.sqrt((sample * sample).sum(1).max()))
-        x = _lift(sample, self.most)
+    def __init__(self, sample: np.ndarray, most: float, lists: int, rounds: int = 12) -> None:
+        self.most = most
+        x = _lift(sample, most)
         k = max(1, min(lists, len(x) // 16))
         rng = np.random.Generator(np.random.PCG64(3))
         self.c, weight = x[rng.choice(len(x), k, replace=False)].copy(), np.zeros(k)
+        to, near = np.zeros(len(x), np.int64), np.zeros(len(x))
         for _ in range(rounds):
-            d = _distances(x, self.c) ** 2
-            to = (d + weight).argmin(1)
+            for at in range(0, len(x), BLOCK):
+                d = _distances(x[at : at + BLOCK], self.c) ** 2
+                to[at : at + BLOCK], near[at : at + BLOCK] = (d + weight).argmin(1), d.min(1)
             n = np.bincount(to, minlength=k)
-            weight += 0.05 * d.min(1).mean() * (n / max(1, n.mean()) - 1)  # large lists become dearer
+            weight += 0.05 * near.mean() * (n / max(1, n.mean()) - 1)  # large lists become dearer
             total = np.zeros_like(self.c)
             np.add.at(total, to, x)
             self.c = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], self.c)
-        self.graph = np.argsort(_distances(self.c, self.c), 1)[:, 1 : 1 + min(24, k - 1)]
+        nearest = [np.argsort(_distances(self.c[at : at + BLOCK], self.c), 1)[:, 1 : 1 + min(24, k - 1)] for at in range(0, k, BLOCK)]
+        self.graph = np.concatenate(nearest)
         self.ratio = 1.0
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each vector joins: the nearest, and those at most BOUNDARY times as far."""
-        d = _distances(_lift(x, max(self.most, float(np.sqrt((x * x).sum(1).max())))), self.c)
-        near = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
-        at = np.take_along_axis(d, near, 1)
-        return [n[a <= a[0] * BOUNDARY] for n, a in zip(near, at, strict=True)]
+        """The lists that each vector joins: the nearest first, then those at most BOUNDARY times as far."""
+        out = []
+        for lo in range(0, len(x), BLOCK):
+            d = _distances(_lift(x[lo : lo + BLOCK], self.most), self.c)
+            near = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
+            at = np.take_along_axis(d, near, 1)
+            out += [n[a <= a[0] * BOUNDARY] for n, a in zip(near, at, strict=True)]
+        return out
 
     def walk(self, q: np.ndarray, ratio: float, least: int, sizes: np.ndarray) -> np.ndarray:
         """Best-first search of the graph from a few entries: all lists within `ratio` of the nearest that it meets,
-        and more while they hold fewer than `least` vectors."""
+        and more while they hold fewer than `least` ids. sizes: ids of the vectors whose nearest list it is, so that
+        none counts twice."""
         import heapq
 
         away = lambda rows: np.sqrt(((self.c[rows] - q) ** 2).sum(1))
@@ -96,6 +112,8 @@ class Index:
                 seen.update(new)
                 for pair in zip(away(np.array(new)).tolist(), new, strict=True):
                     heapq.heappush(todo, pair)
+        if held < least:  # the graph doesn't lead far enough: all lists
+            met = list(zip(away(np.arange(len(self.c))).tolist(), range(len(self.c)), strict=True))
         met.sort()
         out, held = [], 0
         for d, at in met:
@@ -110,7 +128,7 @@ class Index:
         scores = some @ sample.T
         true = [set(np.argpartition(-s, min(k, len(s) - 1))[:k].tolist()) for s in scores]
         member = self.lists_of(sample)
-        sizes = np.bincount(np.concatenate(member), minlength=len(self.c))
+        sizes = np.bincount([m[0] for m in member], minlength=len(self.c))
         q = np.column_stack([some / np.linalg.norm(some, axis=1)[:, None], np.zeros(len(some))])
         for self.ratio in (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4, 1.5, 1.7, 2.0, 1e9):
             hit = total = 0
@@ -122,45 +140,56 @@ class Index:
                 return
 
 
-def fit(vectors: DataFrame, k: int, recall: float = 0.97, sample: int = SAMPLE) -> tuple[Index | None, int]:
-    """The index of the `sample` vectors whose ids hash lowest, and the vectors' length."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    if not rows.num_rows:
+def distinct(vectors: DataFrame, k: int) -> DataFrame:
+    """h, v, rep (the smallest id), ids (the k smallest): one row for each distinct vector."""
+    rows = vectors.select(F.xxhash64("v").alias("h"), "v", "vec_id").distinct()
+    # the limit takes effect before the exchange as well, so a common vector doesn't gather in one task
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k)
+    return rows.groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def fit(index: DataFrame, k: int, recall: float = 0.97) -> tuple[Index | None, int]:
+    """The index of the distinct vectors whose smallest ids hash lowest, and the vectors' length.
+
+    There are 16 of them for each list, within SAMPLE and MOST.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    n, most = index.agg(F.count("*"), F.max(norm)).first()
+    if not n:
         return None, 0
-    sizes = np.array([len(v) for v in rows.column("v").to_pylist()])
+    lists = -(-n // LIST)
+    rows = index.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(min(MOST, max(SAMPLE, 16 * lists))).toArrow()
+    sizes = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     dim = int(np.bincount(sizes).argmax())
     x = _matrix(rows.filter(pa.array(sizes == dim)).column("v"), dim)
-    index = Index(x)
-    index.calibrate(x, k, recall)
-    return index, dim
+    made = Index(x, float(most), lists)
+    made.calibrate(x, k, recall)
+    return made, dim
 
 
-def best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The k best of one query: chosen by matrix product, then scored and ordered one by one."""
-    keep = np.flatnonzero(ids != own)
+def best(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k best (id, score) of one query: vectors are chosen by matrix product, then scored and ordered one by one.
+    ids: those of all vectors end to end, the i-th one's from first[i] on."""
+    keep = np.arange(len(scores))
     if len(keep) > k:
-        s = scores[keep]
-        edge = -np.partition(-s, k - 1)[k - 1]
-        keep = keep[s >= edge - 1e-9 * max(1.0, abs(edge))]
-    exact = (x[keep] * q).sum(1)
-    order = np.lexsort([ids[keep], -exact])
-    out: dict[int, float] = {}
-    for i, s in zip(ids[keep][order].tolist(), exact[order].tolist(), strict=True):
-        out.setdefault(i, s)
-        if len(out) == k:
-            break
-    return list(out.items())
+        edge = -np.partition(-scores, k - 1)[k - 1]
+        keep = keep[scores >= edge - 1e-9 * max(1.0, abs(edge))]
+    exact, n = (x[keep] * q).sum(1), first[keep + 1] - first[keep]
+    own, exact = ids[tb.row_ranges(first[keep], n)], np.repeat(exact, n)
+    order = np.lexsort([own, -exact])[:k]
+    return list(zip(own[order].tolist(), exact[order].tolist(), strict=True))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192, batch: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries(vec_id, v), the k vectors found that are nearest, not itself."""
     spark = vectors.sparkSession
-    index, dim = fit(vectors, k)
-    empty = "query_id long, rank int, vec_id long, score double"
+    every = storage.keep(distinct(vectors, k + 1), "vectors")
+    index, dim = fit(every, k)
     if index is None:
-        return spark.createDataFrame([], empty)
-    vectors, queries = (d.where(F.size("v") == dim) for d in (vectors, queries))
-    shared = spark.sparkContext.broadcast(index)  # LISTS centroids, whatever the input
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    every = every.where(F.size("v") == dim)
+    asking = storage.keep(distinct(queries.where(F.size("v") == dim), 1), "queries")
+    shared = spark.sparkContext.broadcast(index)  # centroids: MOST / 16 at most
 
     def post(batches):
         for b in batches:
@@ -170,44 +199,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
             lists = shared.value.lists_of(x)
             n = np.array([len(y) for y in lists])
             rows = pa.array(np.repeat(np.arange(len(x)), n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "vec_id", "v"])
-
-    posted = vectors.mapInArrow(post, "list int, vec_id long, v array<double>")
-    sizes = np.zeros(len(index.c), np.int64)
-    for row in posted.groupBy("list").count().collect():  # LISTS rows at most
-        sizes[row[0]] = row[1]
-    parts = np.maximum(1, -(-sizes // cap))
-    groups = max(1, -(-queries.count() // batch))
-    table = spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts.tolist())], "list int, parts long")
-    place = lambda c, n: F.pmod(F.xxhash64(c), n)
-    lists = posted.join(F.broadcast(table), "list").select("list", place("vec_id", F.col("parts")).cast("long").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "vec_id", "v")
+            primary = np.zeros(int(n.sum()), bool)
+            primary[np.cumsum(n) - n] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), pa.array(primary), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows)], names=["list", "nearest", "rep", "v", "ids"])
+
+    posted = storage.keep(every.select("rep", "v", "ids").mapInArrow(post, "list int, nearest boolean, rep long, v array<double>, ids array<bigint>"), "postings")
+    sizes, length = np.zeros(len(index.c), np.int64), np.zeros(len(index.c), np.int64)
+    for row in posted.groupBy("list").agg(F.sum(F.when(F.col("nearest"), F.size("ids"))), F.count("*")).collect():  # a row for each list
+        sizes[row[0]], length[row[0]] = row[1] or 0, row[2]
 
     def choose(batches):
         for b in batches:
             q = _matrix(b.column(1), dim)
-            found = [shared.value.walk(np.append(v / np.linalg.norm(v), 0.0), shared.value.ratio, 4 * k, sizes) for v in q]
+            found = [shared.value.walk(np.append(v / np.linalg.norm(v), 0.0), shared.value.ratio, k + 1, sizes) for v in q]
             if found:
                 rows = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "query_id", "q"])
-
-    asked = queries.select("vec_id", "v").mapInArrow(choose, "list int, query_id long, q array<double>").join(F.broadcast(table), "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), place("query_id", F.lit(groups)).cast("long").alias("g"), "query_id", "q")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "rep", "q"])
+
+    asked = storage.keep(asking.select("rep", "v").mapInArrow(choose, "list int, rep long, q array<double>"), "asked")
+    times = np.zeros(len(index.c), np.int64)
+    for row in asked.groupBy("list").count().collect():  # a row for each list
+        times[row[0]] = row[1]
+    parts = [(i, int(-(-n // cap) or 1), int(-(-t // batch) or 1)) for i, (n, t) in enumerate(zip(length.tolist(), times.tolist(), strict=True)) if t]
+    table = F.broadcast(spark.createDataFrame(parts, "list int, parts int, turns int"))  # a row for each list
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = posted.join(table, "list").select("list", place("rep", "parts").alias("part"), each("turns").alias("turn"), "v", "ids")
+    asked = asked.join(table, "list").select("list", each("parts").alias("part"), place("rep", "turns").alias("turn"), "rep", "q")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             q, x = _matrix(left.column("q"), dim), _matrix(right.column("v"), dim)
-            qid, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+            column = right.column("ids").combine_chunks()
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+            rep = left.column("rep").to_pylist()
             for at in range(0, len(q), 256):
                 for i, s in enumerate(q[at : at + 256] @ x.T, at):
-                    rows.append((int(qid[i]), [{"vec_id": n, "score": v} for n, v in best(s, ids, q[i], x, qid[i], k)]))
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "near": pa.array([r[1] for r in rows], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))})
-
-    keys = ["list", "part", "g"]
-    near = asked.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(score, "query_id long, near array<struct<vec_id: long, score: double>>")
-    one = near.select("query_id", F.inline("near")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    rows.append((rep[i], [{"vec_id": n, "score": v} for n, v in best(s, ids, first, q[i], x, k + 1)]))
+        return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "near": pa.array([r[1] for r in rows], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))})
+
+    keys = ["list", "part", "turn"]
+    near = asked.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(score, "rep long, near array<struct<vec_id: long, score: double>>")
+    # boundary vectors come from several lists, with one score
+    one = near.select("rep", F.inline("near")).groupBy("rep").agg(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id")).alias("near"))
+    one = one.select("rep", F.slice(F.sort_array("near"), 1, k + 1).alias("near"))
+    # back to every row that asks: its own id is no answer
+    rows = queries.where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("h"), "v").distinct()
+    rows = rows.join(asking.select("h", "v", "rep"), ["h", "v"]).select("query_id", "rep").join(one, "rep")
+    rows = rows.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    rows = rows.select("query_id", F.posexplode("near").alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.away")).alias("score"))
 
 
 def neighbours(table: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

@@ -303,6 +303,44 @@ def test_neighbours(spark):
     assert ann.neighbours(table.limit(0)).collect() == []
 
 
+def test_neighbours_of_repeated_rows_and_ties(spark):
+    """Sixty vectors, each ten times under its own ids, some rows twice: every query has its 20, in the defined order."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-2, 3, (60, 8)).astype(float) + 0.5
+    rows = [(i, base[i % 60].tolist()) for i in range(600)] + [(i, base[i % 60].tolist()) for i in range(0, 600, 7)]
+    x = np.array([base[i % 60] for i in range(600)])
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 20))
+    hit = 0
+    for q, near in got.items():
+        near.sort()
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.lexsort([np.arange(600), -s])[:20].tolist()
+        assert len(near) == 20 and near == sorted(near, key=lambda n: (-n[2], n[1]))
+        hit += len({n[1] for n in near} & set(want))
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_recall_beyond_the_sample(spark, monkeypatch):
+    """Of vectors that the index was not fitted on, and of sf0.1: at least 0.9 against brute force."""
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in ann.usable(table).withColumnRenamed("v", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = defaultdict(set)
+    for r in ann.neighbours(table).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in got:
+        s = x @ x[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hit += len(got[q] & set(ids[np.lexsort([ids, -s])[:20]].tolist()))
+    assert len(got) == (ids % 20 == 0).sum() and hit >= 0.9 * 20 * len(got)
+
+
 # ---- secrets ---------------------------------------------------------------------------------------------------------------------
 PARTS = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abc", "AKIA", "ABCDEFGH1234", "0123456789", "deadbeef", "é", "日", ",", "\n", "x.y", "_", "-----BEGIN RSA PRIVATE KEY-----", "ſecret", "xoxb-", " "]
 BASE = {
