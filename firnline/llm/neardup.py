@@ -1,22 +1,24 @@
 """MinHash near-duplicates by an LSH forest.
 
-Every distinct set of word shingles has a signature of minima, read in several orders. In each order, texts that agree
-on the first values form a region; a region of few texts yields its neighbours as candidates, and a region of many is
-cut by further values until few are left. Besides, each text of a large region is a candidate with two of its texts: the
-one whose shingles are most often those of the others (the middle of a group of copies), and the least. Candidates are
-confirmed on the full sets.
+Every distinct set of word shingles has a signature of minima, read in several orders. In each order the signatures are
+sorted, so texts that agree on the first values, a region, are neighbours, and the common prefix of each with the one
+before tells how far a region goes down. Depth adapts to the region: a stretch of few texts yields all its pairs as
+candidates, one of many is cut at longer prefixes until few are left; besides, each text of a large one is a candidate
+with the neighbours next to it, with the middle text of its region (whose shingles are most often those of the others),
+and with the least.
 
 These only join most copies of large groups cheaply. The texts of large regions are then compared exactly: by the
 rarest shingles of each, of which two linked texts share one, every pair that the links so far don't join already is a
 candidate, block by block where a shingle has many texts. Only pairs within what is joined already are left out, as they
-change no component. So a pair at the threshold is lost only if its texts share no region of the first level at all, in
-one of 100,000 cases at 0.8. Work grows with the square of a group where neither links nor rare shingles set its texts
-apart.
+change no component. So a pair is lost only if its texts share no region of the first level at all: in one case of ten
+million at a similarity of 0.85, of 100,000 at 0.8. Work grows with the square of a group where neither links nor rare
+shingles set its texts apart.
 
 Links are written once for each pair of distinct sets; equal sets share a class. The result is one row for each
 document. A text of fewer words than a shingle is one shingle; one without words, or null, has none and no links.
-Rows that share a doc_id count as one vertex each, by their own sets; null doc_ids are never a component's name. Ties
-go to the smaller doc_id. An empty table gives an empty result; further columns pass through `drop_near_duplicates`.
+Rows that share a doc_id count as one vertex each, by their own sets; null doc_ids are never a component's name, but link
+others. Ties go to the smaller doc_id. An empty table gives an empty result; further columns pass through
+`drop_near_duplicates`. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -81,9 +83,9 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                     n.append(len(s))
                     fp.append(fingerprint(s) if len(s) else None)
                     sig.append(signature(s).view(np.int32) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "fp", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "t", "n_shingles", "fp", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n_shingles long, fp binary, sig array<int>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -98,28 +100,88 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp binary, shingles array<bigint>")
 
 
-def _regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b), a < b, of neighbours in small regions; (key, fp, c) of the texts in large ones, c texts each."""
-    order = lambda t, i: F.element_at("sig", ((t * DEPTH + i) % VALUES + 1).cast("int"))  # noqa: E731  value i of order t
-    tree = F.col("tree")
-    rows = classes.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree"))
-    rows = rows.select("fp", "tree", F.xxhash64(tree, *[order(tree, i) for i in range(DEPTH)]).alias("key"))
-    pairs, large = None, None
+#: Texts of a region that one task sorts; a larger region is dealt to several.
+SORTED = 8192
+
+
+def stretches(key: np.ndarray, rest: np.ndarray, region: int):
+    """Of rows sorted by key and then by the rest of their order: pairs (i, j), and (level, rows) of each large stretch."""
+    n = len(key)
+    same = key[1:] == key[:-1]
+    differ = rest[1:] != rest[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), rest.shape[1]) if n > 1 else np.zeros(0, np.int64)
+    common = np.append(-1, np.where(same, common + DEPTH, -1))  # with the row before: values that agree
+    left, right, large = [], [], []
+    open_ = np.ones(n, bool)
     for level, depth in enumerate(DEPTHS):
-        counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        many = storage.keep(rows.join(counts, "key"), "regions")
-        near = many.where(F.col("c") <= region).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("x"))
-        near = near.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
-        pairs = near if pairs is None else pairs.union(near)
-        big = many.where(F.col("c") > region)
-        if big.isEmpty():
+        start = np.flatnonzero(common < depth)
+        size = np.diff(np.append(start, n))
+        few = (size > 1) & (size <= region) & open_[start]
+        for k in range(1, region):  # pairs k apart
+            rows = tb.row_ranges(start[few], np.maximum(0, size[few] - k))
+            left.append(rows)
+            right.append(rows + k)
+        many = (size > region) & open_[start]
+        open_ &= np.repeat(many, size)
+        if level:
+            large += [(level, np.arange(s, s + m)) for s, m in zip(start[many].tolist(), size[many].tolist(), strict=True)]
+        if not many.any():
             break
-        own = big.select("key", "fp", "c", F.lit(level).alias("level"))
-        large = own if large is None else large.union(own)
-        if depth < VALUES:
-            more = [order(tree, i) for i in range(depth, DEPTHS[level + 1])]
-            rows = big.select("fp", "tree", "key").join(classes, "fp").select("fp", "tree", F.xxhash64("key", *more).alias("key"))
-    return pairs.distinct(), large
+        if not level:  # neighbours in a large region
+            next_to = np.flatnonzero((common[1:] >= depth) & open_[1:])
+            left.append(next_to)
+            right.append(next_to + 1)
+    return np.concatenate(left), np.concatenate(right), large
+
+
+def _regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of neighbours; (key, fp, c, level) of the texts in large stretches, c texts each."""
+    tree = F.col("tree")
+    value = lambda i: F.element_at("sig", ((tree * DEPTH + i) % VALUES + 1).cast("int"))
+    rows = classes.select("fp", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree"))
+    rows = rows.select("fp", "tree", F.xxhash64(tree, *[value(i) for i in range(DEPTH)]).alias("key"))
+    many = storage.keep(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "regions")
+    at = (tree + 1) * DEPTH % VALUES + 1
+    rest = F.slice(F.concat("sig", "sig"), at.cast("int"), VALUES - DEPTH)
+    salt = F.when(F.col("c") > SORTED, F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / SORTED))).otherwise(0)
+    order = many.join(classes, "fp").select(F.xxhash64("key", salt).alias("k"), rest.alias("rest"), "fp")
+
+    def scan(batches):
+        from hashlib import blake2b
+
+        def emit(key, rest, fp):
+            left, right, large = stretches(key, rest, region)
+            i = np.concatenate([left, *[x for _, x in large]]).astype(np.int64)
+            size = [len(x) for _, x in large]
+            named = [int.from_bytes(blake2b(key[x[0]].tobytes() + rest[x[0]].tobytes() + bytes([level]), digest_size=8).digest(), "little", signed=True) for level, x in large]
+            none = len(left)
+            b = fp.take(pa.array(np.append(right, np.full(sum(size), -1)).astype(np.int64), mask=np.arange(len(i)) >= none))
+            whole = lambda values: pa.array(np.concatenate([np.zeros(none, np.int64), np.repeat(np.array(values, np.int64), size)]))
+            return pa.RecordBatch.from_arrays([fp.take(pa.array(i)), b, whole(named), whole(size), whole([level for level, _ in large])], names=["a", "b", "key", "c", "level"])
+
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            rest_of = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(key), VALUES - DEPTH)
+            fp = batch.column(2)
+            if held:
+                key, rest_of, fp = np.append(held[0], key), np.concatenate([held[1], rest_of]), pa.concat_arrays([held[2], fp])
+            # the last region may go on in the next batch; one beyond SORTED is large anyway, and cut
+            last = int(np.searchsorted(key[::-1] != key[-1], True))
+            end = len(key) - last if last <= 4 * SORTED else len(key)
+            if end:
+                yield emit(key[:end], rest_of[:end], fp.slice(0, end))
+            held = (key[end:].copy(), rest_of[end:].copy(), fp.slice(end)) if end < len(key) else None
+        if held:
+            yield emit(*held)
+
+    dealt = order.repartition("k").sortWithinPartitions("k", "rest", "fp")
+    found = storage.keep(dealt.mapInArrow(scan, "a binary, b binary, key long, c long, level long"), "forest")
+    pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = many.where(F.col("c") > region).select("key", "fp", "c", F.lit(0).cast("long").alias("level"))
+    return pairs, large.union(found.where("b is null").select("key", F.col("a").alias("fp"), "c", "level"))
 
 
 def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,13 +264,10 @@ def _apart(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*ends, *[F.when((F.col("xfp") < F.col("yfp")) == F.lit(k == "a"), F.col("xn")).otherwise(F.col("yn")).alias("n" + k) for k in "ab"]).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 12) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: one row for each document.
-
-    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles.
-    """
+def _near(docs: DataFrame, words: int, percent: int, region: int) -> DataFrame:
+    """doc_id, t (a hash of the text), n_shingles, component_id: one row for each document."""
     feats = storage.keep(_features(docs, words), "shingles")
-    classes = storage.keep(feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = storage.keep(feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     size = classes.select("fp", "n")
 
     def comparable(pairs):
@@ -217,20 +276,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region:
 
     near, large = _regions(classes.select("fp", "sig"), region)
     pairs = storage.keep(comparable(near), "pairs")
-    # the sets of the texts that some pair names
+    crowded = not large.isEmpty()
+    # the sets of the texts that some pair names, by a hash of one text of each
     needed = pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-    if large is not None:
+    if crowded:
         needed = needed.union(large.where("level = 0").select("fp"))
-    owners = classes.join(needed.distinct(), "fp", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(owners, "doc_id", "left_semi")
+    owners = classes.join(needed.distinct(), "fp", "left_semi").select("t").distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(owners, "t", "left_semi").groupBy("t", "text").agg(F.lit(1)).select("text")
     sets = storage.keep(_sets(texts, words).dropDuplicates(["fp"]), "sets")
-    if large is not None:
+    if crowded:
         pairs = pairs.union(storage.keep(comparable(_stars(large, sets)), "pairs")).distinct()
     left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     linked = lambda pairs: pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(linked(pairs))
-    if large is not None:
+    if crowded:
         # what the exact comparison adds joins components
         hot = sets.join(large.where("level = 0").select("fp").distinct(), "fp", "left_semi")
         more = storage.keep(linked(storage.keep(_apart(hot, found, percent), "pairs")), "links")
@@ -245,12 +305,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region:
     of = classes.select("fp", "rep").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "component").select("fp", "component_id")
-    out = feats.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = feats.select("doc_id", "t", "n_shingles", "fp").join(of, "fp", "left")
+    return out.select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _kept():
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 12) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach), kept: one row for each document.
+
+    Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of `words`-word shingles.
+    """
+    return _near(docs, words, percent, region).select("doc_id", "n_shingles", "component_id", _kept().alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose document isn't kept; rows without doc_id stay."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, region: int = 12) -> DataFrame:
+    """docs without the rows that aren't kept, each judged by its own text; rows without doc_id stay."""
+    one, two = "_gone", "_text"
+    while {one, two} & {*docs.columns}:
+        one, two = one + "_", two + "_"
+    gone = _near(docs, words, percent, region).where(~_kept()).select(F.col("doc_id").alias(one), F.col("t").alias(two)).distinct()
+    own = [docs["doc_id"] == F.col(one), F.xxhash64(docs["text"]) == F.col(two)]
+    return docs.join(gone, own, "left_anti").select(*[f"`{c}`" for c in docs.columns])

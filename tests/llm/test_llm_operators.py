@@ -467,6 +467,71 @@ def test_near_duplicate_edges(spark):
     assert len(got) == 5 and {(g.doc_id, g.component_id) for g in got if g.n_shingles} == {(1, 1), (None, 1), (2, 1)}
 
 
+def test_seven_hundred_pairs_of_one_family(spark):
+    """Near copies of one text in pairs: every pair at 85 or more, its text and other pairs' farther apart."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for p in range(700):
+        w = list(base)
+        for i in r.sample(range(240), 12):
+            w[i] = f"p{p}x{i}"
+        rows.append((2 * p, " ".join(w)))
+        w[r.randrange(240)] = "other"
+        rows.append((2 * p + 1, " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(238)} for d, t in rows}
+    assert all(100 * len(sets[2 * p] & sets[2 * p + 1]) >= 85 * len(sets[2 * p] | sets[2 * p + 1]) for p in range(700))
+    got = {g.doc_id: g.component_id for g in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    assert all(got[2 * p] == got[2 * p + 1] for p in range(700))
+
+
+def test_null_ids_link_and_rows_go_by_their_text(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (None, text.replace("w59", "z")), (7, text.replace("w59", "z").replace("w0 ", "y ")), (7, "something else that stays here"), (8, text)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(g.component_id for g in neardup.near_duplicates(docs, 3, 85).collect()) == [5, 5, 5, 5, 7]
+    left = sorted((r.doc_id or 0, r.text[:9]) for r in neardup.drop_near_duplicates(docs, 3, 85).collect())
+    assert left == [(0, "w0 w1 w2 "), (5, "w0 w1 w2 "), (7, "something")]
+
+
+def test_stretches_of_a_sorted_order():
+    rng = np.random.default_rng(1)
+    rest = rng.integers(0, 2, (300, neardup.VALUES - neardup.DEPTH)).astype(np.int32)
+    rest[:40] = rest[0]
+    key = np.sort(rng.integers(0, 9, 300))
+    order = np.lexsort([*rest.T[::-1], key])
+    key, rest = key[order], rest[order]
+    left, right, large = neardup.stretches(key, rest, 6)
+    found = set(zip(left.tolist(), right.tolist(), strict=True))
+    assert all(key[i] == key[j] and i < j for i, j in found)
+    assert all(len({tuple(rest[i, : neardup.DEPTHS[level] - neardup.DEPTH]) for i in rows}) == 1 and len(rows) > 6 for level, rows in large)
+    for i in range(299):  # sorted neighbours are candidates
+        assert key[i] != key[i + 1] or (i, i + 1) in found
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_polynomials_confuse(spark, n):
+    """A text and its complement, letter by letter: as one word, and as words of one letter."""
+    x = thue_morse(n)
+    y = x.translate(str.maketrans("ab", "ba"))
+    h = tb.segments(np.frombuffer((x + y).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokens.default_path()), tokens.encoder(tokens.default_path())
+    ids, ends = own.encode(pa.array([x, y]))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [whole.encode(t, add_special_tokens=False).ids for t in (x, y)]
+    rows = [(1, x + " p q"), (2, y + " p q")]
+    assert {g.component_id for g in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()} == {1, 2}
+    rows = [(1, x + " " + " ".join(f"w{i}" for i in range(20))), (2, y + " " + " ".join(f"w{i}" for i in range(19)) + " z")]
+    got = recompression.repeat_digest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [g.n_removed for g in got] == [0, 0]
+
+
 # ---- quotations ----------------------------------------------------------------------------------------------------------------------
 def test_conversations(spark):
     rows = [
