@@ -1,15 +1,21 @@
 """Suffix-array dedup: removes bytes covered by a string of `window` bytes that also starts in an earlier document.
 
-Per shard, the stretches of text that may hold repeats are put end to end, their suffixes sorted by Larsson-Sadakane
-refinement (groups of equal prefixes only, twice the depth each time) and the common prefixes of neighbours found as by
-Kasai, carried from each position to the next, for many stretches of positions at once. Neighbours that share `window`
-bytes are one string; each goes to the other shards once, and sorted runs of shards are merged by binary search. Which
-stretches may hold repeats is found first from sampled strings: every window has a least hashed gram, and what is
-around grams that differ nowhere needs no suffix array (see firstseen).
+Each shard's text has a suffix array by Larsson-Sadakane refinement: suffixes are grouped by their first bytes, and groups
+of several are split by the rank of what follows, twice as far each time, until DEPTH bytes are settled. Kasai's
+common prefixes of neighbours, carried from each position to the next, tell where `window` bytes agree: such neighbours
+are one string. A string that an earlier document of the shard has is a repeat.
+
+Between shards, what is left travels: the other strings of a shard, as stretches of text in the order of the suffixes, so
+that neighbouring strings share their bytes. Each goes to the bucket of its anchor (its least hashed gram), where the sorted
+runs of all shards are merged by binary search over the bytes, and each string's earliest document is found. Equal bytes
+alone decide. Beforehand one exchange of the anchors' hashes tells which of them a second shard has at all: strings
+without such an anchor stay where they are. An anchor that very many stretches have sends its strings one by one, each
+to a bucket of its own, so a passage that a third of all documents share isn't one task's.
 
 Texts are bytes of UTF-8, so what is left may cut characters: `kept` is binary. Null or empty texts have no bytes.
-Rows that share a doc_id are one document in this: none of them is earlier than another. Null doc_ids come first and
-count as one. An empty table gives an empty result; extra columns are ignored.
+Rows that share a doc_id are one document in this: none of them is earlier than another, whatever shards they are in.
+Null doc_ids come first and count as one. An empty table gives an empty result; extra columns are ignored. A text is
+held whole by one task, with its suffix array.
 """
 
 from __future__ import annotations
@@ -19,39 +25,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import firstseen
+from . import shards
 from . import textbytes as tb
 
+#: Stretches of one anchor, in all shards, from which on its strings travel one by one.
+COMMON = 4096
+#: Bytes of text for each bucket.
+SHARE = 4 << 20
+_PLACE = np.uint64((1 << 21) - 1)
 
-def suffix_array(buf: np.ndarray) -> np.ndarray:
-    """Positions sorted by the bytes from there to the end."""
-    n = len(buf)
-    key = np.zeros(n, np.uint64)
-    wide = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | wide[i : i + n]
-    order = np.argsort(key)
-    s = key[order]
-    new = np.append(True, s[1:] != s[:-1])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+
+def suffix_array(buf: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions sorted by the bytes from there to the end, or by the first `depth` of them at least."""
+    n, h = len(buf), 5
+    if not n:
+        return np.zeros(0, np.int64)
+    small = n <= int(_PLACE) + 1
+    head = tb.eights(buf)[:n].byteswap() >> np.uint64(24)  # five bytes
+    if small:  # the position in the low bits: sorting numbers is several times faster than sorting places
+        head = head << np.uint64(21) | np.arange(n, dtype=np.uint64)
+        head.sort()
+        order, head = (head & _PLACE).astype(np.int32), head >> np.uint64(21)
+    else:
+        order = np.argsort(head, kind="stable")
+        head = head[order]
+    new = np.append(True, head[1:] != head[:-1])
+    del head
+    rank = np.empty(n, np.int32)
     at = np.flatnonzero(new)
     rank[order] = np.repeat(at, np.diff(np.append(at, n)))
-    h = 8
-    while True:
+    while depth is None or h < depth:
         # members of groups that aren't single, by group and by the rank h bytes on
         size = np.diff(np.append(at, n))
-        open_ = np.repeat(size > 1, size)
-        places = np.flatnonzero(open_)
+        places = np.flatnonzero(np.repeat(size > 1, size))
         if not len(places):
             break
-        i = order[places]
-        follow = rank[np.minimum(i + h, n)]
-        by = np.argsort((rank[i].astype(np.uint64) << np.uint64(32)) | (follow + 1).astype(np.uint64))
-        i, follow = i[by], follow[by]
+        i = order[places].astype(np.int64)
+        # a suffix that ends within h bytes comes before the others, the shorter one first
+        follow = np.where(i + h < n, rank[np.minimum(i + h, n - 1)] + (h + 1), n - i).astype(np.uint64)
+        group = rank[i].astype(np.uint64)
+        if small:
+            packed = group << np.uint64(43) | follow << np.uint64(21) | i.astype(np.uint64)
+            packed.sort()
+            i, packed = (packed & _PLACE).astype(np.int64), packed >> np.uint64(21)
+            fresh = np.append(True, packed[1:] != packed[:-1])
+        else:
+            by = np.lexsort([follow, group])
+            i, follow, group = i[by], follow[by], group[by]
+            fresh = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
         order[places] = i
-        group = rank[i]
-        fresh = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
         first = np.flatnonzero(fresh)
         rank[i] = np.repeat(places[first], np.diff(np.append(first, len(i))))
         new[places] = fresh
@@ -63,13 +85,10 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
 def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
     """For each place of the array, the common prefix with the place before, up to `most`."""
     n = len(buf)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    words = np.zeros(n + 8, np.uint64)  # eight bytes from each position
-    wide = np.concatenate([buf, np.zeros(16, np.uint8)]).astype(np.uint64)
-    for i in range(8):
-        words = words << np.uint64(8) | wide[i : i + n + 8]
-    by_position = np.zeros(n, np.int32)
+    words = tb.eights(buf)
+    by_position = np.zeros(n, np.int16)
     start = np.arange(0, n, lane)
     length = np.zeros(len(start), np.int64)
     for t in range(lane):  # in each lane, a prefix loses one byte at most from one position to the next
@@ -79,15 +98,15 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 2
         if i[-1] >= n:
             inside = i < n
             i, start, length = i[inside], start[inside], length[inside]
-        j = before[i]
+        j = before[i].astype(np.int64)
         length = np.where(j >= 0, np.maximum(length - 1, 0), 0)
         going = np.flatnonzero(j >= 0)
         while len(going):
             at = length[going]
             differ = words[np.minimum(i[going] + at, n)] ^ words[np.minimum(j[going] + at, n)]
             same = np.zeros(len(going), np.int64)
-            for k in range(8):
-                same += differ < np.uint64(1 << (8 * k))  # leading bytes that agree
+            for k in range(1, 9):  # bytes from the lowest on that agree
+                same += differ << np.uint64(64 - 8 * k) == 0
             length[going] = at + same
             going = going[(same == 8) & (at + same < most)]
         # beyond the end nothing agrees
@@ -96,72 +115,164 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 2
     return by_position[order]
 
 
-class ByteWindows(firstseen.Finder):
-    within = False
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>"
+def grams(buf: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from every place that has so many; n is a multiple of eight."""
+    words = tb.eights(buf)
+    m = max(0, len(buf) - n + 1)
+    h = np.full(m, n, np.uint64)
+    for k in range(0, n, 8):
+        h ^= words[k : k + m]
+        h *= tb.BASE
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def anchors(buf: np.ndarray, start: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows at `start`: where the gram with the least hash is, and the hash of it."""
+    h = grams(buf, gram)
+    bits = np.uint64(max(1, len(buf).bit_length()))
+    least = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    room, size = window - gram + 1, 1
+    while size * 2 <= room:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if room > size:
+        least = np.minimum(least[: size - room], least[room - size :])
+    at = (least[start] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    return at, tb.mix(h[at])
+
+
+def windows(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every window's start, and its document."""
+    n = np.maximum(0, np.diff(offsets) - window + 1)
+    return tb.row_ranges(offsets[:-1], n), np.repeat(np.arange(len(n)), n)
+
+
+def strings_of(buf: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and a number for each of its places: equal where `window` bytes agree."""
+    order = suffix_array(buf, window)
+    return order, np.cumsum(common_prefixes(buf, order, window) < window)
+
+
+def cover(start: np.ndarray, window: int, n: int) -> np.ndarray:
+    """The places of windows at `start`."""
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + window, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
 
-    def __init__(self, window: int = 50, gram: int = 24) -> None:
-        self.window, self.gram = window, gram
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
-    def elements(self, buf, offsets, rank):
-        return firstseen.Sequence(firstseen.prefix(buf), offsets, rank)
 
-    def anchored(self, seq, start, doc):
-        n, g, room = len(seq.prefix) - 1, self.gram, self.window - self.gram + 1
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int = 2_000_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and removed (stretches of bytes)."""
+    table, total = shards.shards(docs, size)
+    buckets = max(1, -(-total // SHARE))
+    strings = shards.Strings(window, 1, gram, by_shard=False)
+
+    def tell(shard, row):
+        """The distinct anchors, and how many stretches each has, up to 255."""
+        start, doc = windows(shard.offsets, window)
         if not len(start):
-            return firstseen.occurrences(seq, start, doc, start, None, self.window)
-        bits = np.uint64(max(1, n.bit_length()))
-        least = seq.grams(g) >> bits
-        least = least << bits | np.arange(len(least), dtype=np.uint64)
-        size = 1
-        while size * 2 <= room:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if room > size:
-            least = np.minimum(least[: size - room], least[room - size :])
-        least = least[start]
-        anchor = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-
-        def key_of(first_windows):
-            at = anchor[first_windows]
-            return seq.hash(at, at + g), at
-
-        return firstseen.occurrences(seq, start, doc, anchor, key_of, self.window)
-
-    def classes(self, seq, buf, start, exact=True):
+            return
+        at, h = anchors(shard.buf, start, window, gram)
+        h = h[np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))]
+        h, n = np.unique(h, return_counts=True)
+        by = np.argsort(_bucket(h, buckets), kind="stable")
+        h, n = h[by], np.minimum(n[by], 255).astype(np.uint8)
+        yield shards.runs(shard.number, _bucket(h, buckets), lambda a, e: h[a:e].tobytes() + n[a:e].tobytes())
+
+    def count(sent, _):
+        """Two bits for each anchor: another shard has it; very many stretches have it."""
+        n = [len(x) // 9 for x in sent]
+        h = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(sent, n, strict=True)])
+        times = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(sent, n, strict=True)])
+        _, inverse, held = np.unique(h, return_inverse=True, return_counts=True)
+        both = np.column_stack([held[inverse] > 1, np.bincount(inverse, times)[inverse] > COMMON])
+        return [np.packbits(x).tobytes() for x in np.split(both, np.cumsum(n)[:-1])]
+
+    told = shards.answer(shards.each(table.select(*shards.NAMES), tell, shards.RUN), count, "anchors")
+
+    def sort(shard, row):
+        """Repeats within the shard, and the stretches whose strings another shard may have. The shard's own row says which."""
+        start, doc = windows(shard.offsets, window)
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        if not exact:  # the names that the sorted strings travelled under
-            h = seq.hash(start, start + self.window)
-            return h, h
-        # the stretches that the windows cover, end to end
-        edge = np.bincount(start, minlength=len(buf) + 1) - np.bincount(start + self.window, minlength=len(buf) + 1)
-        inside = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-        text = buf[inside]
-        place = np.searchsorted(inside, start)
-        order = suffix_array(text)
-        new = common_prefixes(text, order, self.window) < self.window
-        number = np.empty(len(text), np.int64)
-        number[order] = np.cumsum(new)
-        return number[place], seq.hash(start, start + self.window)
-
-    def output(self, row, seq, covered):
-        ids, nulls, offsets, buf, _ = firstseen.unpack(row)
-        n, kept, removed = np.diff(offsets), [], []
-        for i in range(len(ids)):
-            a, b = int(offsets[i]), int(offsets[i + 1])
-            own = covered[a:b]
-            kept.append(buf[a:b][~own].tobytes())
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-            removed.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
-        gone = [sum(r["end"] - r["start"] for r in x) for x in removed]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
-
-
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and removed (stretches of bytes)."""
-    return ByteWindows(window).run(docs)
+            return
+        order, number = strings_of(shard.buf, window)
+        rank = np.full(len(shard.buf), np.iinfo(np.int32).max, np.int32)
+        rank[start] = shard.rank[doc]
+        least = np.minimum.reduceat(rank[order], np.flatnonzero(np.append(True, number[1:] != number[:-1])))
+        place = np.empty(len(order), np.int32)  # in the suffix array
+        place[order] = np.arange(len(order), dtype=np.int32)
+        own = number[place[start]] - number[0]
+        again = least[own] < rank[start]
+        del order, least, rank
+        at, h = anchors(shard.buf, start, window, gram)
+        one, inverse = np.unique(h, return_inverse=True)
+        by = np.argsort(_bucket(one, buckets), kind="stable")
+        bit = shards.bits(shards.answers(row, "anchors"), _bucket(one[by], buckets), np.full(len(one), 2)).reshape(-1, 2)
+        flags = np.empty_like(bit)
+        flags[by] = bit
+        shared, common = flags[inverse].T
+        open_ = np.flatnonzero(shared & ~again)
+        if len(open_):
+            # neighbouring windows of one anchor are a stretch; those of common anchors stay apart
+            new = np.append(True, (start[open_][1:] != start[open_][:-1] + 1) | (at[open_][1:] != at[open_][:-1]) | common[open_][1:])
+            low = open_[new]
+            n = np.diff(np.append(np.flatnonzero(new), len(open_)))
+            high = low + n - 1
+            # equal stretches begin and end with equal strings: the first one, in the order of suffixes, goes
+            name = np.column_stack([_bucket(np.where(common[low], tb.segments(shard.buf, start[low], start[low] + window), h[low]), buckets), own[low], own[high], n])
+            records, first, record = np.unique(name, axis=0, return_index=True, return_inverse=True)
+            record = record.reshape(-1)
+            bucket, n, lead = records[:, 0], records[:, 3], low[first]
+            anchor = np.where(common[lead], 255, at[lead] - start[lead])
+            pack = strings.pack(shard.order[doc[lead]], anchor, n, start[lead], shard.buf)
+            yield shards.runs(shard.number, bucket, pack)
+        else:
+            bucket = n = low = record = np.zeros(0, np.int64)
+        state = [np.packbits(cover(start[again], window, len(shard.buf))), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4"), record.astype("<u4")]
+        sizes = np.array([len(bucket), len(low)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([shard.number]), pa.array([-1]), pa.array([sizes.tobytes() + b"".join(x.tobytes() for x in state)], pa.binary())], names=["shard", "bucket", "run"])
+
+    sent = shards.storage.keep(shards.each(table.join(told, "shard", "left").select(*shards.NAMES, "anchors"), sort, shards.RUN), "strings")
+    found = shards.answer(sent.where("bucket >= 0"), strings.reduce, "found")
+    own = sent.where("bucket < 0").select("shard", F.col("run").alias("state"))
+
+    def remove(shard, row):
+        n = len(shard.buf)
+        covered = np.zeros(n, bool)
+        if row["state"]:
+            x = row["state"]
+            records, stretches = np.frombuffer(x, np.int64, 2)
+            at = 16
+            parts = []
+            for kind, many in ((np.uint8, -(-n // 8)), ("<i8", records), ("<u2", records), ("<u4", stretches), ("<u4", stretches)):
+                parts.append(np.frombuffer(x, kind, int(many), at))
+                at += parts[-1].nbytes
+            covered = np.unpackbits(parts[0])[:n].astype(bool)
+            count, low, record = (p.astype(np.int64) for p in parts[2:])
+            bit = shards.bits(shards.answers(row, "found"), parts[1], count)
+            first = (np.cumsum(count) - count)[record]
+            many = count[record]
+            start = tb.row_ranges(low, many)
+            covered |= cover(start[bit[tb.row_ranges(first, many)]], window, n)
+        yield _output(shard, covered)
+
+    joined = table.join(own, "shard", "left").join(found, "shard", "left").select(*shards.NAMES, "state", "found")
+    return shards.each(joined, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>")
+
+
+def _output(shard: shards.Shard, covered: np.ndarray) -> pa.RecordBatch:
+    kept, removed = [], []
+    for a, b in zip(shard.offsets.tolist(), shard.offsets[1:].tolist(), strict=False):
+        own = covered[a:b]
+        kept.append(shard.buf[a:b][~own].tobytes())
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+        removed.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
+    gone = [sum(r["end"] - r["start"] for r in x) for x in removed]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([shard.doc_ids(), pa.array(np.diff(shard.offsets)), pa.array(gone, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:

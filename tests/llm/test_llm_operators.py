@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.llm import ann, automaton, components, decontaminate, firstseen, materialise, neardup, packing, quality, quotes, recompression, secrets, suffixes, tokens
+from firnline.llm import ann, automaton, components, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, suffixes, tokens
 from firnline.llm import textbytes as tb
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,11 +49,6 @@ def corpus(seed, n, letters="abcd", joint=" "):
     return [*rows, (n, None), (n + 1, ""), (n + 2, "  \n "), (n + 3, "one"), (n + 4, rows[0][1])]
 
 
-def small_shards(monkeypatch, size):
-    real = firstseen.shards
-    monkeypatch.setattr(firstseen, "shards", lambda docs: real(docs, size))
-
-
 # ---- suffix arrays ------------------------------------------------------------------------------------------------------
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(1)
@@ -69,9 +64,11 @@ def test_suffix_array_and_common_prefixes():
             assert got[j] == min(m, 50)
 
 
-@pytest.mark.parametrize("size", [3000, 1 << 20])
-def test_suffix_dedup(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "common", "share"), [(1500, 4096, 4 << 20), (3000, 2, 2000), (1 << 20, 4096, 4 << 20)])
+def test_suffix_dedup(spark, monkeypatch, size, common, share):
+    """One text is larger than a shard of the first two sizes; strings of common anchors travel one by one in the second."""
     rows = corpus(3, 120, "abcdé ", "")
+    rows += [(500, rows[3][1] + "\0" * 120 + rows[7][1] * 3 + "".join(chr(97 + i % 23) for i in range(2500))), (501, "\0" * 130 + rows[5][1]), (502, "z" + rows[7][1])]
     first = {}
     for d, t in rows:
         b = (t or "").encode()
@@ -86,9 +83,28 @@ def test_suffix_dedup(spark, monkeypatch, size):
                 cover[i : i + 50] = 1
         spans = (np.diff(np.concatenate([[0], cover])) == 1).sum() if len(b) else 0
         want[d] = (len(b), int(cover.sum()), int(spans), sha(bytes(x for x, c in zip(b, cover, strict=True) if not c)))
-    small_shards(monkeypatch, size)
-    got = suffixes.repeat_digest(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
-    assert {r[0]: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
+    monkeypatch.setattr(suffixes, "COMMON", common)
+    monkeypatch.setattr(suffixes, "SHARE", share)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), size=size).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, sha(bytes(r.kept))) for r in got} == want and len(got) == len(rows)
+
+
+def test_suffix_arrays_decide(spark, monkeypatch):
+    """Without the classes of the suffix array, or without the merge of sorted strings, repeats aren't found."""
+    text = "".join(chr(97 + i * i % 26) for i in range(90))
+    docs = spark.createDataFrame([(1, text), (2, text)], SCHEMA)
+    removed = lambda parts: sum(r.n_removed for r in suffixes.remove_repeats(docs.repartition(parts)).collect())
+    assert removed(1) == removed(2) == 90
+    real = suffixes.strings_of
+    monkeypatch.setattr(suffixes, "strings_of", lambda buf, window: (real(buf, window)[0], np.arange(len(buf)) + 1))
+    assert removed(1) == 0
+
+
+def test_rows_of_one_doc_id_in_several_shards(spark):
+    text = "".join(chr(97 + i * i % 26) for i in range(90))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text + "?"), (2, text), (None, text)], SCHEMA).repartition(5)
+    got = suffixes.remove_repeats(docs, size=80).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 90), (1, 90), (1, 90), (2, 90)]
 
 
 # ---- recompression ------------------------------------------------------------------------------------------------------
