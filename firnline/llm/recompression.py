@@ -1,162 +1,407 @@
 """Substring dedup by recompression: removes words covered by a window whose words start earlier in the corpus.
 
-Each round names runs (once, of words) and then pairs: symbols fall into left and right ones by a bit of their name,
-and every left symbol followed by a right one becomes one symbol, named by a hash of the two. Names are functions of
-content, so they are the same all over the corpus without an exchange, and which symbols arise depends on nearby words
-only: each symbol carries the stretch of words that decides it. Equal windows share all symbols decided within them.
-A window's anchor is such a symbol of the highest round, the least name first; the words that decide it are the key.
-Shared keys reveal repeats, and windows are compared only where one key has several contents (see firstseen).
-
-Null or empty texts have no words. Order is by doc_id, nulls first; rows that share a doc_id are in hash order of
-their texts. Windows never cross rows. An empty table gives an empty result; extra columns are ignored.
+Names are global: in each round every shard sends what it wants named, once, and Spark reducers give equal things one
+number and tell whether a second shard has them. Round 0 names words, by their bytes. Each later round folds runs of one
+symbol, lets symbols fall into left and right ones by a bit of their name, and has every left symbol followed by a right
+one named as a pair, runs with their lengths. Which symbols arise depends on nearby words only: each carries the stretch
+of words that decides it, and equal windows share all symbols decided within them.
+
+So a window can be in another shard only if all symbols decided within it are; one that holds a symbol of a single shard
+is new there. The others are revealed by their anchor, the symbol of the highest round decided within them with the least
+mixed name. Stretches of windows with one anchor go to the anchor's bucket as the numbers of their words, and there each
+window is verified word by word against the other shards' (see shards.Strings). Within a shard, windows are named by
+doubling from the words' numbers. Equal words alone decide; hashes only choose buckets and anchors.
+
+An anchor that very many places have sends its windows one by one, each to a bucket of its own.
+
+Null or empty texts have no words. Order is by doc_id, nulls first; rows that share a doc_id follow one another by shard
+and place in it. Windows never cross rows. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import firstseen
+from . import shards
 from . import textbytes as tb
+from .suffixes import cover, windows
+
+ROUNDS = 3
+#: Places of one symbol, in all shards, from which on its windows travel one by one.
+COMMON = 4096
+#: Bytes of text for each bucket; bytes of a word's number.
+SHARE, WIDTH = 4 << 20, 6
+
+
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first: what is 0 in all of them compresses to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
 
+def numbers(data: bytes, at: int, n: int, width: int = 8) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8")[:, 0]
+
+
+@dataclass
+class Names:
+    """Of a shard's distinct symbols: global number, whether a second shard has it, whether very many places have it."""
+
+    number: np.ndarray
+    shared: np.ndarray
+    common: np.ndarray
+
+    def add(self, other: Names) -> Names:
+        return Names(*(np.concatenate([a, b]) for a, b in zip((self.number, self.shared, self.common), (other.number, other.shared, other.common), strict=True)))
+
+
+@dataclass
 class Symbols:
-    """A round's symbols in order: name, document, and the words [left, right) that decide it; first: documents' words."""
+    """A round's symbols in order: which of the shard's, document, and the words [left, right) that decide it."""
 
-    def __init__(self, name, doc, left, right, first) -> None:
-        self.name, self.doc, self.left, self.right, self.first = name, doc, left, right, first
+    which: np.ndarray
+    doc: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
 
-def words_as_symbols(h: np.ndarray, first: np.ndarray) -> Symbols:
-    i = np.arange(len(h))
-    return Symbols(h, np.repeat(np.arange(len(first) - 1), np.diff(first)), i, i + 1, first)
+def _mix(number: np.ndarray, count: np.ndarray, salt: int) -> np.ndarray:
+    return tb.mix(tb.mix(number * tb.BASE + count.astype(np.uint64)) + np.uint64(salt))
 
 
-def _beside(s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether there is a left and a right neighbour in the document, and how far each reaches."""
+def beside(s: Symbols, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far left the symbol before reaches, and how far right the one behind; at a document's edge, a word beyond it,
+    which no window holds."""
     same = s.doc[1:] == s.doc[:-1]
-    before, after = np.append(False, same), np.append(same, False)
-    # at a document's edge, a word beyond it: no window holds that
-    left = np.where(before, np.append(0, s.left[:-1]), s.first[s.doc] - 1)
-    right = np.where(after, np.append(s.right[1:], 0), s.first[s.doc + 1] + 1)
-    return before, after, left, right
-
-
-def name_runs(s: Symbols) -> Symbols:
-    """Stretches of one symbol become one; deciding that a stretch ends takes the symbols on both sides."""
-    if not len(s.name):
-        return s
-    _, _, left, right = _beside(s)
-    new = np.ones(len(s.name), bool)
-    new[1:] = (s.name[1:] != s.name[:-1]) | (s.doc[1:] != s.doc[:-1])
+    left = np.where(np.append(False, same), np.append(0, s.left[:-1]), first[s.doc] - 1)
+    right = np.where(np.append(same, False), np.append(s.right[1:], 0), first[s.doc + 1] + 1)
+    return left, right
+
+
+def fold(s: Symbols, first: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Runs of one symbol as one, and their lengths; deciding that a run ends takes the symbols on both sides."""
+    new = np.ones(len(s.which), bool)
+    new[1:] = (s.which[1:] != s.which[:-1]) | (s.doc[1:] != s.doc[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(new)) - 1
-    n = (last - at + 1).astype(np.uint64)
-    name = np.where(n > 1, tb.mix(s.name[at] ^ tb.mix(n)), s.name[at])
-    return Symbols(name, s.doc[at], left[at], right[last], s.first)
-
-
-def name_pairs(s: Symbols, bit: int) -> Symbols:
-    """Left symbols join the right symbols behind them."""
-    if not len(s.name):
-        return s
-    before, after, left, right = _beside(s)
-    is_left = (tb.mix(s.name + np.uint64(bit)) & np.uint64(1)).astype(bool)
-    joins = np.append(is_left[:-1] & ~is_left[1:], False) & after
-    joined = np.append(False, joins[:-1])
-    keep = np.flatnonzero(~joined)
-    pair = joins[keep]
-    nxt = np.minimum(keep + 1, len(joins) - 1)
-    name = np.where(pair, tb.mix(s.name[keep] * tb.BASE + s.name[nxt]), s.name[keep])
-    # a left symbol alone is decided by what follows, a right one alone by what comes before
-    lo = np.where(pair | is_left[keep], s.left[keep], np.minimum(s.left[keep], left[keep]))
-    hi = np.where(pair, s.right[nxt], np.where(is_left[keep], np.maximum(s.right[keep], right[keep]), s.right[keep]))
-    return Symbols(name, s.doc[keep], lo, hi, s.first)
-
-
-def rounds(h: np.ndarray, first: np.ndarray, pairs: int) -> list[Symbols]:
-    """Words, words in runs, and `pairs` rounds of pairs."""
-    out = [words_as_symbols(h, first)]
-    out.append(name_runs(out[0]))
-    for k in range(pairs):
-        out.append(name_pairs(out[-1], k + 1))
-    return out
-
-
-class WordWindows(firstseen.Finder):
-    within = True
-    schema = "doc_id long, n_words long, n_removed long, kept binary, removed array<struct<start: long, end: long>>"
-
-    def __init__(self, window: int = 20, pairs: int = 5) -> None:
-        self.window, self.pairs = window, pairs
-
-    def elements(self, buf, offsets, rank):
-        start, end, first = tb.runs(~tb.SPACE[buf], offsets)
-        self_h = tb.segments(buf, start, end)
-        seq = firstseen.sequence(self_h, first, rank)
-        seq.h, seq.word_start, seq.word_end = self_h, start, end
-        return seq
-
-    def anchored(self, seq, start, doc):
-        levels = rounds(seq.h, seq.offsets, self.pairs)
-        low, high = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    left, right = beside(s, first)
+    return Symbols(s.which[at], s.doc[at], left[at], right[last]), last - at + 1
+
+
+def pair(s: Symbols, count: np.ndarray, names: Names, first: np.ndarray, salt: int) -> tuple[Symbols, np.ndarray, np.ndarray]:
+    """Left symbols join the right ones behind them; only those that several shards have.
+
+    Returns symbols whose `which` is that of the left one, and of each its right one (-1: none) as a place in s, and its
+    own place in s.
+    """
+    is_left = (_mix(names.number[s.which], count, salt) & np.uint64(1)).astype(bool)
+    live = names.shared[s.which]
+    joins = np.zeros(len(s.which), bool)
+    joins[:-1] = is_left[:-1] & ~is_left[1:] & live[:-1] & live[1:] & (s.doc[1:] == s.doc[:-1])
+    keep = np.flatnonzero(~np.append(False, joins[:-1]))
+    paired = joins[keep]
+    after = np.where(paired, keep + 1, -1)
+    left, right = beside(s, first)
+    # a pair is decided by its two; a left symbol alone by what follows, a right one alone by what comes before; one of a
+    # single shard by itself
+    alone = ~paired & live[keep]
+    lo = np.where(alone & ~is_left[keep], np.minimum(s.left[keep], left[keep]), s.left[keep])
+    hi = np.where(paired, s.right[after], np.where(alone & is_left[keep], np.maximum(s.right[keep], right[keep]), s.right[keep]))
+    return Symbols(s.which[keep], s.doc[keep], lo, hi), after, keep
+
+
+# ---- what a shard wants named ------------------------------------------------------------------------------------------
+class Wanted:
+    """Distinct things, sorted by bucket: `pack` gives the bytes of a run of them, `inverse` where each place's thing is."""
+
+    def __init__(self, bucket: np.ndarray, inverse: np.ndarray, times: np.ndarray, pack) -> None:
+        self.bucket, self.inverse, self.times, self.pack = bucket, inverse, np.minimum(times, 255).astype(np.uint8), pack
+
+    def answered(self, said: dict[int, bytes]) -> Names:
+        number, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for b, a, e in shards.stretches(self.bucket):
+            x = said[b]
+            buckets = int(np.frombuffer(x, np.int64, 1)[0])
+            number.append(np.cumsum(numbers(x, 8, e - a)) * np.uint64(buckets) + np.uint64(b + 1))
+            flags.append(np.frombuffer(x, np.uint8, e - a, 8 + 8 * (e - a)))
+        flags = np.concatenate(flags)
+        return Names(np.concatenate(number), (flags & 1) > 0, (flags & 2) > 0)
+
+
+def _answer(index: np.ndarray, flags: np.ndarray, buckets: int) -> bytes:
+    """Numbers within the bucket, which grow along a run, as differences."""
+    return np.int64(buckets).tobytes() + planes(np.diff(index, prepend=0)) + flags.astype(np.uint8).tobytes()
+
+
+def words_wanted(shard: shards.Shard, start: np.ndarray, end: np.ndarray, buckets: int) -> Wanted:
+    h = tb.segments(shard.buf, start, end)
+    _, one, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    size = end - start
+    lead = one[inverse]
+    same = size[lead] == size
+    if same.all():
+        same = shard.buf[tb.row_ranges(start[lead], size)] == shard.buf[tb.row_ranges(start, size)]
+    if not same.all():  # words of one hash that differ: by their bytes
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(shard.buf[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        one, times = np.unique(inverse, return_index=True)[1], np.bincount(inverse)
+    text = [shard.buf[a:b].tobytes() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+    bucket = ((h[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    # in the order of their bytes, so numbers grow along a run
+    order = np.array([i for _, _, i in sorted(zip(bucket.tolist(), text, range(len(text)), strict=True))], np.int64)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    times = times[order]
+
+    def pack(a: int, e: int) -> bytes:
+        mine = [text[i] for i in order[a:e].tolist()]
+        return np.int64(e - a).tobytes() + np.minimum(times[a:e], 255).astype(np.uint8).tobytes() + np.array([len(x) for x in mine], "<u4").tobytes() + b"".join(mine)
+
+    return Wanted(bucket[order], back[inverse], times, pack)
+
+
+def name_words(buckets: int):
+    def reduce(sent: list[bytes], number: list[int]) -> list[bytes]:
+        runs, times, held = [], {}, {}
+        for x in sent:
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            count, size = np.frombuffer(x, np.uint8, n, 8).tolist(), np.frombuffer(x, "<u4", n, 8 + n).tolist()
+            at, mine = 8 + 5 * n, []
+            for c, s in zip(count, size, strict=True):
+                word = x[at : at + s]
+                at += s
+                mine.append(word)
+                times[word] = times.get(word, 0) + c
+                held[word] = held.get(word, 0) + 1
+            runs.append(mine)
+        names = {w: i for i, w in enumerate(sorted(held))}
+        return [_answer(np.array([names[w] for w in mine], np.int64), np.array([(held[w] > 1) + 2 * (times[w] > COMMON) for w in mine]), buckets) for mine in runs]
+
+    return reduce
+
+
+def pairs_wanted(left: np.ndarray, right: np.ndarray, which: np.ndarray, count: np.ndarray, number: np.ndarray, buckets: int) -> Wanted:
+    """left, right: places in which and count (-1: a run alone); number: of each symbol."""
+    # distinct as pairs of this shard's own small numbers
+    own, small = np.unique(which.astype(np.uint64) << np.uint64(32) | count.astype(np.uint64), return_inverse=True)
+    values = np.column_stack([number[(own >> np.uint64(32)).astype(np.int64)], own & np.uint64(0xFFFFFFFF)])
+    code = (small[left] + 1).astype(np.uint64) << np.uint64(32) | np.where(right < 0, 0, small[right] + 1).astype(np.uint64)
+    code, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
+    a, b = values[(code >> np.uint64(32)).astype(np.int64) - 1], np.zeros((len(code), 2), np.uint64)
+    second = (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    b[second > 0] = values[second[second > 0] - 1]
+    h = tb.mix(_mix(a[:, 0], a[:, 1], 0) * tb.BASE ^ _mix(b[:, 0], b[:, 1], 1))
+    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([b[:, 1], b[:, 0], a[:, 1], a[:, 0], bucket])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    a, b, times = a[order], b[order], times[order]
+
+    def pack(i: int, e: int) -> bytes:
+        head = np.int64(e - i).tobytes() + np.minimum(times[i:e], 255).astype(np.uint8).tobytes()
+        return head + b"".join(planes(x) for x in (np.diff(a[i:e, 0], prepend=np.uint64(0)), a[i:e, 1], b[i:e, 0], b[i:e, 1]))
+
+    return Wanted(bucket[order], back[inverse], times, pack)
+
+
+def name_pairs(buckets: int):
+    def reduce(sent: list[bytes], number: list[int]) -> list[bytes]:
+        sizes, times, rows = [], [], []
+        for x in sent:
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            sizes.append(n)
+            times.append(np.frombuffer(x, np.uint8, n, 8))
+            a = [numbers(x, 8 + n + 8 * n * k, n) for k in range(4)]
+            rows.append(np.column_stack([np.cumsum(a[0], dtype=np.uint64), *a[1:]]))
+        rows, times = np.concatenate(rows), np.concatenate(times)
+        order = np.lexsort([rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]])
+        new = np.append(False, (rows[order][1:] != rows[order][:-1]).any(1))
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(new)
+        held, total = np.bincount(index), np.bincount(index, times)
+        flags = (held > 1)[index] + 2 * (total > COMMON)[index]
+        cuts = np.cumsum(sizes)[:-1]
+        return [_answer(i, f, buckets) for i, f in zip(np.split(index, cuts), np.split(flags, cuts), strict=True)]
+
+    return reduce
+
+
+class Parsed:
+    """A shard's words and rounds of symbols, as far as they have been named."""
+
+    def __init__(self, shard: shards.Shard, row: dict, buckets: int, rounds: int) -> None:
+        self.start, self.end, self.first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
+        self.levels: list[Symbols] = []
+        self.wanted = words_wanted(shard, self.start, self.end, buckets)
+        n = len(self.start)
+        if rounds < 0 or not n:
+            return
+        self.names = self.wanted.answered(shards.answers(row, "round0"))
+        at = np.arange(n)
+        self.levels.append(Symbols(self.wanted.inverse, np.repeat(np.arange(len(shard.ids)), np.diff(self.first)), at, at + 1))
+        for k in range(1, ROUNDS + 1):
+            run, count = fold(self.levels[-1], self.first)
+            made, after, own = pair(run, count, self.names, self.first, k)
+            # pairs, and runs alone, get new names; runs of a symbol of one shard can't be in another
+            new = np.flatnonzero((after >= 0) | ((count[own] > 1) & self.names.shared[made.which]))
+            single = np.flatnonzero((after < 0) & (count[own] > 1) & ~self.names.shared[made.which])
+            self.wanted = pairs_wanted(own[new], after[new], run.which, count, self.names.number, buckets)
+            if k > rounds:
+                return
+            base = len(self.names.number)
+            self.names = self.names.add(self.wanted.answered(shards.answers(row, f"round{k}")))
+            which = made.which.copy()
+            which[new] = base + self.wanted.inverse
+            # a run in one shard: some symbol that nothing else equals
+            which[single] = len(self.names.number) + np.arange(len(single))
+            none = np.zeros(len(single), bool)
+            self.names = self.names.add(Names(np.zeros(len(single), np.uint64), none, none))
+            self.levels.append(Symbols(which, made.doc, made.left, made.right))
+
+    def closed(self, window: int) -> np.ndarray:
+        """Of every place: whether the window from there holds a symbol that no other shard has."""
+        n = len(self.start)
+        edge = np.zeros(n + 1, np.int64)
+        for s in self.levels:
+            own = np.flatnonzero(~self.names.shared[s.which] & (s.right - s.left <= window) & (s.left >= self.first[s.doc]) & (s.right <= self.first[s.doc + 1]))
+            edge += np.bincount(np.maximum(0, s.right[own] - window), minlength=n + 1) - np.bincount(s.left[own] + 1, minlength=n + 1)
+        return np.cumsum(edge)[:n] > 0
+
+    def anchors(self, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows at `start`: where the anchor's words begin, which symbol it is, and its round with that."""
+        low, which, name = (np.zeros(len(start), np.int64) for _ in range(3))
         todo = np.arange(len(start))
-        for s in reversed(levels):
-            if not len(todo):
-                break
-            a = start[todo]
-            first = np.searchsorted(s.left, a, "left")
-            last = np.searchsorted(s.right, a + self.window, "right")
+        for level, s in reversed([*enumerate(self.levels)]):
+            first = np.searchsorted(s.left, start[todo], "left")
+            last = np.searchsorted(s.right, start[todo] + window, "right")
             ok = first < last
             at, first, last = todo[ok], first[ok], last[ok]
             todo = todo[~ok]
-            if not len(at):
-                continue
-            bits = np.uint64(max(1, int(len(s.name)).bit_length()))
-            level = (tb.mix(s.name) >> bits << bits) | np.arange(len(s.name), dtype=np.uint64)
-            # least of a range from two overlapping stretches of a power of two
-            size = last - first
-            power = np.frexp(size.astype(float))[1] - 1
-            best = np.empty(len(at), np.uint64)
-            for p in range(int(power.max()) + 1):
-                if p:
-                    half = 1 << (p - 1)
-                    level = np.minimum(level[:-half], level[half:]) if len(level) > half else level[:0]
-                mine = power == p
-                best[mine] = np.minimum(level[first[mine]], level[last[mine] - (1 << p)])
-            symbol = (best & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-            low[at], high[at] = s.left[symbol], s.right[symbol]
-
-        def key_of(first_windows):
-            a, b = low[first_windows], high[first_windows]
-            return tb.mix(seq.hash(a, b) + (b - a).astype(np.uint64)), a
-
-        return firstseen.occurrences(seq, start, doc, low * 64 + (high - low), key_of, self.window)
-
-    def classes(self, seq, buf, start, exact=True):
-        h = seq.hash(start, start + self.window)
-        return h, h
-
-    def output(self, row, seq, covered):
-        ids, nulls, _, buf, _ = firstseen.unpack(row)
-        text = row["text"]
-        keep = ~covered
-        n, kept, removed = np.diff(seq.offsets), [], []
-        starts, ends = seq.word_start.tolist(), seq.word_end.tolist()
-        for i in range(len(ids)):
-            a, b = int(seq.offsets[i]), int(seq.offsets[i + 1])
-            kept.append(b" ".join([text[starts[j] : ends[j]] for j in (np.flatnonzero(keep[a:b]) + a).tolist()]))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]])))
-            removed.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
-        gone = [sum(r["end"] - r["start"] for r in x) for x in removed]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
-
-
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+            if len(at):
+                bits = np.uint64(len(s.which).bit_length())
+                least = tb.mix(self.names.number[s.which]) >> bits << bits | np.arange(len(s.which), dtype=np.uint64)
+                # the least of a range, from two overlapping stretches of a power of two
+                power = np.frexp((last - first).astype(float))[1] - 1
+                best = np.empty(len(at), np.uint64)
+                for p in range(int(power.max()) + 1):
+                    if p:
+                        half = 1 << (p - 1)
+                        least = np.minimum(least[:-half], least[half:])
+                    mine = power == p
+                    best[mine] = np.minimum(least[first[mine]], least[last[mine] - (1 << p)])
+                symbol = (best & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+                low[at], which[at], name[at] = s.left[symbol], s.which[symbol], symbol * (ROUNDS + 1) + level
+        return low, which, name
+
+
+def doubled(which: np.ndarray, window: int) -> np.ndarray:
+    """A number for the window from every place: equal for equal words; by doubling, then two overlapping parts."""
+    name, length = which.astype(np.uint64), 1
+    while length < window:
+        step = min(length, window - length)
+        if len(name) <= step:
+            return np.zeros(0, np.int64)
+        name = np.unique(name[:-step] << np.uint64(32) | name[step:], return_inverse=True)[1].astype(np.uint64)
+        length += step
+    return name.astype(np.int64)
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, size: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space, UTF-8) and removed (stretches of words)."""
-    return WordWindows(window).run(docs)
+    table, total = shards.shards(docs, size)
+    buckets = max(1, -(-total // SHARE))
+    strings = shards.Strings(window, WIDTH, 1, by_shard=True)
+    names = [*shards.NAMES]
+
+    for k in range(ROUNDS + 1):
+
+        def want(shard, row, k=k):
+            wanted = Parsed(shard, row, buckets, k - 1).wanted
+            yield shards.runs(shard.number, wanted.bucket, wanted.pack)
+
+        sent = shards.each(table.select(*names), want, shards.RUN)
+        table = table.join(shards.answer(sent, (name_pairs if k else name_words)(buckets), f"round{k}"), "shard", "left")
+        names.append(f"round{k}")
+
+    def reveal(shard, row):
+        """Repeats within the shard, and the windows that another shard may have. The shard's own row says which."""
+        parsed = Parsed(shard, row, buckets, ROUNDS)
+        start, doc = windows(parsed.first, window)
+        if not len(start):
+            return
+        number = doubled(parsed.levels[0].which, window)[start]
+        # the first of each: by document, then by place
+        order = np.lexsort([start, shard.rank[doc], number])
+        first = np.append(True, number[order][1:] != number[order][:-1])
+        again = np.empty(len(start), bool)
+        again[order] = ~first
+        open_ = np.flatnonzero(~again & ~parsed.closed(window)[start])
+        if len(open_):
+            at, which, name = parsed.anchors(start[open_], window)
+            common = parsed.names.common[which]
+            new = np.append(True, (start[open_][1:] != start[open_][:-1] + 1) | (name[1:] != name[:-1]) | common[1:])
+            lead = np.flatnonzero(new)
+            low = open_[lead]
+            n = np.diff(np.append(lead, len(open_)))
+            word = planes6(parsed.names.number[parsed.levels[0].which])
+            h = tb.mix(parsed.names.number[which[lead]] + (name[lead] % (ROUNDS + 1)).astype(np.uint64) * tb.BASE)
+            h = np.where(common[lead], tb.segments(word, start[low] * WIDTH, (start[low] + window) * WIDTH), h)
+            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort([number[low], bucket])  # every window of the shard is sent once
+            low, n, bucket, lead = low[by], n[by], bucket[by], lead[by]
+            place = np.where(common[lead], 255, at[lead] - start[low])
+            yield shards.runs(shard.number, bucket, strings.pack(shard.order[doc[low]], place, n, start[low], word))
+        else:
+            bucket = n = low = np.zeros(0, np.int64)
+        state = [np.packbits(cover(start[again], window, len(parsed.start))), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4")]
+        yield pa.RecordBatch.from_arrays([pa.array([shard.number]), pa.array([-1]), pa.array([np.int64(len(bucket)).tobytes() + b"".join(x.tobytes() for x in state)], pa.binary())], names=["shard", "bucket", "run"])
+
+    sent = shards.storage.keep(shards.each(table.select(*names), reveal, shards.RUN), "windows")
+    found = shards.answer(sent.where("bucket >= 0"), strings.reduce, "found")
+    own = sent.where("bucket < 0").select("shard", F.col("run").alias("state"))
+
+    def remove(shard, row):
+        start, end, first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
+        n = len(start)
+        covered = np.zeros(n, bool)
+        if row["state"]:
+            x = row["state"]
+            records = int(np.frombuffer(x, np.int64, 1)[0])
+            at, parts = 8, []
+            for kind, many in ((np.uint8, -(-n // 8)), ("<i8", records), ("<u2", records), ("<u4", records)):
+                parts.append(np.frombuffer(x, kind, many, at))
+                at += parts[-1].nbytes
+            bit = shards.bits(shards.answers(row, "found"), parts[1], parts[2].astype(np.int64))
+            at = tb.row_ranges(parts[3].astype(np.int64), parts[2].astype(np.int64))
+            covered = np.unpackbits(parts[0])[:n].astype(bool) | cover(at[bit], window, n)
+        yield _output(shard, start, end, first, covered)
+
+    joined = table.select(*shards.NAMES).join(own, "shard", "left").join(found, "shard", "left")
+    return shards.each(joined, remove, "doc_id long, n_words long, n_removed long, kept binary, removed array<struct<start: long, end: long>>")
+
+
+def planes6(number: np.ndarray) -> np.ndarray:
+    """WIDTH bytes of each number, end to end."""
+    return np.ascontiguousarray(number.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).reshape(-1)
+
+
+def _output(shard: shards.Shard, start: np.ndarray, end: np.ndarray, first: np.ndarray, covered: np.ndarray) -> pa.RecordBatch:
+    text, kept, removed = shard.buf.tobytes(), [], []
+    starts, ends = start.tolist(), end.tolist()
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+        own = covered[a:b]
+        kept.append(b" ".join([text[starts[j] : ends[j]] for j in (np.flatnonzero(~own) + a).tolist()]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+        removed.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
+    gone = [sum(r["end"] - r["start"] for r in x) for x in removed]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([shard.doc_ids(), pa.array(np.diff(first)), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:

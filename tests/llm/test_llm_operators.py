@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.llm import ann, automaton, components, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, suffixes, tokens
+from firnline.llm import ann, automaton, components, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, shards, suffixes, tokens
 from firnline.llm import textbytes as tb
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,10 +108,9 @@ def test_rows_of_one_doc_id_in_several_shards(spark):
 
 
 # ---- recompression ------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("size", [2000, 1 << 20])
-def test_recompression(spark, monkeypatch, size):
-    rows, seen, want = corpus(5, 150), set(), {}
-    for d, t in rows:
+def repeats_of_words(rows):
+    seen, want = set(), {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
         w = WORDS.findall(t or "")
         cover = [0] * len(w)
         for i in range(len(w) - 19):
@@ -120,24 +119,45 @@ def test_recompression(spark, monkeypatch, size):
                 cover[i : i + 20] = [1] * 20
             seen.add(k)
         want[d] = (len(w), sum(cover), sha(" ".join(x for x, c in zip(w, cover, strict=True) if not c)))
-    small_shards(monkeypatch, size)
-    got = recompression.repeat_digest(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
-    assert {r[0]: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
+    return want
+
 
+@pytest.mark.parametrize(("size", "common", "share"), [(1000, 4096, 4 << 20), (2000, 3, 3000), (1 << 20, 4096, 4 << 20)])
+def test_recompression(spark, monkeypatch, size, common, share):
+    """One text is larger than a shard of the first two sizes; windows of common anchors travel one by one in the second."""
+    rows = corpus(5, 150)
+    rows += [(500, " ".join([rows[3][1], "v " * 300, rows[7][1] or "", *(f"n{i % 40}" for i in range(700))])), (501, "v " * 90 + (rows[5][1] or "")), (502, " ".join(f"n{i}" for i in range(25)))]
+    monkeypatch.setattr(recompression, "COMMON", common)
+    monkeypatch.setattr(recompression, "SHARE", share)
+    got = recompression.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), size=size).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, sha(bytes(r.kept))) for r in got} == repeats_of_words(rows) and len(got) == len(rows)
 
-def test_equal_windows_share_symbols():
+
+def test_names_are_global_and_reveal(spark, monkeypatch):
+    """Equal stretches of words in two shards get the same numbers in every round; without shared names nothing is revealed."""
     r = random.Random(1)
-    common = [r.choice("abc") for _ in range(40)]
-    h = lambda w: np.array([zlib.crc32(x.encode()) * 2654435761 for x in w], np.uint64)
-    levels = []
-    for pad in (3, 11):
-        w = [r.choice("abc") for _ in range(pad)] + common + [r.choice("abc") for _ in range(7)]
-        found = []
-        for s in recompression.rounds(h(w), np.array([0, len(w)]), 4):
-            inside = (s.left >= pad) & (s.right <= pad + 40)
-            found.append([(int(n), int(a) - pad, int(b) - pad) for n, a, b in zip(s.name[inside], s.left[inside], s.right[inside], strict=True)])
-        levels.append(found)
-    assert levels[0] == levels[1] and levels[0][2]
+    common = [r.choice("abcdefgh") for _ in range(60)]
+    texts = [" ".join([f"{k}{i}" for i in range(pad)] + common + [f"{k}z{i}" for i in range(7)]) for k, pad in (("p", 3), ("q", 11))]
+    parts = []
+    for k, t in enumerate(texts):
+        row = {"shard": k, "ids": np.array([k], "<i8").tobytes(), "nulls": bytes(1), "ends": np.array([0, len(t)], "<i8").tobytes(), "text": t.encode()}
+        parts.append((shards.Shard(row), row))
+    for k in range(recompression.ROUNDS + 1):
+        wanted = [recompression.Parsed(s, row, 1, k - 1).wanted for s, row in parts]
+        said = (recompression.name_pairs if k else recompression.name_words)(1)([w.pack(0, len(w.bucket)) for w in wanted], [0, 1])
+        for (_, row), x in zip(parts, said, strict=True):
+            row[f"round{k}"] = [{"bucket": 0, "run": x}]
+    found = []
+    for (s, row), pad in zip(parts, (3, 11), strict=True):
+        p = recompression.Parsed(s, row, 1, recompression.ROUNDS)
+        inside = [(x.left >= pad) & (x.right <= pad + 60) for x in p.levels]
+        found.append([list(zip(p.names.number[x.which[i]].tolist(), (x.left[i] - pad).tolist(), (x.right[i] - pad).tolist(), strict=True)) for x, i in zip(p.levels, inside, strict=True)])
+        assert all(p.names.shared[x.which[i]].all() for x, i in zip(p.levels, inside, strict=True))
+    assert found[0] == found[1] and all(found[0])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], SCHEMA).repartition(2)
+    assert sum(g.n_removed for g in recompression.remove_repeats(docs, size=100).collect()) == 60
+    monkeypatch.setattr(recompression, "name_pairs", lambda buckets: lambda sent, number: [recompression._answer(np.zeros(n, np.int64), np.zeros(n), buckets) for n in [int(np.frombuffer(x, np.int64, 1)[0]) for x in sent]])
+    assert sum(g.n_removed for g in recompression.remove_repeats(docs, size=100).collect()) == 0
 
 
 @pytest.mark.parametrize("remove", [suffixes.remove_repeats, recompression.remove_repeats])
