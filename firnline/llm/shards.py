@@ -25,26 +25,30 @@ MOST = 50_000
 
 
 def shards(docs: DataFrame, size: int = 2_000_000) -> tuple[DataFrame, int]:
-    """The shard table, and the number of bytes in it. A text longer than `size` bytes is a shard of its own."""
+    """The shard table, and the number of bytes in it. A text longer than `size` bytes is a shard of its own.
+
+    Each partition of docs makes shards of its own rows, all in one bucket: texts aren't dealt anew.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, min(MOST, docs.rdd.getNumPartitions()))
 
     def pack(batches):
         from pyspark import TaskContext
 
-        number, at = TaskContext.get().partitionId() << 32, 0
+        number = numbered(TaskContext.get().partitionId(), parts)
         held: list[tuple[pa.Array, pa.Array]] = []
         held_bytes = 0
 
         def row():
-            nonlocal held, held_bytes, at
+            nonlocal held, held_bytes
             ids = pa.concat_arrays([h[0] for h in held])
             buf, offsets = tb.text_bytes(pa.concat_arrays([h[1].cast(pa.large_string()) for h in held]))
             nulls = np.asarray(ids.is_null())
             out = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), np.packbits(nulls), offsets.astype("<i8"), buf]
-            held, held_bytes, at = [], 0, at + 1
-            return pa.RecordBatch.from_arrays([pa.array([number + at]), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=list(NAMES))
+            held, held_bytes = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([next(number)]), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=list(NAMES))
 
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -63,13 +67,33 @@ def shards(docs: DataFrame, size: int = 2_000_000) -> tuple[DataFrame, int]:
         if held:
             yield row()
 
-    parts = min(MOST, max(-(-total // (8 * size)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name, where = storage.table(spark, "shards")
-    # dealt as the buckets are, so each task writes one file
-    docs.mapInArrow(pack, "shard long, ids binary, nulls binary, ends binary, text binary").repartition(parts, "shard").write.bucketBy(parts, "shard").option("path", where).saveAsTable(name)
+    docs.mapInArrow(pack, "shard long, ids binary, nulls binary, ends binary, text binary").write.bucketBy(parts, "shard").option("path", where).saveAsTable(name)
     return spark.table(name), int(total)
 
 
+def bucket_of(number: np.ndarray, parts: int) -> np.ndarray:
+    """Spark's bucket of a long: Murmur3 of its two halves with seed 42."""
+    with np.errstate(over="ignore"):
+        turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+        h = np.full(len(number), 42, np.uint32)
+        for half in (number.astype(np.uint64).astype(np.uint32), (number.astype(np.uint64) >> np.uint64(32)).astype(np.uint32)):
+            h = turn(h ^ turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+
+
+def numbered(task: int, parts: int):
+    """Shard numbers of a task: all of them fall in the bucket of the task's own number, so it writes one file."""
+    at = 0
+    while True:
+        some = (task << 32) + np.arange(at, at + 4096)
+        yield from some[bucket_of(some, parts) == task % parts].tolist()
+        at += 4096
+
+
 class Shard:
     """One row of the table. order: a number for each document's id, null first; rank: the same without gaps."""
 
@@ -113,16 +137,27 @@ def runs(number: int, bucket: np.ndarray, pack: Callable[[int, int], bytes]) ->
 
 
 def answer(sent: DataFrame, reduce: Callable[[list[bytes], list[int]], list[bytes]], name: str) -> DataFrame:
-    """shard, `name`: the answers to a shard's runs. reduce(runs, shards) answers the runs of one bucket."""
+    """shard, `name`: the answers to a shard's runs. reduce(runs, shards) answers the runs of one bucket.
+
+    A shard can send itself a row, with the bucket -1 - shard: it comes back as it is.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")
+        if bucket[0].as_py() < 0:
+            return table.select(["shard", "bucket", "run"])
         said = reduce(table.column("run").to_pylist(), table.column("shard").to_pylist())
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "run": pa.array(said, pa.binary())})
+        return pa.table({"shard": table.column("shard"), "bucket": bucket, "run": pa.array(said, pa.binary())})
 
     back = storage.keep(sent.groupBy("bucket").applyInArrow(run, RUN), name)
     return back.groupBy("shard").agg(F.collect_list(F.struct("bucket", "run")).alias(name))
 
 
+def own(number: int, state: bytes) -> pa.RecordBatch:
+    """The row that a shard sends itself."""
+    return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1 - number]), pa.array([state], pa.binary())], names=["shard", "bucket", "run"])
+
+
 def answers(row: dict, name: str) -> dict[int, bytes]:
     return {r["bucket"]: r["run"] for r in row[name] or ()}
 

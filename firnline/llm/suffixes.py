@@ -104,9 +104,8 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 2
         while len(going):
             at = length[going]
             differ = words[np.minimum(i[going] + at, n)] ^ words[np.minimum(j[going] + at, n)]
-            same = np.zeros(len(going), np.int64)
-            for k in range(1, 9):  # bytes from the lowest on that agree
-                same += differ << np.uint64(64 - 8 * k) == 0
+            # bytes from the lowest on that agree: the place of the lowest bit that differs
+            same = np.where(differ == 0, 8, (np.frexp((differ & -differ).astype(float))[1] - 1) >> 3)
             length[going] = at + same
             going = going[(same == 8) & (at + same < most)]
         # beyond the end nothing agrees
@@ -202,30 +201,34 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
         rank = np.full(len(shard.buf), np.iinfo(np.int32).max, np.int32)
         rank[start] = shard.rank[doc]
         least = np.minimum.reduceat(rank[order], np.flatnonzero(np.append(True, number[1:] != number[:-1])))
-        place = np.empty(len(order), np.int32)  # in the suffix array
-        place[order] = np.arange(len(order), dtype=np.int32)
-        own = number[place[start]] - number[0]
+        of = np.empty(len(order), np.int32)
+        of[order] = number - number[0]
+        own = of[start]
         again = least[own] < rank[start]
-        del order, least, rank
+        del order, number, least, rank, of
         at, h = anchors(shard.buf, start, window, gram)
-        one, inverse = np.unique(h, return_inverse=True)
+        lead = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # once for each anchor
+        one, inverse = np.unique(h[lead], return_inverse=True)
         by = np.argsort(_bucket(one, buckets), kind="stable")
         bit = shards.bits(shards.answers(row, "anchors"), _bucket(one[by], buckets), np.full(len(one), 2)).reshape(-1, 2)
         flags = np.empty_like(bit)
         flags[by] = bit
-        shared, common = flags[inverse].T
+        shared, common = np.repeat(flags[inverse], np.diff(np.append(lead, len(at))), axis=0).T
         open_ = np.flatnonzero(shared & ~again)
         if len(open_):
             # neighbouring windows of one anchor are a stretch; those of common anchors stay apart
             new = np.append(True, (start[open_][1:] != start[open_][:-1] + 1) | (at[open_][1:] != at[open_][:-1]) | common[open_][1:])
             low = open_[new]
             n = np.diff(np.append(np.flatnonzero(new), len(open_)))
-            high = low + n - 1
-            # equal stretches begin and end with equal strings: the first one, in the order of suffixes, goes
-            name = np.column_stack([_bucket(np.where(common[low], tb.segments(shard.buf, start[low], start[low] + window), h[low]), buckets), own[low], own[high], n])
-            records, first, record = np.unique(name, axis=0, return_index=True, return_inverse=True)
-            record = record.reshape(-1)
-            bucket, n, lead = records[:, 0], records[:, 3], low[first]
+            # equal stretches begin and end with equal strings
+            name = own[low].astype(np.uint64) << np.uint64(36) | own[low + n - 1].astype(np.uint64) << np.uint64(8) | n.astype(np.uint64)
+            _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+            lead, n = low[first], n[first]
+            bucket = _bucket(np.where(common[lead], tb.segments(shard.buf, start[lead], start[lead] + window), h[lead]), buckets)
+            by = np.lexsort([own[lead], bucket])  # in the order of suffixes
+            record = np.empty(len(by), np.int64)
+            record[by] = np.arange(len(by))
+            record, bucket, n, lead = record[inverse], bucket[by], n[by], lead[by]
             anchor = np.where(common[lead], 255, at[lead] - start[lead])
             pack = strings.pack(shard.order[doc[lead]], anchor, n, start[lead], shard.buf)
             yield shards.runs(shard.number, bucket, pack)
@@ -233,17 +236,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
             bucket = n = low = record = np.zeros(0, np.int64)
         state = [np.packbits(cover(start[again], window, len(shard.buf))), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4"), record.astype("<u4")]
         sizes = np.array([len(bucket), len(low)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([shard.number]), pa.array([-1]), pa.array([sizes.tobytes() + b"".join(x.tobytes() for x in state)], pa.binary())], names=["shard", "bucket", "run"])
+        yield shards.own(shard.number, sizes.tobytes() + b"".join(x.tobytes() for x in state))
 
-    sent = shards.storage.keep(shards.each(table.join(told, "shard", "left").select(*shards.NAMES, "anchors"), sort, shards.RUN), "strings")
-    found = shards.answer(sent.where("bucket >= 0"), strings.reduce, "found")
-    own = sent.where("bucket < 0").select("shard", F.col("run").alias("state"))
+    sent = shards.each(table.join(told, "shard", "left").select(*shards.NAMES, "anchors"), sort, shards.RUN)
+    found = shards.answer(sent, strings.reduce, "found")
 
     def remove(shard, row):
         n = len(shard.buf)
         covered = np.zeros(n, bool)
-        if row["state"]:
-            x = row["state"]
+        said = shards.answers(row, "found")
+        if x := said.get(-1 - shard.number):
             records, stretches = np.frombuffer(x, np.int64, 2)
             at = 16
             parts = []
@@ -252,14 +254,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
                 at += parts[-1].nbytes
             covered = np.unpackbits(parts[0])[:n].astype(bool)
             count, low, record = (p.astype(np.int64) for p in parts[2:])
-            bit = shards.bits(shards.answers(row, "found"), parts[1], count)
+            bit = shards.bits(said, parts[1], count)
             first = (np.cumsum(count) - count)[record]
             many = count[record]
             start = tb.row_ranges(low, many)
             covered |= cover(start[bit[tb.row_ranges(first, many)]], window, n)
         yield _output(shard, covered)
 
-    joined = table.join(own, "shard", "left").join(found, "shard", "left").select(*shards.NAMES, "state", "found")
+    joined = table.join(found, "shard", "left").select(*shards.NAMES, "found")
     return shards.each(joined, remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>")
 
 

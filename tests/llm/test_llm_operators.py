@@ -609,3 +609,12 @@ def test_links_inside_a_large_family(spark):
     r.shuffle(texts)
     got = {g.doc_id: g.component_id for g in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {d: d // 2 * 2 for d, _ in texts}
+
+
+def test_shard_numbers_fall_in_one_bucket(spark):
+    import itertools
+
+    for task, parts in ((0, 1), (5, 7), (211, 50)):
+        mine = [*itertools.islice(shards.numbered(task, parts), 20)]
+        got = spark.createDataFrame([(x,) for x in mine], "n long").select(F.pmod(F.hash("n"), F.lit(parts)).alias("b")).distinct().collect()
+        assert [r.b for r in got] == [task % parts] and len(set(mine)) == 20
