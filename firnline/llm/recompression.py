@@ -120,8 +120,8 @@ def pair(s: Symbols, count: np.ndarray, names: Names, first: np.ndarray, salt: i
 class Wanted:
     """Distinct things, sorted by bucket: `pack` gives the bytes of a run of them, `inverse` where each place's thing is."""
 
-    def __init__(self, bucket: np.ndarray, inverse: np.ndarray, times: np.ndarray, pack) -> None:
-        self.bucket, self.inverse, self.times, self.pack = bucket, inverse, np.minimum(times, 255).astype(np.uint8), pack
+    def __init__(self, bucket: np.ndarray, inverse: np.ndarray, pack) -> None:
+        self.bucket, self.inverse, self.pack = bucket, inverse, pack
 
     def answered(self, said: dict[int, bytes]) -> Names:
         number, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
@@ -139,49 +139,54 @@ def _answer(index: np.ndarray, flags: np.ndarray, buckets: int) -> bytes:
     return np.int64(buckets).tobytes() + planes(np.diff(index, prepend=0)) + flags.astype(np.uint8).tobytes()
 
 
-def words_wanted(shard: shards.Shard, start: np.ndarray, end: np.ndarray, buckets: int) -> Wanted:
-    h = tb.segments(shard.buf, start, end)
-    _, one, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    size = end - start
+def _answers(index: np.ndarray, times: np.ndarray, sizes: list[int], buckets: int) -> list[bytes]:
+    """Of runs of `sizes` things, numbered by index and each there so many times: number, and what Names tells."""
+    held, total = np.bincount(index), np.bincount(index, times)
+    flags = (held > 1)[index] + 2 * (total > COMMON)[index]
+    cuts = np.cumsum(sizes)[:-1]
+    return [_answer(i, f, buckets) for i, f in zip(np.split(index, cuts), np.split(flags, cuts), strict=True)]
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and place of each distinct word, by hash and then by bytes, and where each word is among them."""
+    h, size = tb.segments(data, start, end), end - start
+    hashes, one, inverse = np.unique(h, return_index=True, return_inverse=True)
     lead = one[inverse]
     same = size[lead] == size
     if same.all():
-        same = shard.buf[tb.row_ranges(start[lead], size)] == shard.buf[tb.row_ranges(start, size)]
-    if not same.all():  # words of one hash that differ: by their bytes
-        seen: dict[bytes, int] = {}
-        inverse = np.array([seen.setdefault(shard.buf[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-        one, times = np.unique(inverse, return_index=True)[1], np.bincount(inverse)
-    text = [shard.buf[a:b].tobytes() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-    bucket = ((h[one] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    # in the order of their bytes, so numbers grow along a run
-    order = np.array([i for _, _, i in sorted(zip(bucket.tolist(), text, range(len(text)), strict=True))], np.int64)
+        same = data[tb.row_ranges(start[lead], size)] == data[tb.row_ranges(start, size)]
+    if not same.all():  # words of one hash that differ
+        text = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        names = {k: i for i, k in enumerate(sorted({*zip(h.tolist(), text, strict=True)}))}
+        inverse = np.array([names[k] for k in zip(h.tolist(), text, strict=True)])
+        one = np.unique(inverse, return_index=True)[1]
+        hashes = h[one]
+    return hashes, one, inverse
+
+
+def words_wanted(shard: shards.Shard, start: np.ndarray, end: np.ndarray, buckets: int) -> Wanted:
+    h, one, inverse = distinct_words(shard.buf, start, end)
+    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    times = times[order]
+    times = np.minimum(np.bincount(inverse, minlength=len(h))[order], 255)
+    at, size = start[one][order], (end - start)[one][order]
 
     def pack(a: int, e: int) -> bytes:
-        mine = [text[i] for i in order[a:e].tolist()]
-        return np.int64(e - a).tobytes() + np.minimum(times[a:e], 255).astype(np.uint8).tobytes() + np.array([len(x) for x in mine], "<u4").tobytes() + b"".join(mine)
+        return np.int64(e - a).tobytes() + times[a:e].astype(np.uint8).tobytes() + size[a:e].astype("<u4").tobytes() + shard.buf[tb.row_ranges(at[a:e], size[a:e])].tobytes()
 
-    return Wanted(bucket[order], back[inverse], times, pack)
+    return Wanted(bucket[order], back[inverse], pack)
 
 
 def name_words(buckets: int):
     def reduce(sent: list[bytes], number: list[int]) -> list[bytes]:
-        runs, times, held = [], {}, {}
-        for x in sent:
-            n = int(np.frombuffer(x, np.int64, 1)[0])
-            count, size = np.frombuffer(x, np.uint8, n, 8).tolist(), np.frombuffer(x, "<u4", n, 8 + n).tolist()
-            at, mine = 8 + 5 * n, []
-            for c, s in zip(count, size, strict=True):
-                word = x[at : at + s]
-                at += s
-                mine.append(word)
-                times[word] = times.get(word, 0) + c
-                held[word] = held.get(word, 0) + 1
-            runs.append(mine)
-        names = {w: i for i, w in enumerate(sorted(held))}
-        return [_answer(np.array([names[w] for w in mine], np.int64), np.array([(held[w] > 1) + 2 * (times[w] > COMMON) for w in mine]), buckets) for mine in runs]
+        n = [int(np.frombuffer(x, np.int64, 1)[0]) for x in sent]
+        times = np.concatenate([np.frombuffer(x, np.uint8, k, 8) for x, k in zip(sent, n, strict=True)])
+        size = np.concatenate([np.frombuffer(x, "<u4", k, 8 + k) for x, k in zip(sent, n, strict=True)]).astype(np.int64)
+        data = np.concatenate([np.frombuffer(x, np.uint8, -1, 8 + 5 * k) for x, k in zip(sent, n, strict=True)])
+        end = np.cumsum(size)
+        return _answers(distinct_words(data, end - size, end)[2], times, n, buckets)
 
     return reduce
 
@@ -207,7 +212,7 @@ def pairs_wanted(left: np.ndarray, right: np.ndarray, which: np.ndarray, count:
         head = np.int64(e - i).tobytes() + np.minimum(times[i:e], 255).astype(np.uint8).tobytes()
         return head + b"".join(planes(x) for x in (np.diff(a[i:e, 0], prepend=np.uint64(0)), a[i:e, 1], b[i:e, 0], b[i:e, 1]))
 
-    return Wanted(bucket[order], back[inverse], times, pack)
+    return Wanted(bucket[order], back[inverse], pack)
 
 
 def name_pairs(buckets: int):
@@ -224,10 +229,7 @@ def name_pairs(buckets: int):
         new = np.append(False, (rows[order][1:] != rows[order][:-1]).any(1))
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(new)
-        held, total = np.bincount(index), np.bincount(index, times)
-        flags = (held > 1)[index] + 2 * (total > COMMON)[index]
-        cuts = np.cumsum(sizes)[:-1]
-        return [_answer(i, f, buckets) for i, f in zip(np.split(index, cuts), np.split(flags, cuts), strict=True)]
+        return _answers(index, times, sizes, buckets)
 
     return reduce
 
@@ -312,7 +314,7 @@ def doubled(which: np.ndarray, window: int) -> np.ndarray:
     return name.astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, size: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, size: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space, UTF-8) and removed (stretches of words)."""
     table, total = shards.shards(docs, size)
     buckets = max(1, -(-total // SHARE))
@@ -360,29 +362,27 @@ def remove_repeats(docs: DataFrame, window: int = 20, size: int = 2_000_000) ->
         else:
             bucket = n = low = np.zeros(0, np.int64)
         state = [np.packbits(cover(start[again], window, len(parsed.start))), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4")]
-        yield pa.RecordBatch.from_arrays([pa.array([shard.number]), pa.array([-1]), pa.array([np.int64(len(bucket)).tobytes() + b"".join(x.tobytes() for x in state)], pa.binary())], names=["shard", "bucket", "run"])
+        yield shards.own(shard.number, np.int64(len(bucket)).tobytes() + b"".join(x.tobytes() for x in state))
 
-    sent = shards.storage.keep(shards.each(table.select(*names), reveal, shards.RUN), "windows")
-    found = shards.answer(sent.where("bucket >= 0"), strings.reduce, "found")
-    own = sent.where("bucket < 0").select("shard", F.col("run").alias("state"))
+    found = shards.answer(shards.each(table.select(*names), reveal, shards.RUN), strings.reduce, "found")
 
     def remove(shard, row):
         start, end, first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
         n = len(start)
         covered = np.zeros(n, bool)
-        if row["state"]:
-            x = row["state"]
+        said = shards.answers(row, "found")
+        if x := said.get(-1 - shard.number):
             records = int(np.frombuffer(x, np.int64, 1)[0])
             at, parts = 8, []
             for kind, many in ((np.uint8, -(-n // 8)), ("<i8", records), ("<u2", records), ("<u4", records)):
                 parts.append(np.frombuffer(x, kind, many, at))
                 at += parts[-1].nbytes
-            bit = shards.bits(shards.answers(row, "found"), parts[1], parts[2].astype(np.int64))
+            bit = shards.bits(said, parts[1], parts[2].astype(np.int64))
             at = tb.row_ranges(parts[3].astype(np.int64), parts[2].astype(np.int64))
             covered = np.unpackbits(parts[0])[:n].astype(bool) | cover(at[bit], window, n)
         yield _output(shard, start, end, first, covered)
 
-    joined = table.select(*shards.NAMES).join(own, "shard", "left").join(found, "shard", "left")
+    joined = table.select(*shards.NAMES).join(found, "shard", "left")
     return shards.each(joined, remove, "doc_id long, n_words long, n_removed long, kept binary, removed array<struct<start: long, end: long>>")
 
 
