@@ -32,7 +32,8 @@ def shards(docs: DataFrame, size: int = 2_000_000) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, min(MOST, docs.rdd.getNumPartitions()))
+    # with fewer buckets than a shuffle has partitions, joins would deal the texts anew
+    parts = max(1, min(MOST, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def pack(batches):
         from pyspark import TaskContext

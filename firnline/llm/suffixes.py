@@ -163,7 +163,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int = 2_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and removed (stretches of bytes)."""
     table, total = shards.shards(docs, size)
     buckets = max(1, -(-total // SHARE))
