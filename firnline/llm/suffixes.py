@@ -179,13 +179,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
         h, n = np.unique(h, return_counts=True)
         by = np.argsort(_bucket(h, buckets), kind="stable")
         h, n = h[by], np.minimum(n[by], 255).astype(np.uint8)
-        yield shards.runs(shard.number, _bucket(h, buckets), lambda a, e: h[a:e].tobytes() + n[a:e].tobytes())
+        bucket, low = _bucket(h, buckets), h.astype("<u4")  # half of a hash will do within a bucket: it only filters
+        yield shards.runs(shard.number, bucket, lambda a, e: low[a:e].tobytes() + n[a:e].tobytes())
 
     def count(sent, _):
         """Two bits for each anchor: another shard has it; very many stretches have it."""
-        n = [len(x) // 9 for x in sent]
-        h = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(sent, n, strict=True)])
-        times = np.concatenate([np.frombuffer(x, np.uint8, k, 8 * k) for x, k in zip(sent, n, strict=True)])
+        n = [len(x) // 5 for x in sent]
+        h = np.concatenate([np.frombuffer(x, "<u4", k) for x, k in zip(sent, n, strict=True)])
+        times = np.concatenate([np.frombuffer(x, np.uint8, k, 4 * k) for x, k in zip(sent, n, strict=True)])
         _, inverse, held = np.unique(h, return_inverse=True, return_counts=True)
         both = np.column_stack([held[inverse] > 1, np.bincount(inverse, times)[inverse] > COMMON])
         return [np.packbits(x).tobytes() for x in np.split(both, np.cumsum(n)[:-1])]
