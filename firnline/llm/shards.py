@@ -30,6 +30,8 @@ def shards(docs: DataFrame, size: int = 2_000_000) -> tuple[DataFrame, int]:
     Each partition of docs makes shards of its own rows, all in one bucket: texts aren't dealt anew.
     """
     spark = docs.sparkSession
+    # rows of a megabyte and more: a few of them at a time between Spark and its workers, for what this session runs
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # with fewer buckets than a shuffle has partitions, joins would deal the texts anew
@@ -111,6 +113,27 @@ class Shard:
         return pa.array(self.ids, mask=self.nulls)
 
 
+def give_back() -> None:
+    """What a worker has freed, to the machine: its allocators would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def squeeze(data: bytes) -> bytes:
+    """Its length, then the bytes compressed: closer than a shuffle does it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def spread(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], n, "zstd", asbytes=True) if n else b""
+
+
 def each(table: DataFrame, use: Callable[[Shard, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """use(shard, row) for every row, one shard in memory at a time."""
 
@@ -119,6 +142,8 @@ def each(table: DataFrame, use: Callable[[Shard, dict], Iterator[pa.RecordBatch]
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 yield from use(Shard(row), row)
+                del row
+                give_back()
 
     return table.mapInArrow(run, schema)
 
@@ -134,7 +159,7 @@ def stretches(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 def runs(number: int, bucket: np.ndarray, pack: Callable[[int, int], bytes]) -> pa.RecordBatch:
     """A row of RUN for each stretch; pack(begin, end) gives its bytes."""
     found = stretches(bucket)
-    return pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([b for b, _, _ in found], pa.int64()), pa.array([pack(a, e) for _, a, e in found], pa.binary())], names=["shard", "bucket", "run"])
+    return pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array([b for b, _, _ in found], pa.int64()), pa.array([squeeze(pack(a, e)) for _, a, e in found], pa.binary())], names=["shard", "bucket", "run"])
 
 
 def answer(sent: DataFrame, reduce: Callable[[list[bytes], list[int]], list[bytes]], name: str) -> DataFrame:
@@ -147,7 +172,8 @@ def answer(sent: DataFrame, reduce: Callable[[list[bytes], list[int]], list[byte
         bucket = table.column("bucket")
         if bucket[0].as_py() < 0:
             return table.select(["shard", "bucket", "run"])
-        said = reduce(table.column("run").to_pylist(), table.column("shard").to_pylist())
+        said = reduce([spread(x) for x in table.column("run").to_pylist()], table.column("shard").to_pylist())
+        give_back()
         return pa.table({"shard": table.column("shard"), "bucket": bucket, "run": pa.array(said, pa.binary())})
 
     back = storage.keep(sent.groupBy("bucket").applyInArrow(run, RUN), name)
