@@ -150,7 +150,14 @@ def windows(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def strings_of(buf: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, and a number for each of its places: equal where `window` bytes agree."""
     order = suffix_array(buf, window)
-    return order, np.cumsum(common_prefixes(buf, order, window) < window)
+    equal = common_prefixes(buf, order, window) >= window
+    # suffixes that agree beyond the depth of the sort come in any order, where a carried prefix can be too long
+    at, words = np.flatnonzero(equal), tb.eights(buf)
+    for k in [*range(0, window - 7, 8), window - 8]:
+        at = at[words[order[at].astype(np.int64) + k] == words[order[at - 1].astype(np.int64) + k]]
+    equal[:] = False
+    equal[at] = True
+    return order, np.cumsum(~equal)
 
 
 def cover(start: np.ndarray, window: int, n: int) -> np.ndarray:
