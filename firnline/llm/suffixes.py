@@ -41,48 +41,57 @@ def suffix_array(buf: np.ndarray, depth: int | None = None) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     small = n <= int(_PLACE) + 1
-    head = tb.eights(buf)[:n].byteswap() >> np.uint64(24)  # five bytes
+    head = tb.eights(buf)[:n].byteswap()
+    head >>= np.uint64(24)  # five bytes
     if small:  # the position in the low bits: sorting numbers is several times faster than sorting places
-        head = head << np.uint64(21) | np.arange(n, dtype=np.uint64)
+        head <<= np.uint64(21)
+        head |= np.arange(n, dtype=np.uint64)
         head.sort()
-        order, head = (head & _PLACE).astype(np.int32), head >> np.uint64(21)
+        order = (head & _PLACE).astype(np.int32)
+        head >>= np.uint64(21)
     else:
         order = np.argsort(head, kind="stable")
         head = head[order]
     new = np.append(True, head[1:] != head[:-1])
     del head
-    rank = np.empty(n, np.int32)
+    # beyond the end: below all ranks, and the lower the further
+    beyond = max(h, n if depth is None else depth)
+    rank = np.empty(n + beyond, np.int32)
+    rank[n:] = -1 - np.arange(beyond)
     at = np.flatnonzero(new)
     rank[order] = np.repeat(at, np.diff(np.append(at, n)))
     while depth is None or h < depth:
         # members of groups that aren't single, by group and by the rank h bytes on
-        size = np.diff(np.append(at, n))
-        places = np.flatnonzero(np.repeat(size > 1, size))
+        places = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(places):
             break
         i = order[places].astype(np.int64)
-        # a suffix that ends within h bytes comes before the others, the shorter one first
-        follow = np.where(i + h < n, rank[np.minimum(i + h, n - 1)] + (h + 1), n - i).astype(np.uint64)
+        follow = (rank[i + h] + (h + 1)).astype(np.uint64)
         group = rank[i].astype(np.uint64)
         if small:
-            packed = group << np.uint64(43) | follow << np.uint64(21) | i.astype(np.uint64)
-            packed.sort()
-            i, packed = (packed & _PLACE).astype(np.int64), packed >> np.uint64(21)
-            fresh = np.append(True, packed[1:] != packed[:-1])
+            group <<= np.uint64(22)
+            group |= follow
+            group <<= np.uint64(21)
+            group |= i.astype(np.uint64)
+            group.sort()
+            i = (group & _PLACE).astype(np.int64)
+            group >>= np.uint64(21)
+            key = group
         else:
             by = np.lexsort([follow, group])
-            i, follow, group = i[by], follow[by], group[by]
-            fresh = np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]))
+            i, key = i[by], group[by] << np.uint64(32) | follow[by]
         order[places] = i
+        if depth is not None and 2 * h >= depth:  # no round asks for ranks any more
+            break
+        fresh = np.append(True, key[1:] != key[:-1])
         first = np.flatnonzero(fresh)
         rank[i] = np.repeat(places[first], np.diff(np.append(first, len(i))))
         new[places] = fresh
-        at = np.flatnonzero(new)
         h *= 2
     return order
 
 
-def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
+def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 32) -> np.ndarray:
     """For each place of the array, the common prefix with the place before, up to `most`."""
     n = len(buf)
     before = np.full(n, -1, np.int32)
@@ -104,8 +113,8 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, lane: int = 2
         while len(going):
             at = length[going]
             differ = words[np.minimum(i[going] + at, n)] ^ words[np.minimum(j[going] + at, n)]
-            # bytes from the lowest on that agree: the place of the lowest bit that differs
-            same = np.where(differ == 0, 8, (np.frexp((differ & -differ).astype(float))[1] - 1) >> 3)
+            # bytes from the lowest on that agree: eight for each bit below the lowest that differs
+            same = np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3
             length[going] = at + same
             going = going[(same == 8) & (at + same < most)]
         # beyond the end nothing agrees
