@@ -136,7 +136,7 @@ def grams(buf: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, start: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows at `start`: where the gram with the least hash is, and the hash of it."""
+    """Of the windows at `start`: where the gram with the least hash is; and the hashes of all grams."""
     h = grams(buf, gram)
     bits = np.uint64(max(1, len(buf).bit_length()))
     least = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
@@ -147,7 +147,7 @@ def anchors(buf: np.ndarray, start: np.ndarray, window: int, gram: int) -> tuple
     if room > size:
         least = np.minimum(least[: size - room], least[room - size :])
     at = (least[start] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    return at, tb.mix(h[at])
+    return at, h
 
 
 def windows(offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
         if not len(start):
             return
         at, h = anchors(shard.buf, start, window, gram)
-        h = h[np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))]
+        h = tb.mix(h[at[np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))]])
         h, n = np.unique(h, return_counts=True)
         by = np.argsort(_bucket(h, buckets), kind="stable")
         h, n = h[by], np.minimum(n[by], 255).astype(np.uint8)
@@ -225,12 +225,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
         del order, number, least, rank, of
         at, h = anchors(shard.buf, start, window, gram)
         lead = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # once for each anchor
-        one, inverse = np.unique(h[lead], return_inverse=True)
+        mixed = tb.mix(h[at[lead]])
+        one, inverse = np.unique(mixed, return_inverse=True)
         by = np.argsort(_bucket(one, buckets), kind="stable")
         bit = shards.bits(shards.answers(row, "anchors"), _bucket(one[by], buckets), np.full(len(one), 2)).reshape(-1, 2)
         flags = np.empty_like(bit)
         flags[by] = bit
-        shared, common = np.repeat(flags[inverse], np.diff(np.append(lead, len(at))), axis=0).T
+        many = np.diff(np.append(lead, len(at)))
+        shared, common = (np.repeat(f, many) for f in np.ascontiguousarray(flags[inverse].T))
         open_ = np.flatnonzero(shared & ~again)
         if len(open_):
             # neighbouring windows of one anchor are a stretch; those of common anchors stay apart
@@ -241,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 24, size: int
             name = own[low].astype(np.uint64) << np.uint64(36) | own[low + n - 1].astype(np.uint64) << np.uint64(8) | n.astype(np.uint64)
             _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
             lead, n = low[first], n[first]
-            bucket = _bucket(np.where(common[lead], tb.segments(shard.buf, start[lead], start[lead] + window), h[lead]), buckets)
+            bucket = _bucket(np.where(common[lead], tb.segments(shard.buf, start[lead], start[lead] + window), tb.mix(h[at[lead]])), buckets)
             by = np.lexsort([own[lead], bucket])  # in the order of suffixes
             record = np.empty(len(by), np.int64)
             record[by] = np.arange(len(by))
