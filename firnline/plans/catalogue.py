@@ -138,7 +138,7 @@ add("design_matrix", lambda d: N.design_matrix(d).groupBy("x", "y", "k").agg(F.c
 W0 = f", w AS (SELECT *, CASE WHEN temporal_baseline > 180 THEN 0 ELSE 1 END * CASE WHEN max(errorx) {WIN} = min(errorx) {WIN} THEN 1 ELSE 1 - (errorx - min(errorx) {WIN}) / nullif(max(errorx) {WIN} - min(errorx) {WIN}, 0) END AS w FROM obs)"
 add("weights_initial", lambda d: N.initial_weights(d).select("x", "y", "date1", "date2", "errorx", "w"), W0 + f" SELECT {KEYS}, r(errorx) AS errorx, r(w) AS w FROM w")
 add("tukey_weights", lambda d: N.tukey_weights(d.where("vx is not null").withColumn("r", F.col("vx") - 120)).select("x", "y", "date1", "date2", "vx", "w"), f", a AS (SELECT *, vx - 120 AS q, median(vx - 120) {WIN} AS m FROM obs WHERE vx IS NOT NULL), b AS (SELECT *, median(abs(q - m)) {WIN} / 0.6745 AS s FROM a) SELECT {KEYS}, r(vx) AS vx, r(CASE WHEN s = 0 THEN 1 WHEN abs(q/s) <= 4.685 THEN pow(1 - pow(q/s/4.685, 2), 2) ELSE 0 END) AS w FROM b")
-add("x_contribution", lambda d: N.contributions(N.initial_weights(N.rank_ranges(d))).join(N.epochs(d).select("x", "y", "k"), ["x", "y", "k"]), EPOCHS + W0 + " SELECT e.x, e.y, e.k::INTEGER AS k, r(coalesce(sum(w.w), 0)) AS xcount FROM epochs e LEFT JOIN w ON w.x = e.x AND w.y = e.y AND e.e_start >= w.date1 AND e.e_end <= w.date2 GROUP BY e.x, e.y, e.k")
+add("x_contribution", lambda d: N.contributions(N.initial_weights(d)), EPOCHS + W0 + " SELECT e.x, e.y, e.k::INTEGER AS k, r(coalesce(sum(w.w), 0)) AS xcount FROM epochs e LEFT JOIN w ON w.x = e.x AND w.y = e.y AND e.e_start >= w.date1 AND e.e_end <= w.date2 GROUP BY e.x, e.y, e.k")
 RATES = EPOCHS.replace("FROM obs", "FROM obs WHERE vx IS NOT NULL AND vy IS NOT NULL") + ", ilf AS (SELECT e.x, e.y, e.k::INTEGER AS k, e.e_start AS date1, e.e_end AS date2, e.delta, avg(vx)*e.delta/365 AS result_dx, avg(vy)*e.delta/365 AS result_dy FROM epochs e JOIN obs o ON o.vx IS NOT NULL AND o.vy IS NOT NULL AND o.x = e.x AND o.y = e.y AND e.e_start >= o.date1 AND e.e_end <= o.date2 GROUP BY e.x, e.y, e.k, e.e_start, e.e_end, e.delta)"
 
 
@@ -182,9 +182,17 @@ add("vvc", Q.coherence, f"SELECT x, y, r(sqrt(pow(sum(vx/{VV}), 2) + pow(sum(vy/
 add("flow_direction", Q.flow_direction, "SELECT x, y, r((degrees(atan2(sum(vx*temporal_baseline), sum(vy*temporal_baseline))) + 360) % 360) AS direction FROM obs GROUP BY x, y")
 add("med_static", lambda d: Q.static_median(d, area(d)), f"SELECT mid_date, r(median(vx)) AS vx, r(median(vy)) AS vy FROM obs {STATIC} GROUP BY mid_date")
 add("nmad_static", lambda d: Q.static_nmad(d, area(d)), f", m AS (SELECT *, median(vx) OVER (PARTITION BY mid_date) AS mx, median(vy) OVER (PARTITION BY mid_date) AS my FROM obs {STATIC}) SELECT mid_date, r(1.483*median(abs(vx-mx))) AS vx, r(1.483*median(abs(vy-my))) AS vy FROM m GROUP BY mid_date")
-HEAT = f", h AS (SELECT 100.0*xi AS distance, {VV} AS vv, unnest(generate_series(CAST(date_trunc('month', date1 - 1) AS TIMESTAMP), CAST(date_trunc('month', date2) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM obs WHERE xi = yi AND vx IS NOT NULL AND vy IS NOT NULL)"
+# points and pixels, layers and months are compared directly here
+HEAT = f""", pt AS (SELECT DISTINCT 100.0*xi AS distance, x AS px, y AS py FROM obs WHERE xi = yi),
+ly AS (SELECT p.distance, o.date1, o.date2, o.sensor, o.source, avg({VV}) AS v
+  FROM pt p JOIN obs o ON abs(o.x - p.px) <= 100 AND abs(o.y - p.py) <= 100 AND o.vx IS NOT NULL AND o.vy IS NOT NULL GROUP BY ALL),
+mo AS (SELECT CAST(m AS DATE) AS month, CAST(m + INTERVAL 1 MONTH AS DATE) AS after
+  FROM (SELECT unnest(generate_series(TIMESTAMP '1900-01-01', TIMESTAMP '2100-01-01', INTERVAL 1 MONTH)) AS m)),
+b AS (SELECT * FROM mo WHERE month >= (SELECT min(date1) FROM obs) AND after <= (SELECT max(date2) FROM obs))
+SELECT distance::DOUBLE AS distance, month, CAST(after - (date_diff('day', month, after) // 2)::INTEGER AS DATE) AS date, r(HOW(v)) AS vv
+FROM ly JOIN b ON after >= date1 AND month <= date2 GROUP BY distance, month, after"""
 for _how in ("mean", "median"):
-    add(f"heatmap_{_how}", lambda d, h=_how: Q.heatmap(d, profile(d), h), HEAT + f" SELECT distance::DOUBLE AS distance, CAST(m AS DATE) AS month, r({'avg' if _how == 'mean' else 'median'}(vv)) AS vv FROM h GROUP BY distance, m")
+    add(f"heatmap_{_how}", lambda d, h=_how: Q.heatmap(d, profile(d), 100.0, method=h), HEAT.replace("HOW", "avg" if _how == "mean" else "median"))
 add("rmse_stable", Q.rmse, "SELECT x, y, r(sqrt(avg((vx*vx + vy*vy)/2))) AS rmse FROM obs GROUP BY x, y")
 add("group_mean_std", Q.pair_spread, ", p AS (SELECT date1, date2, avg(vx) AS mx, stddev_pop(vx) AS sx, avg(vy) AS my, stddev_pop(vy) AS sy FROM obs GROUP BY date1, date2) SELECT r(avg(mx)) AS mean_vx, r(avg(sx)) AS std_vx, r(avg(my)) AS mean_vy, r(avg(sy)) AS std_vy FROM p")
 add("sensor_residual_stats", lambda d: Q.residual_groups(d.withColumn("r", F.col("vx") - 120)), "SELECT sensor, source, count(vx) AS n, r(quantile_cont(vx - 120, 0.25)) AS q25, r(quantile_cont(vx - 120, 0.5)) AS q50, r(quantile_cont(vx - 120, 0.75)) AS q75 FROM obs GROUP BY sensor, source")
@@ -258,7 +266,7 @@ for _name, (_run, _text) in {
     _queries[_name] = _run
     if _text:
         _sql[_name] = expand(_text)
-_queries["stream_session"] = lambda spark, sf_dir: rounded(A.sessions(A.read_events(spark, sf_dir, stream=False)))
+_queries["stream_session"] = lambda spark, sf_dir: rounded(A.drain(A.sessions(A.read_events(spark, sf_dir)), "complete"))
 _sql["stream_session"] = expand(f"WITH {_EV}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY pixel ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY pixel ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, pixel, count(*) AS n, r(avg(vx)) AS vx FROM s GROUP BY pixel, k")
 
 

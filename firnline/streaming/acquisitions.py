@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -63,15 +64,36 @@ def running_state(acq: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote, as a table of the shared folder or memory."""
+    """Runs a stream over all that is there and returns what it wrote: tables in the shared folder, one for each batch, of
+    which `complete` needs the last alone. A batch that runs again overwrites its own."""
     spark = df.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    where = f"{_shared(spark)}/drained_{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        at = f"{where}/rows/{number}"
+        rows.write.mode("overwrite").parquet(at)
+        if mode == "complete":
+            written.clear()
+        if at not in written:
+            written.append(at)
+
+    query = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(*written) if written else spark.createDataFrame([], df.schema)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only if there is none and the session has one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="firnline_")
 
 
 def reinvert(store: str, p: Inversion | None = None):

@@ -36,3 +36,9 @@ def test_reinversion_of_touched_pixels(spark, sf, tmp_path):
     want = V.invert(first.where("xi = 0").unionByName(second), V.Inversion(regu="1", solver="LS")).orderBy("x", "y", "k").select("x", "y", "k", F.round("result_dx", 6))
     got = spark.read.parquet(f"file://{tmp_path}/ilf/batch=1").orderBy("x", "y", "k").select("x", "y", "k", F.round("result_dx", 6))
     assert got.collect() == want.collect()
+
+
+def test_drain_of_an_empty_stream_keeps_the_schema(spark, tmp_path):
+    source = spark.readStream.schema("pixel long, vx double").parquet(str(tmp_path))
+    got = A.drain(source)
+    assert got.columns == ["pixel", "vx"] and got.count() == 0
