@@ -432,8 +432,9 @@ def fit_sine(t: np.ndarray, v: np.ndarray, f: float | None = None, harmonics: in
 
 
 def saturation(c: np.ndarray, v: np.ndarray, share: float = 0.95) -> tuple[float, float, float]:
-    """gain, scale and the first c where gain (1 - exp(-c / scale)) has risen by `share` of the range; gain is the last value."""
-    gain, a = float(v[-1]), float(max(c[len(c) // 2], 1e-9))
+    """gain (the largest value), scale and the first c whose value exceeds what gain (1 - exp(-c / scale)) reaches after
+    `share` of its range; NaN if none does."""
+    gain, a = float(v.max()), float(max(c[len(c) // 2], 1e-9))
     for _ in range(100):
         e = np.exp(-c / a)
         slope = -gain * e * c / a**2
@@ -442,4 +443,5 @@ def saturation(c: np.ndarray, v: np.ndarray, share: float = 0.95) -> tuple[float
         if abs(move) < 1e-10 * a:
             break
     model = gain * (1 - np.exp(-c / a))
-    return gain, a, float(c[np.argmax(model >= model.min() + share * (model.max() - model.min()))])
+    above = np.flatnonzero(v > model.min() + share * (model.max() - model.min()))
+    return gain, a, float(c[above[0]]) if len(above) else float("nan")

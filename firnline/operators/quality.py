@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .network import mean_covering
 from .outliers import azimuth, speed
 
 
@@ -41,29 +42,44 @@ def static_nmad(obs: DataFrame, area: DataFrame) -> DataFrame:
     return off.groupBy("mid_date").agg(spread("x"), spread("y"))
 
 
-def heatmap(obs: DataFrame, profile: DataFrame, method: str = "mean") -> DataFrame:
-    """distance, month, vv: mean or median over the observations that touch a month (both ends count), at the pixels of
-    profile(distance, x, y). Each observation is set out into its months, so the join is by equality."""
-    own = obs.where("vx is not null and vy is not null").join(profile.select("distance", "x", "y"), ["x", "y"])
-    # an observation that ends on the first of a month touches the month before as well
-    first = F.trunc(F.date_sub("date1", 1), "MM")
-    months = own.select("distance", speed().alias("vv"), F.explode(F.sequence(first, F.trunc("date2", "MM"), F.expr("interval 1 month"))).alias("month"))
+def heatmap(obs: DataFrame, profile: DataFrame, resolution: float, variable: str = "vv", method: str = "mean") -> DataFrame:
+    """distance, month, date (the middle of the month) and `variable` (vx, vy or vv) along profile(distance, x, y), one
+    point for each distance.
+
+    A layer is what one sensor and source give for one pair of dates; its value at a point is the mean over the pixels
+    within `resolution` of it. A month has the mean or median of the layers that touch it (both ends count). Months are
+    the whole ones between the first and last date of the cube; those without a value at a point have no row.
+
+    Points meet pixels by cells of the grid and layers are set out into their months, so all joins are by equality."""
+    value = speed() if variable == "vv" else F.col(variable)
+    cell = lambda c: F.floor(F.col(c) / resolution)
+    points = profile.select("distance", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"))
+    for c in ("cx", "cy"):
+        points = points.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    own = obs.select("date1", "date2", "sensor", "source", "x", "y", value.alias("v"), cell("x").alias("cx"), cell("y").alias("cy")).where("v is not null")
+    near = own.join(points, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("px")) <= resolution) & (F.abs(F.col("y") - F.col("py")) <= resolution))
+    layers = near.groupBy("distance", "date1", "date2", "sensor", "source").agg(F.avg("v").alias("v"))
+    month = lambda d: F.trunc(d, "MM")
+    # a layer that begins on the first of a month touches the month before as well
+    before = lambda d: month(F.date_sub(d, 1))
+    span = obs.agg(F.add_months(before(F.min("date1")), 1).alias("first"), F.add_months(month(F.max("date2")), -1).alias("last"))  # one row
+    low, high = F.greatest(before("date1"), "first"), F.least(month("date2"), "last")
+    months = layers.crossJoin(F.broadcast(span)).where(low <= high).select("distance", "v", F.explode(F.sequence(low, high, F.expr("interval 1 month"))).alias("month"))
     how = F.avg if method == "mean" else F.median
-    return months.groupBy("distance", "month").agg(how("vv").alias("vv"))
+    out = months.groupBy("distance", "month").agg(how("v").alias(variable))
+    after = F.add_months("month", 1)
+    middle = F.date_sub(after, F.floor(F.datediff(after, "month") / 2).cast("int"))
+    return out.select("distance", "month", middle.alias("date"), variable)
 
 
-def pivot_heatmap(cells: DataFrame, distances: list[float]) -> DataFrame:
+def pivot_heatmap(cells: DataFrame, distances: list[float], variable: str = "vv") -> DataFrame:
     """One row for each month, one column for each distance."""
-    return cells.groupBy("month").pivot("distance", distances).agg(F.first("vv"))
+    return cells.groupBy("month").pivot("distance", distances).agg(F.first(variable))
 
 
 def moving_average(obs: DataFrame) -> DataFrame:
     """x, y, k, e_start, e_end, vx, vy: mean velocity of the observations over each epoch."""
-    from .network import epochs, mean_rates
-
-    rates = mean_rates(obs)
-    per = lambda c: (F.col(f"result_d{c}") * 365 / F.col("delta")).alias(f"v{c}")
-    return epochs(obs.where("vx is not null and vy is not null")).select("x", "y", "k", "e_start", "e_end").join(rates.select("x", "y", "k", per("x"), per("y")), ["x", "y", "k"])
+    return mean_covering(obs).drop("delta")
 
 
 def rmse(series: DataFrame, truth: DataFrame | None = None) -> DataFrame:

@@ -110,3 +110,12 @@ def test_signals():
     assert abs(low[50:-50] - np.sin(t / 300)[50:-50]).max() < 0.05
     c = np.array([1, 10, 50, 100, 500.0])
     assert abs(K.saturation(c, 0.9 * (1 - np.exp(-c / 30)))[1] - 30) < 1
+
+
+def test_saturation_of_a_curve_that_falls_again():
+    c = np.array([1.0, 5, 10, 50, 100, 500])
+    v = np.array([0.1, 0.4, 0.6, 0.9, 0.95, 0.8])
+    gain, scale, coef = K.saturation(c, v)
+    assert gain == 0.95  # the largest, not the last
+    model = gain * (1 - np.exp(-c / scale))
+    assert coef == c[v > model.max() - 0.05 * (model.max() - model.min())][0]
