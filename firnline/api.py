@@ -55,12 +55,22 @@ def process(obs: DataFrame, chain: Chain | None = None, returned: str = "interp"
 
 
 def one_pixel(obs: DataFrame, x: float, y: float, chain: Chain | None = None, halo: float | None = None) -> dict[str, DataFrame]:
-    """obs, invert and interp of the pixel nearest to a point; halo: how far around it observations are read."""
+    """obs, invert and interp of the pixel nearest to a point; halo: how far around it the pixel is looked for. Only its
+    neighbours within the chain's window are smoothed, and it alone is inverted."""
     chain = chain or Chain()
     near = select.buffer_point(obs, x, y, halo) if halo else obs
-    own = select.nearest_pixel(near, x, y).select("x", "y").distinct()
-    ilf = process(near, chain, "invert").join(F.broadcast(own), ["x", "y"])  # one row
-    return {"obs": near.join(F.broadcast(own), ["x", "y"]), "invert": ilf, "interp": series.resample(ilf, chain.interval, chain.redundancy, chain.option)}
+    keys = [c for c in ("x", "y", "xi", "yi") if c in obs.columns]
+    own = F.broadcast(select.nearest_pixel(near, x, y).select(*keys).distinct())  # one row
+    of_pixel = lambda df: df.join(own.select("x", "y"), ["x", "y"])
+    if "xi" in keys:
+        at, reach = own.select(F.col("xi").alias("_xi"), F.col("yi").alias("_yi")), chain.window // 2
+        close = (F.abs(F.col("xi") - F.col("_xi")) <= reach) & (F.abs(F.col("yi") - F.col("_yi")) <= reach)
+        obs, prior = prepare(obs.join(F.broadcast(at), close).drop("_xi", "_yi"), chain)
+    else:
+        obs, prior = prepare(of_pixel(obs), chain)
+    mine = of_pixel(obs)
+    ilf = V.invert(mine, chain.inversion) if prior is None else V.invert_with_prior(mine, of_pixel(prior), chain.inversion)
+    return {"obs": of_pixel(near), "invert": ilf, "interp": series.resample(ilf, chain.interval, chain.redundancy, chain.option)}
 
 
 def register_sql(spark: SparkSession, p: V.Inversion | None = None) -> None:

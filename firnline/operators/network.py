@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,13 +32,26 @@ def design_matrix(obs: DataFrame) -> DataFrame:
     return rank_ranges(obs).where("lo < hi").withColumn("k", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
 
 
-def contributions(weighted: DataFrame, weight: str = "w") -> DataFrame:
-    """x, y, k, xcount: sum of the weights of the observations that cover an epoch.
+def covered(obs: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """x, y, k, e_start, e_end, delta of each epoch and, under its name, the sum of each value over the observations that
+    cover it.
+
+    An observation adds its value at date1 and takes it off at date2; a running sum does the rest, so the rows grow with
+    the observations and not with the epochs that they cover. What is exchanged is summed by date before, and a date's
+    place in the window is its rank: nothing is joined. Without one of its dates an observation covers nothing."""
+    whole = F.col("date1").isNotNull() & F.col("date2").isNotNull()
+    at = lambda sign, d: F.struct(F.col(d).alias("d"), *[F.when(whole, sign * v).alias(n) for n, v in values.items()])
+    marks = obs.select("x", "y", F.explode(F.array(at(1, "date1"), at(-1, "date2"))).alias("m")).where("m.d is not null")
+    sums = marks.groupBy("x", "y", "m.d").agg(*[F.coalesce(F.sum(f"m.{n}"), F.lit(0)).alias(n) for n in values])
+    by = W.partitionBy("x", "y").orderBy("d")
+    rank, end = (F.row_number().over(by) - 1).alias("k"), F.lead("d").over(by).alias("e_end")
+    rows = sums.select("x", "y", rank, F.col("d").alias("e_start"), end, *[F.sum(n).over(by).alias(n) for n in values])
+    return rows.where("e_end is not null").withColumn("delta", F.datediff("e_end", "e_start"))
 
-    Each observation adds its weight at lo and takes it off at hi; a running sum does the rest, so the rows grow with
-    the observations and not with the epochs that they cover."""
-    marks = weighted.select("x", "y", F.explode(F.array(F.struct(F.col("lo").alias("k"), F.col(weight).alias("w")), F.struct(F.col("hi").alias("k"), (-F.col(weight)).alias("w")))).alias("m")).groupBy("x", "y", "m.k").agg(F.sum("m.w").alias("w"))
-    return marks.select("x", "y", "k", F.sum("w").over(ordered()).alias("xcount"))
+
+def contributions(weighted: DataFrame, weight: str = "w") -> DataFrame:
+    """x, y, k, xcount: sum of the weights of the observations that cover an epoch."""
+    return covered(weighted, {"xcount": F.col(weight)}).select("x", "y", "k", "xcount")
 
 
 def initial_weights(obs: DataFrame, error: str = "errorx", apriori: bool = True, confidence: bool = False, decorrelation: int | None = 180) -> DataFrame:
@@ -85,13 +98,15 @@ def acceleration(apriori: DataFrame, value: str) -> DataFrame:
     return apriori.select("x", "y", "k", (F.lead(value).over(ordered()) - F.col(value)).alias("accel")).where("accel is not null")
 
 
+def mean_covering(obs: DataFrame) -> DataFrame:
+    """x, y, k, e_start, e_end, delta, vx, vy: means of the observations that cover an epoch; epochs without any are left out."""
+    known = obs.where("vx is not null and vy is not null")
+    sums = covered(known, {"vx": F.col("vx"), "vy": F.col("vy"), "n": F.lit(1).cast("long")}).where("n > 0")
+    return sums.select("x", "y", "k", "e_start", "e_end", "delta", *[(F.col(c) / F.col("n")).alias(c) for c in ("vx", "vy")])
+
+
 def mean_rates(obs: DataFrame) -> DataFrame:
     """x, y, k, date1, date2, delta, result_dx, result_dy: displacement of each epoch at the mean velocity of the
-    observations that cover it; a quick estimate, with running sums as in `contributions`."""
-    ranged = rank_ranges(obs.where("vx is not null and vy is not null"))
-    parts = lambda sign, at: F.struct(F.col(at).alias("k"), (sign * F.col("vx")).alias("vx"), (sign * F.col("vy")).alias("vy"), F.lit(sign).cast("long").alias("n"))
-    marks = ranged.select("x", "y", F.explode(F.array(parts(1, "lo"), parts(-1, "hi"))).alias("m")).groupBy("x", "y", "m.k").agg(*[F.sum(f"m.{c}").alias(c) for c in ("vx", "vy", "n")])
-    sums = marks.select("x", "y", "k", *[F.sum(c).over(ordered()).alias(c) for c in ("vx", "vy", "n")])
-    rows = epochs(obs.where("vx is not null and vy is not null")).join(sums, ["x", "y", "k"]).where("n > 0")
-    value = lambda c: (F.col(c) / F.col("n") * F.col("delta") / 365).alias(f"result_d{c[1]}")
-    return rows.select("x", "y", "k", F.col("e_start").alias("date1"), F.col("e_end").alias("date2"), "delta", value("vx"), value("vy"))
+    observations that cover it; a quick estimate."""
+    value = lambda c: (F.col(f"v{c}") * F.col("delta") / 365).alias(f"result_d{c}")
+    return mean_covering(obs).select("x", "y", "k", F.col("e_start").alias("date1"), F.col("e_end").alias("date2"), "delta", value("x"), value("y"))

@@ -55,22 +55,28 @@ def grid_starts(ilf: DataFrame, interval: int = 30, redundancy: int = 5, start:
 
 
 def resample_nearest(ilf: DataFrame, interval: int = 30, redundancy: int = 5) -> DataFrame:
-    """rlf by the cumulative value of the nearest date (half-way, the earlier), with windows alone: the grid's dates
-    and the series' are united, and each looks back and ahead."""
-    cum = cumulative(ilf).select("x", "y", F.col("date2").alias("d"), "dx", "dy")
-    windows = grid_starts(ilf, interval, redundancy)
-    asked = windows.select("x", "y", F.explode(F.array("date1", "date2")).alias("d")).distinct()
-    known = F.struct("d", "dx", "dy")
-    both = cum.withColumn("p", known).select("x", "y", "d", "p").unionByName(asked.withColumn("p", F.lit(None).cast("struct<d: date, dx: double, dy: double>")))
-    by = W.partitionBy("x", "y").orderBy("d")
-    back = F.last("p", True).over(by.rangeBetween(W.unboundedPreceding, W.currentRow))
-    ahead = F.first("p", True).over(by.rangeBetween(W.currentRow, W.unboundedFollowing))
-    near = both.select("x", "y", "d", F.col("p").isNull().alias("asked"), back.alias("b"), ahead.alias("a")).where("asked")
-    take = F.when(F.col("a").isNull() | (F.datediff("d", "b.d") <= F.datediff("a.d", "d")), F.col("b")).otherwise(F.col("a"))
-    near = near.select("x", "y", "d", take.alias("v"))
-    left, right = (near.select("x", "y", F.col("d").alias(c), F.col("v").alias(n)) for c, n in (("date1", "v1"), ("date2", "v2")))
-    speed = lambda c: ((F.col(f"v2.{c}") - F.col(f"v1.{c}")) * YEAR / interval).alias(f"v{c[1]}")
-    return windows.join(left, ["x", "y", "date1"]).join(right, ["x", "y", "date2"]).select("x", "y", "date1", "date2", speed("dx"), speed("dy"))
+    """rlf by the cumulative value of the nearest date (half-way, the earlier).
+
+    Each date of the series is set out to the grid's dates that are nearest to it, and a window's end is so many rows on:
+    all of it runs on one partitioning by pixel, without a join. The grid is that of `grid_starts`."""
+    step = interval // redundancy * redundancy
+    pixel = W.partitionBy("x", "y")
+    by = pixel.orderBy("day")
+    cum = cumulative(ilf).select("x", "y", "dx", "dy", F.unix_date("date2").alias("day"))
+    first, last = F.min("day").over(pixel).alias("a"), F.max("day").over(pixel).alias("b")
+    dates = cum.select("*", F.lag("day").over(by).alias("before"), F.lead("day").over(by).alias("after"), first, last)
+    # grid dates are a + j * redundancy; twice a date is compared with a sum of two, so half days do no harm
+    half = lambda other: F.floor((F.col("day") + F.col(other) - 2 * F.col("a")) / (2 * redundancy))
+    end = F.floor((F.col("b") - F.col("a") - 1) / redundancy)
+    low = F.greatest(F.lit(1).cast("long"), F.coalesce(half("before") + 1, F.lit(1).cast("long")))
+    high = F.least(end, F.coalesce(half("after"), end))
+    cells = dates.select("x", "y", "a", "dx", "dy", low.alias("low"), high.alias("high")).where("low <= high")
+    points = cells.select("x", "y", "a", "dx", "dy", F.explode(F.sequence("low", "high")).alias("j"))
+    on = lambda c: F.lead(c, step // redundancy).over(pixel.orderBy("j"))
+    day = lambda more: F.date_from_unix_date((F.col("a") + F.col("j") * redundancy + more).cast("int"))
+    speed = lambda c: ((on(c) - F.col(c)) * YEAR / interval).alias(f"v{c[1]}")
+    rows = points.select("x", "y", day(0).alias("date1"), day(step).alias("date2"), speed("dx"), speed("dy"), on("j").alias("to"))
+    return rows.where("to is not null").drop("to")
 
 
 def resample_frame(pdf: pd.DataFrame, interval: int = 30, redundancy: int | None = 5, option: str = "spline", unit: int = YEAR, first: str | None = None, last: str | None = None) -> pd.DataFrame:
