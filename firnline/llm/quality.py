@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .shards import give_back
 
 BITS, STYLE, GRADES = 18, 8, 3
 _LETTER = np.zeros(256, bool)
@@ -147,10 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Ordinal | N
     got = rows.mapInArrow(read, "doc_id long, " + FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample).toArrow()
     if not got.num_rows:
         return None
-    words = [np.frombuffer(x, "<i4") for x in got.column("words").to_pylist()]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
-    style = np.stack([np.frombuffer(x) for x in got.column("style").to_pylist()])
-    return Ordinal().fit(np.concatenate(words).astype(np.int64), ends, style, np.array(got.column("grade").to_pylist(), np.int64))
+    words, offsets = tb.text_bytes(got.column("words"))
+    style, _ = tb.text_bytes(got.column("style"))
+    style, grade = style.view("<f8").reshape(got.num_rows, -1).copy(), got.column("grade").to_numpy()
+    model = Ordinal().fit(words.view("<i4").astype(np.int64), offsets // 4, style, grade.astype(np.int64))
+    del got, words, offsets, style, grade
+    give_back()  # the driver lives on
+    return model
 
 
 def classify(docs: DataFrame, model: Ordinal | None, keep: int = GRADES - 1, least: float = 0.5) -> DataFrame:
