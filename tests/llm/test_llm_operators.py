@@ -618,3 +618,19 @@ def test_shard_numbers_fall_in_one_bucket(spark):
         mine = [*itertools.islice(shards.numbered(task, parts), 20)]
         got = spark.createDataFrame([(x,) for x in mine], "n long").select(F.pmod(F.hash("n"), F.lit(parts)).alias("b")).distinct().collect()
         assert [r.b for r in got] == [task % parts] and len(set(mine)) == 20
+
+
+def test_merging_many_runs_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    data, strings = rng.integers(97, 110, 1_000_000).astype(np.uint8), shards.Strings(50, 1, 24, by_shard=False)
+    sent = []
+    for _ in range(400):
+        which = np.sort(rng.choice(15_000, 60, replace=False))
+        sent.append(strings.pack(rng.integers(0, 1 << 40, 60).astype(np.uint64), which % 26, 1 + which % 27, which * 60, data)(0, 60))
+    tracemalloc.start()
+    strings.reduce(sent, list(range(len(sent))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(map(len, sent))
