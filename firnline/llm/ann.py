@@ -7,7 +7,8 @@ sample with a penalty on large lists; each vector joins its nearest list and, ne
 vectors are dealt in parts, and so are the queries of lists that are asked more than `batch` times. A query searches the
 centroids by a neighbour graph held in memory and takes the lists whose distance is within a ratio of the nearest, and
 more until those hold enough other ids; the ratio is the least that reaches `recall` on the sample. Lists score their
-vectors in double precision.
+vectors in double precision. A query's EARLY nearest lists come first; the others then give only those vectors that are no
+farther than the last one of a whole answer, so that what travels hardly grows with the lists that a query takes.
 
 Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components
 take no part; neither do rows without id. Equal scores tie: the smaller vec_id comes first. Repeated (vec_id, vector)
@@ -28,7 +29,10 @@ from . import textbytes as tb
 #: Rows of the sample at least and at most; distinct vectors of a list on average; lists of a vector at most, and how much
 #: farther than the nearest they are.
 SAMPLE, MOST, LIST, REPLICAS, BOUNDARY = 16_384, 262_144, 400, 4, 1.08
-BLOCK = 4096
+#: Lists of a query that are scored first; the others answer only with what is as near as the last of those found there.
+EARLY = 8
+#: Distances held at a time: vectors of a block times centroids.
+HELD = 1 << 20
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -55,6 +59,26 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T))
 
 
+def _blocks(n: int, centroids: int):
+    """Ranges of rows whose distances to all centroids are within HELD."""
+    step = max(1, HELD // max(1, centroids))
+    for lo in range(0, n, step):
+        yield slice(lo, min(n, lo + step))
+
+
+def _nearest(d: np.ndarray, m: int) -> np.ndarray:
+    """The places of the m least of each row, nearest first; ties by place."""
+    if m >= d.shape[1]:
+        return np.argsort(d, 1, kind="stable")
+    # the m-th least value settles which places count; equal ones there go by place
+    edge = np.partition(d, m - 1, 1)[:, m - 1 : m]
+    out = np.empty((len(d), m), np.int64)
+    for i, (row, e) in enumerate(zip(d, edge[:, 0].tolist(), strict=True)):
+        at = np.flatnonzero(row <= e)
+        out[i] = at[np.argsort(row[at], kind="stable")[:m]]
+    return out
+
+
 class Index:
     """Centroids with a graph of their neighbours. most: the largest norm of all vectors."""
 
@@ -66,24 +90,24 @@ class Index:
         self.c, weight = x[rng.choice(len(x), k, replace=False)].copy(), np.zeros(k)
         to, near = np.zeros(len(x), np.int64), np.zeros(len(x))
         for _ in range(rounds):
-            for at in range(0, len(x), BLOCK):
-                d = _distances(x[at : at + BLOCK], self.c) ** 2
-                to[at : at + BLOCK], near[at : at + BLOCK] = (d + weight).argmin(1), d.min(1)
+            for at in _blocks(len(x), k):
+                d = _distances(x[at], self.c) ** 2
+                to[at], near[at] = (d + weight).argmin(1), d.min(1)
             n = np.bincount(to, minlength=k)
             weight += 0.05 * near.mean() * (n / max(1, n.mean()) - 1)  # large lists become dearer
             total = np.zeros_like(self.c)
             np.add.at(total, to, x)
             self.c = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], self.c)
-        nearest = [np.argsort(_distances(self.c[at : at + BLOCK], self.c), 1)[:, 1 : 1 + min(24, k - 1)] for at in range(0, k, BLOCK)]
+        nearest = [_nearest(_distances(self.c[at], self.c), min(25, k))[:, 1:] for at in _blocks(k, k)]
         self.graph = np.concatenate(nearest)
         self.ratio = 1.0
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each vector joins: the nearest first, then those at most BOUNDARY times as far."""
         out = []
-        for lo in range(0, len(x), BLOCK):
-            d = _distances(_lift(x[lo : lo + BLOCK], self.most), self.c)
-            near = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
+        for some in _blocks(len(x), len(self.c)):
+            d = _distances(_lift(x[some], self.most), self.c)
+            near = _nearest(d, REPLICAS)
             at = np.take_along_axis(d, near, 1)
             out += [n[a <= a[0] * BOUNDARY] for n, a in zip(near, at, strict=True)]
         return out
@@ -125,8 +149,7 @@ class Index:
     def calibrate(self, sample: np.ndarray, k: int, recall: float) -> None:
         """The least ratio that finds `recall` of the k nearest of some of the sample within the sample."""
         some = sample[:: max(1, len(sample) // 256)]
-        scores = some @ sample.T
-        true = [set(np.argpartition(-s, min(k, len(s) - 1))[:k].tolist()) for s in scores]
+        true = [set(np.argpartition(-(sample @ v), min(k, len(sample) - 1))[:k].tolist()) for v in some]
         member = self.lists_of(sample)
         sizes = np.bincount([m[0] for m in member], minlength=len(self.c))
         q = np.column_stack([some / np.linalg.norm(some, axis=1)[:, None], np.zeros(len(some))])
@@ -167,17 +190,19 @@ def fit(index: DataFrame, k: int, recall: float = 0.97) -> tuple[Index | None, i
     return made, dim
 
 
-def best(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k best (id, score) of one query: vectors are chosen by matrix product, then scored and ordered one by one.
-    ids: those of all vectors end to end, the i-th one's from first[i] on."""
-    keep = np.arange(len(scores))
-    if len(keep) > k:
-        edge = -np.partition(-scores, k - 1)[k - 1]
-        keep = keep[scores >= edge - 1e-9 * max(1.0, abs(edge))]
-    exact, n = (x[keep] * q).sum(1), first[keep + 1] - first[keep]
+def best(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray, x: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of one query's k best that reach `floor`: vectors are chosen by matrix product, then scored and
+    ordered one by one. ids: those of all vectors end to end, the i-th one's from first[i] on."""
+    edge = floor
+    if len(scores) > k:
+        edge = max(edge, -np.partition(-scores, k - 1)[k - 1])
+    keep = np.flatnonzero(scores >= edge - 1e-9 * max(1.0, abs(edge))) if np.isfinite(edge) else np.arange(len(scores))
+    exact = (x[keep] * q).sum(1)
+    keep, exact = keep[exact >= floor], exact[exact >= floor]
+    n = first[keep + 1] - first[keep]
     own, exact = ids[tb.row_ranges(first[keep], n)], np.repeat(exact, n)
     order = np.lexsort([own, -exact])[:k]
-    return list(zip(own[order].tolist(), exact[order].tolist(), strict=True))
+    return own[order], exact[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192, batch: int = 20_000) -> DataFrame:
@@ -214,9 +239,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
             found = [shared.value.walk(np.append(v / np.linalg.norm(v), 0.0), shared.value.ratio, k + 1, sizes) for v in q]
             if found:
                 rows = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "rep", "q"])
+                early = np.concatenate([np.arange(len(f)) < EARLY for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), pa.array(early), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "early", "rep", "q"])
 
-    asked = storage.keep(asking.select("rep", "v").mapInArrow(choose, "list int, rep long, q array<double>"), "asked")
+    asked = storage.keep(asking.select("rep", "v").mapInArrow(choose, "list int, early boolean, rep long, q array<double>"), "asked")
     times = np.zeros(len(index.c), np.int64)
     for row in asked.groupBy("list").count().collect():  # a row for each list
         times[row[0]] = row[1]
@@ -225,26 +251,48 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lists = posted.join(table, "list").select("list", place("rep", "parts").alias("part"), each("turns").alias("turn"), "v", "ids")
-    asked = asked.join(table, "list").select("list", each("parts").alias("part"), place("rep", "turns").alias("turn"), "rep", "q")
+    keys = ["list", "part", "turn"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        rep = left.column("rep")
         if left.num_rows and right.num_rows:
             q, x = _matrix(left.column("q"), dim), _matrix(right.column("v"), dim)
             column = right.column("ids").combine_chunks()
             ids = column.flatten().to_numpy(zero_copy_only=False)
             first = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-            rep = left.column("rep").to_pylist()
+            floor = left.column("floor").to_numpy()
             for at in range(0, len(q), 256):
-                for i, s in enumerate(q[at : at + 256] @ x.T, at):
-                    rows.append((rep[i], [{"vec_id": n, "score": v} for n, v in best(s, ids, first, q[i], x, k + 1)]))
-        return pa.table({"rep": pa.array([r[0] for r in rows], pa.int64()), "near": pa.array([r[1] for r in rows], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))})
-
-    keys = ["list", "part", "turn"]
-    near = asked.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(score, "rep long, near array<struct<vec_id: long, score: double>>")
-    # boundary vectors come from several lists, with one score
-    one = near.select("rep", F.inline("near")).groupBy("rep").agg(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id")).alias("near"))
-    one = one.select("rep", F.slice(F.sort_array("near"), 1, k + 1).alias("near"))
+                found += [best(y, ids, first, q[i], x, k + 1, floor[i]) for i, y in enumerate(q[at : at + 256] @ x.T, at)]
+        else:
+            rep = rep.slice(0, 0)
+        ends = np.cumsum([0, *(len(f[0]) for f in found)])
+        some = np.flatnonzero(np.diff(ends))
+        flat = [np.concatenate([np.empty(0, kind), *(f[j] for f in found)]) for j, kind in enumerate((np.int64, float))]
+        near = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["vec_id", "score"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(ends[some], ends[-1]).astype(np.int32)), near)
+        return pa.table({"rep": rep.take(pa.array(some)), "near": near})
+
+    def scored(asked: DataFrame) -> DataFrame:
+        """rep, vec_id, score: what each list gives its queries, all of it at least their floor."""
+        asked = asked.join(table, "list").select("list", each("parts").alias("part"), place("rep", "turns").alias("turn"), "rep", "q", "floor")
+        near = asked.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(score, "rep long, near array<struct<vec_id: long, score: double>>")
+        return near.select("rep", F.inline("near"))
+
+    def merged(found: DataFrame) -> DataFrame:
+        """rep, near: the k + 1 best, best first."""
+        # boundary vectors come from several lists, with one score: they rank as one
+        order = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+        few = found.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= k + 1)
+        one = few.groupBy("rep").agg(F.collect_set(F.struct((-F.col("score")).alias("away"), "vec_id")).alias("near"))
+        return one.select("rep", F.slice(F.sort_array("near"), 1, k + 1).alias("near"))
+
+    lowest = F.lit(float("-inf"))
+    one = storage.keep(merged(scored(asked.where("early").withColumn("floor", lowest))), "early")
+    floors = one.where(F.size("near") > k).select("rep", (-F.col("near")[k]["away"]).alias("floor"))
+    late = asked.where("not early").join(floors, "rep", "left").withColumn("floor", F.coalesce("floor", lowest))
+    before = one.select("rep", F.explode("near").alias("x")).select("rep", "x.vec_id", (-F.col("x.away")).alias("score"))
+    one = merged(before.union(scored(late)))
     # back to every row that asks: its own id is no answer
     rows = queries.where(F.size("v") == dim).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("h"), "v").distinct()
     rows = rows.join(asking.select("h", "v", "rep"), ["h", "v"]).select("query_id", "rep").join(one, "rep")

@@ -634,3 +634,43 @@ def test_merging_many_runs_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10 * sum(map(len, sent))
+
+
+def test_lists_of_many_vectors_take_little_memory():
+    """Distances to some thousand centroids are held for a few vectors at a time, with the same lists as all at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    index = ann.Index.__new__(ann.Index)
+    index.most, index.c = 9.0, ann._lift(rng.normal(size=(3000, 8)), 9.0)
+    x = rng.normal(size=(6000, 8))
+    tracemalloc.start()
+    got = index.lists_of(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for i in range(0, 6000, 500):
+        d = ann._distances(ann._lift(x[i : i + 1], 9.0), index.c)[0]
+        near = np.argsort(d, kind="stable")[: ann.REPLICAS]
+        assert got[i].tolist() == near[d[near] <= d[near[0]] * ann.BOUNDARY].tolist()
+
+
+def test_later_lists_give_only_what_may_be_an_answer(spark, monkeypatch):
+    """Queries that take all lists: the answers are those of brute force."""
+    monkeypatch.setattr(ann, "LIST", 50)
+    monkeypatch.setattr(ann.Index, "calibrate", lambda self, *_: setattr(self, "ratio", 1e9))
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 12))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    for q in range(0, 4000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort([np.arange(4000), -s])[:20].tolist()
+    # one query, all lists: what reaches the floor and nothing else
+    scores, exact = x @ x[0], (x * x[0]).sum(1)
+    ids, first = np.arange(4000), np.arange(4001)
+    found = [ann.best(scores[a : a + 50], ids[a : a + 50], first[:51], x[0], x[a : a + 50], 21, np.sort(exact)[-30]) for a in range(0, 4000, 50)]
+    assert sorted(np.concatenate([f[0] for f in found]).tolist()) == sorted(np.argsort(exact)[-30:].tolist())
