@@ -184,8 +184,8 @@ def _regions(classes: DataFrame, region: int) -> tuple[DataFrame, DataFrame]:
     return pairs, large.union(found.where("b is null").select("key", F.col("a").alias("fp"), "c", "level"))
 
 
-def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: every text of a large region with its middle text and its least."""
+def _middles(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, p, q): every text of a large region with its middle text and its least, once for all regions with the same two."""
     # each text in its largest region of the first level; shingles of more than half of that count for it, others against
     group = large.where("level = 0").groupBy("fp").agg(F.max_by("key", F.struct("c", "key")).alias("g"))
     own = sets.join(group, "fp").select("fp", "g", "shingles")
@@ -195,7 +195,12 @@ def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
     common = often.groupBy("g").agg(F.collect_list("s").alias("common"))
     score = own.join(common, "g", "left").select("fp", (2 * F.coalesce(F.size(F.array_intersect("shingles", "common")), F.lit(0)) - F.size("shingles")).alias("score"))
     pivots = large.join(score, "fp", "left").groupBy("key").agg(F.max_by("fp", F.struct("score", "fp")).alias("p"), F.min("fp").alias("q"))
-    stars = large.select("key", "fp").join(pivots, "key").select("fp", F.explode(F.array("p", "q")).alias("p")).where("fp <> p")
+    return large.select("key", "fp").join(pivots, "key").select("fp", "p", "q").distinct()
+
+
+def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: every text of a large region with its middle text and its least."""
+    stars = _middles(large, sets).select("fp", F.explode(F.array_distinct(F.array("p", "q"))).alias("p")).where("fp <> p")
     return stars.select(F.least("fp", "p").alias("a"), F.greatest("fp", "p").alias("b")).distinct()
 
 

@@ -674,3 +674,14 @@ def test_later_lists_give_only_what_may_be_an_answer(spark, monkeypatch):
     ids, first = np.arange(4000), np.arange(4001)
     found = [ann.best(scores[a : a + 50], ids[a : a + 50], first[:51], x[0], x[a : a + 50], 21, np.sort(exact)[-30]) for a in range(0, 4000, 50)]
     assert sorted(np.concatenate([f[0] for f in found]).tolist()) == sorted(np.argsort(exact)[-30:].tolist())
+
+
+def test_regions_of_the_same_texts_give_their_stars_once(spark):
+    names = [bytes([i]) for i in range(15)]
+    large = spark.createDataFrame([(key, fp, 15, key % 3) for key in range(24) for fp in names], "key long, fp binary, c long, level long")
+    sets = spark.createDataFrame([(fp, [*range(40), 100 + i]) for i, fp in enumerate(names)], "fp binary, shingles array<bigint>")
+    rows = neardup._middles(large, sets).collect()
+    assert len(rows) == 15 and {r.q for r in rows} == {names[0]} and len({r.p for r in rows}) == 1
+    stars = {(r.a, r.b) for r in neardup._stars(large, sets).collect()}
+    middle = rows[0].p
+    assert stars == {(min(x, y), max(x, y)) for x in names for y in (names[0], middle) if x != y}
