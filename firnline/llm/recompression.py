@@ -34,8 +34,10 @@ from .suffixes import cover, windows
 ROUNDS = 3
 #: Places of one symbol, in all shards, from which on its windows travel one by one.
 COMMON = 4096
-#: Bytes of text for each bucket; bytes of a word's number.
-SHARE, WIDTH = 4 << 20, 6
+#: Bytes of text for each bucket, as every shard sends every bucket a row; bytes of a word's number.
+SHARE, WIDTH = 8 << 20, 6
+#: Words whose bytes are compared at once.
+AT_ONCE = 1 << 15
 
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:
@@ -100,7 +102,10 @@ def pair(s: Symbols, count: np.ndarray, names: Names, first: np.ndarray, salt: i
     Returns symbols whose `which` is that of the left one, and of each its right one (-1: none) as a place in s, and its
     own place in s.
     """
-    is_left = (_mix(names.number[s.which], count, salt) & np.uint64(1)).astype(bool)
+    # nearly all are runs of one: their bit is taken once for each name
+    is_left = (_mix(names.number, np.ones(1, np.int64), salt) & np.uint64(1)).astype(bool)[s.which]
+    many = np.flatnonzero(count > 1)
+    is_left[many] = (_mix(names.number[s.which[many]], count[many], salt) & np.uint64(1)).astype(bool)
     live = names.shared[s.which]
     joins = np.zeros(len(s.which), bool)
     joins[:-1] = is_left[:-1] & ~is_left[1:] & live[:-1] & live[1:] & (s.doc[1:] == s.doc[:-1])
@@ -123,15 +128,17 @@ class Wanted:
     def __init__(self, bucket: np.ndarray, inverse: np.ndarray, pack) -> None:
         self.bucket, self.inverse, self.pack = bucket, inverse, pack
 
-    def answered(self, said: dict[int, bytes]) -> Names:
-        number, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        for b, a, e in shards.stretches(self.bucket):
-            x = said[b]
-            buckets = int(np.frombuffer(x, np.int64, 1)[0])
-            number.append(np.cumsum(numbers(x, 8, e - a)) * np.uint64(buckets) + np.uint64(b + 1))
-            flags.append(np.frombuffer(x, np.uint8, e - a, 8 + 8 * (e - a)))
-        flags = np.concatenate(flags)
-        return Names(np.concatenate(number), (flags & 1) > 0, (flags & 2) > 0)
+
+def answered(said: dict[int, bytes]) -> Names:
+    """Of what a shard wanted, in its order: by bucket."""
+    number, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for b in sorted(b for b in said if b >= 0):
+        x, n = said[b], (len(said[b]) - 8) // 9
+        buckets = int(np.frombuffer(x, np.int64, 1)[0])
+        number.append(np.cumsum(numbers(x, 8, n)) * np.uint64(buckets) + np.uint64(b + 1))
+        flags.append(np.frombuffer(x, np.uint8, n, 8 + 8 * n))
+    flags = np.concatenate(flags)
+    return Names(np.concatenate(number), (flags & 1) > 0, (flags & 2) > 0)
 
 
 def _answer(index: np.ndarray, flags: np.ndarray, buckets: int) -> bytes:
@@ -150,12 +157,17 @@ def _answers(index: np.ndarray, times: np.ndarray, sizes: list[int], buckets: in
 def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each distinct word, by hash and then by bytes, and where each word is among them."""
     h, size = tb.segments(data, start, end), end - start
-    hashes, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(h)
+    new = np.append(True, h[order][1:] != h[order][:-1])[: len(h)]
+    one, inverse = order[new], np.empty(len(h), np.int64)
+    hashes, inverse[order] = h[one], np.cumsum(new) - 1
     lead = one[inverse]
     same = size[lead] == size
-    if same.all():
-        same = data[tb.row_ranges(start[lead], size)] == data[tb.row_ranges(start, size)]
-    if not same.all():  # words of one hash that differ
+    equal = same.all()
+    for at in range(0, len(h) if equal else 0, AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        equal &= (data[tb.row_ranges(start[lead[some]], size[some])] == data[tb.row_ranges(start[some], size[some])]).all()
+    if not equal:  # words of one hash that differ
         text = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         names = {k: i for i, k in enumerate(sorted({*zip(h.tolist(), text, strict=True)}))}
         inverse = np.array([names[k] for k in zip(h.tolist(), text, strict=True)])
@@ -234,41 +246,69 @@ def name_pairs(buckets: int):
     return reduce
 
 
+def _places(state: bytes) -> np.ndarray:
+    return numbers(state, 1, (len(state) - 1) // state[0], state[0]).astype(np.int64)
+
+
 class Parsed:
-    """A shard's words and rounds of symbols, as far as they have been named."""
+    """A shard's words and rounds of symbols, as far as they have been named.
+
+    A shard sends itself where each place's thing is among those that it wants, so later rounds need neither its texts nor
+    to tell equal things apart again.
+    """
 
     def __init__(self, shard: shards.Shard, row: dict, buckets: int, rounds: int) -> None:
-        self.start, self.end, self.first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
         self.levels: list[Symbols] = []
-        self.wanted = words_wanted(shard, self.start, self.end, buckets)
-        n = len(self.start)
+        said = shards.answers(row, "round0") if rounds >= 0 else {}
+        if state := said.get(-1 - shard.number):
+            state = shards.spread(state)
+            ends = 8 * (len(shard.ids) + 1)
+            self.first = np.frombuffer(state[:ends], "<i8")
+            inverse = _places(state[ends:])
+            self.wanted = Wanted(np.zeros(0, np.int64), inverse, None)
+        else:
+            start, end, self.first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
+            self.wanted = words_wanted(shard, start, end, buckets)
+            inverse = self.wanted.inverse
+        n = self.words = len(inverse)
         if rounds < 0 or not n:
             return
-        self.names = self.wanted.answered(shards.answers(row, "round0"))
+        self.names = answered(said)
         at = np.arange(n)
-        self.levels.append(Symbols(self.wanted.inverse, np.repeat(np.arange(len(shard.ids)), np.diff(self.first)), at, at + 1))
+        self.levels.append(Symbols(inverse, np.repeat(np.arange(len(shard.ids)), np.diff(self.first)), at, at + 1))
         for k in range(1, ROUNDS + 1):
             run, count = fold(self.levels[-1], self.first)
             made, after, own = pair(run, count, self.names, self.first, k)
             # pairs, and runs alone, get new names; runs of a symbol of one shard can't be in another
             new = np.flatnonzero((after >= 0) | ((count[own] > 1) & self.names.shared[made.which]))
             single = np.flatnonzero((after < 0) & (count[own] > 1) & ~self.names.shared[made.which])
-            self.wanted = pairs_wanted(own[new], after[new], run.which, count, self.names.number, buckets)
+            said = shards.answers(row, f"round{k}") if k <= rounds else {}
+            if state := said.get(-1 - shard.number):
+                inverse = _places(shards.spread(state))
+            else:
+                self.wanted = pairs_wanted(own[new], after[new], run.which, count, self.names.number, buckets)
+                inverse = self.wanted.inverse
             if k > rounds:
                 return
             base = len(self.names.number)
-            self.names = self.names.add(self.wanted.answered(shards.answers(row, f"round{k}")))
+            self.names = self.names.add(answered(said))
             which = made.which.copy()
-            which[new] = base + self.wanted.inverse
+            which[new] = base + inverse
             # a run in one shard: some symbol that nothing else equals
             which[single] = len(self.names.number) + np.arange(len(single))
             none = np.zeros(len(single), bool)
             self.names = self.names.add(Names(np.zeros(len(single), np.uint64), none, none))
             self.levels.append(Symbols(which, made.doc, made.left, made.right))
 
+    def state(self, round: int) -> bytes:
+        """What a shard sends itself with what it wants."""
+        inverse = self.wanted.inverse
+        width = max(1, (int(inverse.max(initial=0)).bit_length() + 7) // 8)
+        return shards.squeeze((b"" if round else self.first.astype("<i8").tobytes()) + bytes([width]) + planes(inverse, width))
+
     def closed(self, window: int) -> np.ndarray:
         """Of every place: whether the window from there holds a symbol that no other shard has."""
-        n = len(self.start)
+        n = self.words
         edge = np.zeros(n + 1, np.int64)
         for s in self.levels:
             own = np.flatnonzero(~self.names.shared[s.which] & (s.right - s.left <= window) & (s.left >= self.first[s.doc]) & (s.right <= self.first[s.doc + 1]))
@@ -303,12 +343,30 @@ class Parsed:
 
 
 def doubled(which: np.ndarray, window: int) -> np.ndarray:
-    """A number for the window from every place: equal for equal words; by doubling, then two overlapping parts."""
-    name, length = which.astype(np.uint64), 1
+    """A number for the window from every place: equal for equal words. Hashes by doubling sort the windows, and equal
+    ones are compared word by word; if some differ, their words' numbers are doubled instead."""
+    h, length = tb.mix(which.astype(np.uint64) + np.uint64(1)), 1
     while length < window:
         step = min(length, window - length)
-        if len(name) <= step:
+        if len(h) <= step:
             return np.zeros(0, np.int64)
+        h = tb.mix(h[:-step] * tb.BASE + h[step:])
+        length += step
+    order = np.argsort(h)
+    new = h[order][1:] != h[order][:-1]
+    a, b = order[:-1][~new], order[1:][~new]
+    for j in range(window):
+        if not (which[a + j] == which[b + j]).all():
+            return _doubled(which, window)
+    name = np.empty(len(h), np.int64)
+    name[order] = np.append(0, np.cumsum(new))
+    return name
+
+
+def _doubled(which: np.ndarray, window: int) -> np.ndarray:
+    name, length = which.astype(np.uint64), 1
+    while length < window:
+        step = min(length, window - length)
         name = np.unique(name[:-step] << np.uint64(32) | name[step:], return_inverse=True)[1].astype(np.uint64)
         length += step
     return name.astype(np.int64)
@@ -316,20 +374,23 @@ def doubled(which: np.ndarray, window: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = 20, size: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space, UTF-8) and removed (stretches of words)."""
-    table, total = shards.shards(docs, size)
+    parts = shards.parts_of(docs)
+    table, total = shards.shards(docs, size, parts)
     buckets = max(1, -(-total // SHARE))
     strings = shards.Strings(window, WIDTH, 1, by_shard=True)
-    names = [*shards.NAMES]
+    asked, names = table, [*shards.NAMES]
 
     for k in range(ROUNDS + 1):
 
         def want(shard, row, k=k):
-            wanted = Parsed(shard, row, buckets, k - 1).wanted
-            yield shards.runs(shard.number, wanted.bucket, wanted.pack)
+            parsed = Parsed(shard, row, buckets, k - 1)
+            yield shards.runs(shard.number, parsed.wanted.bucket, parsed.wanted.pack)
+            yield shards.own(shard.number, parsed.state(k))
 
-        sent = shards.each(table.select(*names), want, shards.RUN)
-        table = table.join(shards.answer(sent, (name_pairs if k else name_words)(buckets), f"round{k}"), "shard", "left")
-        names.append(f"round{k}")
+        sent = shards.each(asked.select(*names), want, shards.RUN)
+        asked = asked.join(shards.answer(sent, (name_pairs if k else name_words)(buckets), f"round{k}", parts), "shard", "left")
+        # the texts are read in the first round and in the end
+        names = ["shard", "ids", "nulls", *(f"round{i}" for i in range(k + 1))]
 
     def reveal(shard, row):
         """Repeats within the shard, and the windows that another shard may have. The shard's own row says which."""
@@ -338,11 +399,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, size: int = 1_000_000) ->
         if not len(start):
             return
         number = doubled(parsed.levels[0].which, window)[start]
-        # the first of each: by document, then by place
-        order = np.lexsort([start, shard.rank[doc], number])
-        first = np.append(True, number[order][1:] != number[order][:-1])
-        again = np.empty(len(start), bool)
-        again[order] = ~first
+        # the first of each that comes again: by document, then by place
+        again = np.zeros(len(start), bool)
+        several = np.flatnonzero(np.bincount(number)[number] > 1)
+        order = several[np.lexsort([start[several], shard.rank[doc[several]], number[several]])]
+        again[order[1:]] = number[order][1:] == number[order][:-1]
         open_ = np.flatnonzero(~again & ~parsed.closed(window)[start])
         if len(open_):
             at, which, name = parsed.anchors(start[open_], window)
@@ -361,10 +422,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, size: int = 1_000_000) ->
             yield shards.runs(shard.number, bucket, strings.pack(shard.order[doc[low]], place, n, start[low], word))
         else:
             bucket = n = low = np.zeros(0, np.int64)
-        state = [np.packbits(cover(start[again], window, len(parsed.start))), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4")]
-        yield shards.own(shard.number, np.int64(len(bucket)).tobytes() + b"".join(x.tobytes() for x in state))
+        state = [np.packbits(cover(start[again], window, parsed.words)), bucket.astype("<i8"), n.astype("<u2"), start[low].astype("<u4")]
+        yield shards.own(shard.number, shards.squeeze(np.int64(len(bucket)).tobytes() + b"".join(x.tobytes() for x in state)))
 
-    found = shards.answer(shards.each(table.select(*names), reveal, shards.RUN), strings.reduce, "found")
+    found = shards.answer(shards.each(asked.select(*names), reveal, shards.RUN), strings.reduce, "found", parts)
 
     def remove(shard, row):
         start, end, first = tb.runs(~tb.SPACE[shard.buf], shard.offsets)
@@ -372,6 +433,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, size: int = 1_000_000) ->
         covered = np.zeros(n, bool)
         said = shards.answers(row, "found")
         if x := said.get(-1 - shard.number):
+            x = shards.spread(x)
             records = int(np.frombuffer(x, np.int64, 1)[0])
             at, parts = 8, []
             for kind, many in ((np.uint8, -(-n // 8)), ("<i8", records), ("<u2", records), ("<u4", records)):

@@ -160,6 +160,63 @@ def test_names_are_global_and_reveal(spark, monkeypatch):
     assert sum(g.n_removed for g in recompression.remove_repeats(docs, size=100).collect()) == 0
 
 
+def test_rounds_go_on_from_what_a_shard_sent_itself(spark):
+    """Later rounds need no texts and give the same symbols; answers are dealt to shards once and their shuffles dropped."""
+    r = random.Random(3)
+    texts = ["  ".join(r.choice("abcdefgh") * r.choice((1, 1, 30)) for _ in range(200)), "", " ".join(r.choice("abcd") for _ in range(90))]
+    rows = []
+    for k in (0, 1):
+        ends = np.cumsum([0, *map(len, texts)], dtype="<i8")
+        rows.append({"shard": k, "ids": np.arange(3 * k, 3 * k + 3, dtype="<i8").tobytes(), "nulls": bytes(1), "ends": ends.tobytes(), "text": "".join(texts).encode()})
+    bare = [{n: x[n] for n in ("shard", "ids", "nulls")} for x in rows]
+    for k in range(recompression.ROUNDS + 1):
+        parsed = [recompression.Parsed(shards.Shard(x), x, 1, k - 1) for x in rows]
+        if k:
+            without = [recompression.Parsed(shards.Shard(x), x, 1, k - 1) for x in bare]
+            for p, q in zip(parsed, without, strict=True):
+                assert p.wanted.inverse.tolist() == q.wanted.inverse.tolist() and p.wanted.pack(0, len(p.wanted.bucket)) == q.wanted.pack(0, len(q.wanted.bucket))
+                assert p.first.tolist() == q.first.tolist() and [x.which.tolist() for x in p.levels] == [x.which.tolist() for x in q.levels]
+        said = (recompression.name_pairs if k else recompression.name_words)(1)([p.wanted.pack(0, len(p.wanted.bucket)) for p in parsed], [0, 1])
+        for p, x, y, z in zip(parsed, rows, bare, said, strict=True):
+            x[f"round{k}"] = [{"bucket": 0, "run": z}]
+            y[f"round{k}"] = [*x[f"round{k}"], {"bucket": -1 - x["shard"], "run": p.state(k)}]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 2)], SCHEMA).repartition(2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = recompression.remove_repeats(docs, size=100)
+        plan, got = made._jdf.queryExecution().executedPlan().toString(), made.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and sum(x.n_removed for x in got) == 290
+
+
+def test_large_buckets_are_compared_by_parts(monkeypatch):
+    """Stretches of other anchors aren't held together; the answers are those of the whole bucket."""
+    r, strings, sent = random.Random(6), shards.Strings(3, 2, 1, by_shard=True), []
+    for _ in range(9):
+        data = np.array([r.randrange(1, 60) for _ in range(30)] * 4 + [r.randrange(1, 60) for _ in range(30)], "<u2")
+        anchor = np.array([i + int(data[i : i + 3].argmax()) for i in range(len(data) - 2)])
+        common = data[anchor] == 59
+        low = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]) | common)
+        n = np.diff(np.append(low, len(anchor)))
+        order = np.sort(np.array([r.randrange(40) for _ in n], np.uint64))
+        sent.append(strings.pack(order, np.where(common[low], 255, anchor[low] - low), n, low, data.view(np.uint8))(0, len(n)))
+    whole, merged, held = strings.reduce(sent, [*range(9)]), shards.Strings._merged, []
+    monkeypatch.setattr(shards.Strings, "_merged", lambda self, data, *rest: held.append(len(data)) or merged(self, data, *rest))
+    monkeypatch.setattr(shards, "AT_ONCE", 600)
+    assert strings.reduce(sent, [*range(9)]) == whole and len(held) > 3 and max(held) < sum(held) / 3
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    which = np.array([random.Random(4).randrange(3) for _ in range(3000)])
+    want = [tuple(which[i : i + 20].tolist()) for i in range(len(which) - 19)]
+    for mix in (shards.tb.mix, lambda h: h & np.uint64(1)):
+        monkeypatch.setattr(recompression.tb, "mix", mix)
+        name = recompression.doubled(which, 20).tolist()
+        assert len(name) == len(want) and len({*zip(name, want, strict=True)}) == len({*want}) == len({*name})
+
+
 @pytest.mark.parametrize("remove", [suffixes.remove_repeats, recompression.remove_repeats])
 def test_removers_take_odd_tables(spark, remove):
     assert remove(spark.createDataFrame([], SCHEMA)).collect() == []
@@ -223,6 +280,7 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+
 # ---- materialisation ------------------------------------------------------------------------------------------------------
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
