@@ -23,6 +23,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 #: Ids held before a batch of pieces leaves.
 BYTES = 4 << 20
+#: Rows and bytes of text that a partition is worth; bytes that it has at most.
+ROWS, PART, MOST = 1024, 8 << 20, 128 << 20
 
 
 class Tournament:
@@ -84,6 +86,13 @@ def pack_group(sizes: list[int], room: int) -> list[list[tuple[int, int, int]]]:
     return [b for b in order if b]
 
 
+def partitions(docs: DataFrame) -> int:
+    """As many as a shuffle has, but of ROWS rows or PART bytes at least, and of MOST bytes at most."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    held = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(held, max(rows // ROWS, size // PART)), -(-size // MOST))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, group: int = 4096, close: int = 1) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset."""
     path = tokenizer or tokens.default_path()
@@ -143,8 +152,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 2048, grou
         flush()
         yield out()
 
-    # round robin over sorted rows: equal rows aren't one task's, and a lost task deals the same rows again
-    dealt = docs.select("doc_id", "text").hint("rebalance").sortWithinPartitions(F.xxhash64("doc_id", "text"))
+    # round robin over sorted rows: equal rows aren't one task's, and a lost task deals the same rows again. So many
+    # partitions, not as many as a session's advised size makes: each ends with a sequence that isn't full
+    dealt = docs.select("doc_id", "text").repartition(partitions(docs)).sortWithinPartitions(F.xxhash64("doc_id", "text"))
     return dealt.mapInArrow(run, SCHEMA)
 
 

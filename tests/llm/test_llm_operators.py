@@ -280,6 +280,20 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_packing_keeps_its_groups_whatever_size_a_session_advises(spark):
+    """A session that wants small partitions must not cut the table into as many: each has a sequence that isn't full."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(1500)], SCHEMA)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2k")
+    try:
+        got = packing.pack(docs).collect()
+    finally:
+        spark.conf.set(key, before)
+    tasks = {r.sequence_id >> 40 for r in got}
+    assert len(tasks) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len({r.sequence_id for r in got}) <= sum(r.length for r in got) / 2048 + len(tasks)
+
 
 # ---- materialisation ------------------------------------------------------------------------------------------------------
 def test_feistel_is_a_permutation():
