@@ -5,8 +5,8 @@ cycle-walking sends each sequence's number to its slot among all of them, so ord
 are dealt by range to shard files. A record is a header (slot, doc_id of the first id, its place in that document, ids
 used; little-endian) and `length` ids, padded with 0, then one line feed: record k of a shard starts at k * stride.
 
-Sequences are counted in a first pass and numbered in a second; the second stops if it meets other counts, as it
-would if the partitions of `docs` weren't the same again (write such a table first).
+Texts are encoded once: the sequences of each partition go, compressed, to a table of the shared folder that holds how
+many came before, and are numbered from there once all are counted. The table goes when the shards are written.
 
 Null or empty texts give their closing id alone; null doc_ids are kept as null; repeated rows are written as often as
 they come. An empty table gives no shards and an empty manifest. Extra columns are ignored.
@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shards as sh
 from . import storage, tokens
 from . import textbytes as tb
 
 HEADER = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("start", "<u4"), ("used", "<u4")])
 _NONE = -(1 << 63)
+#: Sequences in a row of the table between.
+HELD = 512
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -87,69 +90,67 @@ def _sequences(batches, path: str, length: int, close: int):
 def materialise(docs: DataFrame, where: str, key: int = 1, length: int = 2048, shard: int = 4096, tokenizer: str | None = None, close: int = 1) -> int:
     """Writes the shards of all sequences below `where`; returns their number."""
     path, spark = tokenizer or tokens.default_path(), docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    # rows of megabytes: a few of them at a time between Spark and its workers
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    from tokenizers import Tokenizer
+
+    wide = np.dtype("<u4" if Tokenizer.from_file(path).get_vocab_size() > 1 << 16 else "<u2")
 
-    def count(batches):
+    def encode(batches):
         from pyspark import TaskContext
 
-        encode, total = tokens.encoder(path), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                _, ends = encode.encode(batch.column(1).slice(lo, 512))
-                total += int(ends[-1]) + len(ends) - 1
-        n = -(-total // length)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["p", "n"])
+        part, before = TaskContext.get().partitionId(), 0
+        heads, bodies = [], []
+
+        def row():
+            nonlocal before, heads, bodies
+            body = np.zeros((len(bodies), length), wide)
+            for mine, ids in zip(body, bodies, strict=True):
+                mine[: len(ids)] = ids
+            out = [part, before, len(heads), np.array(heads, HEADER).tobytes(), sh.squeeze(body.tobytes(), 4)]
+            before += len(heads)
+            heads, bodies = [], []
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["part", "before", "n", "heads", "ids"])
 
-    rows = sorted(docs.mapInArrow(count, "p long, n long").collect())  # one for each partition
+        for doc, place, ids in _sequences(batches, path, length, close):
+            heads.append((0, _NONE if doc is None else doc, place, len(ids)))
+            bodies.append(ids)
+            if len(heads) == HELD:
+                yield row()
+        if heads:
+            yield row()
+
+    mark, held = storage.mark(), storage.path(spark, "encoded")
+    made = docs.select("doc_id", "text").mapInArrow(encode, "part long, before long, n long, heads binary, ids binary")
+    made.write.option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", 8 << 20).parquet(held)
+    made = spark.read.schema(made.schema).parquet(held)
     first, total = {}, 0
-    for p, n in rows:
-        first[p] = (total, n)
+    for p, n in sorted(made.groupBy("part").agg(F.sum("n")).collect()):  # one for each partition
+        first[p] = total
         total += n
     if not total:
+        storage.sweep(spark, mark)
         return 0
     state = spark.sparkContext.broadcast(first)
     shards = -(-total // shard)
-    wide = np.dtype("<u2")
-    from tokenizers import Tokenizer
-
-    if Tokenizer.from_file(path).get_vocab_size() > 1 << 16:
-        wide = np.dtype("<u4")
-
-    def emit(numbers, heads, bodies):
-        slots = feistel(np.array(numbers), total, key)
-        heads = np.array(heads, HEADER)
-        heads["slot"] = slots
-        records = [h.tobytes() + b for h, b in zip(heads, bodies, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(slots // shard, pa.int64()), pa.array(slots), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
     def write(batches):
-        from pyspark import TaskContext
-
-        at, expected = state.value.get(TaskContext.get().partitionId(), (0, 0))
-        end = at + expected
-        numbers, heads, bodies = [], [], []
-        for doc, place, ids in _sequences(batches, path, length, close):
-            if at == end:
-                raise RuntimeError("a partition holds other sequences than when they were counted: write docs to a table first")
-            body = np.zeros(length, wide)
-            body[: len(ids)] = ids
-            numbers.append(at)
-            heads.append((0, _NONE if doc is None else doc, place, len(ids)))
-            bodies.append(body.tobytes())
-            at += 1
-            if len(numbers) == 512:
-                yield emit(numbers, heads, bodies)
-                numbers, heads, bodies = [], [], []
-        if at != end:
-            raise RuntimeError("a partition holds other sequences than when they were counted: write docs to a table first")
-        if numbers:
-            yield emit(numbers, heads, bodies)
-
-    made = docs.mapInArrow(write, "shard long, slot long, record binary")
+        for batch in batches:
+            for part, before, n, heads, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                heads = np.frombuffer(heads, HEADER).copy()
+                heads["slot"] = slots = feistel(state.value[part] + before + np.arange(n), total, key)
+                body = np.frombuffer(sh.spread(ids), np.uint8).reshape(n, -1)
+                records = np.concatenate([heads.view(np.uint8).reshape(n, -1), body], 1)
+                ends = np.arange(n + 1, dtype=np.int32) * np.int32(records.shape[1])
+                records = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(records)])
+                yield pa.RecordBatch.from_arrays([pa.array(slots // shard), pa.array(slots), records], names=["shard", "slot", "record"])
+
+    made = made.mapInArrow(write, "shard long, slot long, record binary")
     tasks = min(shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # shards in order over the tasks: the ranges are known, so nothing has to be sampled
     dealt = made.repartitionById(tasks, (F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "slot")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(where)
+    storage.sweep(spark, mark)
     return total
 
 

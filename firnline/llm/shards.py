@@ -132,9 +132,9 @@ def give_back() -> None:
         pass
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes, level: int = 1) -> bytes:
     """Its length, then the bytes compressed: closer than a shuffle does it."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
 
 
 def spread(data: bytes) -> bytes:

@@ -55,7 +55,7 @@ class Encoder:
     """Ids of texts. Memory is fixed: a table of 2**bits units of up to SHORT bytes, kept with their bytes, and `most`
     ids of them. The table is emptied when the ids are full; longer units are encoded as they come."""
 
-    def __init__(self, path: str, bits: int = 19, most: int = 1 << 21) -> None:
+    def __init__(self, path: str, bits: int = 20, most: int = 1 << 22) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

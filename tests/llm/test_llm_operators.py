@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.llm import ann, automaton, components, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, shards, suffixes, tokens
+from firnline.llm import ann, automaton, components, decontaminate, materialise, neardup, packing, quality, quotes, recompression, secrets, shards, storage, suffixes, tokens
 from firnline.llm import textbytes as tb
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -324,6 +324,23 @@ def test_materialised_records_hold_all_ids(spark, tmp_path):
 
 
 # ---- decontamination ---------------------------------------------------------------------------------------------------------
+def test_sequences_are_encoded_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, "a few words of text " * (k % 40)) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).mapInArrow(counted, SCHEMA)
+    n = materialise.materialise(docs, str(tmp_path / "out"), length=16, shard=64)
+    assert n > materialise.HELD * 3 and read.value == 600
+    got = materialise.read(spark, str(tmp_path / "out"), length=16, shard=64).collect()
+    assert sorted(r.slot for r in got) == list(range(n))
+    assert not [p for _, p in storage._written if "encoded" in p]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     items = [(i, " ".join(r.choice(["the", "of", "Rare%d" % r.randint(0, 30), "x-y", "É"]) for _ in range(r.randint(0, 40)))) for i in range(12)] + [(20, None), (21, "short one"), (22, "of of of of of of of of of of of of"), (None, "lone item words here"), (3, "dup")]
