@@ -36,8 +36,6 @@ ROUNDS = 3
 COMMON = 4096
 #: Bytes of text for each bucket, as every shard sends every bucket a row; bytes of a word's number.
 SHARE, WIDTH = 8 << 20, 6
-#: Words whose bytes are compared at once.
-AT_ONCE = 1 << 15
 
 
 def planes(values: np.ndarray, width: int = 8) -> bytes:
@@ -80,9 +78,12 @@ def _mix(number: np.ndarray, count: np.ndarray, salt: int) -> np.ndarray:
 def beside(s: Symbols, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far left the symbol before reaches, and how far right the one behind; at a document's edge, a word beyond it,
     which no window holds."""
-    same = s.doc[1:] == s.doc[:-1]
-    left = np.where(np.append(False, same), np.append(0, s.left[:-1]), first[s.doc] - 1)
-    right = np.where(np.append(same, False), np.append(s.right[1:], 0), first[s.doc + 1] + 1)
+    left, right = np.empty_like(s.left), np.empty_like(s.right)
+    left[1:], right[:-1] = s.left[:-1], s.right[1:]
+    # at the edges alone are documents looked up
+    edge = np.flatnonzero(s.doc[1:] != s.doc[:-1])
+    begin, end = np.append(0, edge + 1)[: len(left)], np.append(edge, len(left) - 1)[: len(left)]
+    left[begin], right[end] = first[s.doc[begin]] - 1, first[s.doc[end] + 1] + 1
     return left, right
 
 
@@ -163,10 +164,7 @@ def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     hashes, inverse[order] = h[one], np.cumsum(new) - 1
     lead = one[inverse]
     same = size[lead] == size
-    equal = same.all()
-    for at in range(0, len(h) if equal else 0, AT_ONCE):
-        some = slice(at, at + AT_ONCE)
-        equal &= (data[tb.row_ranges(start[lead[some]], size[some])] == data[tb.row_ranges(start[some], size[some])]).all()
+    equal = same.all() and tb.same(data, start[lead], start, size)
     if not equal:  # words of one hash that differ
         text = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         names = {k: i for i, k in enumerate(sorted({*zip(h.tolist(), text, strict=True)}))}
@@ -205,9 +203,14 @@ def name_words(buckets: int):
 
 def pairs_wanted(left: np.ndarray, right: np.ndarray, which: np.ndarray, count: np.ndarray, number: np.ndarray, buckets: int) -> Wanted:
     """left, right: places in which and count (-1: a run alone); number: of each symbol."""
-    # distinct as pairs of this shard's own small numbers
-    own, small = np.unique(which.astype(np.uint64) << np.uint64(32) | count.astype(np.uint64), return_inverse=True)
-    values = np.column_stack([number[(own >> np.uint64(32)).astype(np.int64)], own & np.uint64(0xFFFFFFFF)])
+    # distinct as pairs of this shard's own small numbers: of its symbols, then of runs of more than one
+    many = np.flatnonzero(count > 1)
+    own, more = np.unique(which[many].astype(np.uint64) << np.uint64(32) | count[many].astype(np.uint64), return_inverse=True)
+    small = which.copy()
+    small[many] = len(number) + more
+    values = np.ones((len(number) + len(own), 2), np.uint64)
+    values[: len(number), 0] = number
+    values[len(number) :] = np.column_stack([number[(own >> np.uint64(32)).astype(np.int64)], own & np.uint64(0xFFFFFFFF)])
     code = (small[left] + 1).astype(np.uint64) << np.uint64(32) | np.where(right < 0, 0, small[right] + 1).astype(np.uint64)
     code, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
     a, b = values[(code >> np.uint64(32)).astype(np.int64) - 1], np.zeros((len(code), 2), np.uint64)

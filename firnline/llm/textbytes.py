@@ -80,6 +80,25 @@ def segments(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 15) -> bool:
+    """Whether the segments from a on hold the bytes of those from b on, all of them; `at_once` are compared at a time."""
+    words = eights(buf)
+    todo = np.flatnonzero(a != b)
+    for lo in range(0, len(todo), at_once):
+        rows = todo[lo : lo + at_once]
+        x, y, left = a[rows], b[rows], size[rows]
+        for i in np.flatnonzero(left > LONG).tolist():
+            if not np.array_equal(buf[x[i] : x[i] + left[i]], buf[y[i] : y[i] + left[i]]):
+                return False
+        x, y, left = (v[left <= LONG] for v in (x, y, left))
+        while len(x):
+            if ((words[x] ^ words[y]) & _HEAD[np.minimum(left, 8)]).any():
+                return False
+            more = left > 8
+            x, y, left = x[more] + 8, y[more] + 8, left[more] - 8
+    return True
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of true values within one text, and each text's first run: n + 1 positions."""
     edge = np.empty(len(inside) + 1, bool)

@@ -208,6 +208,23 @@ def test_large_buckets_are_compared_by_parts(monkeypatch):
     assert strings.reduce(sent, [*range(9)]) == whole and len(held) > 3 and max(held) < sum(held) / 3
 
 
+def test_words_are_compared_without_copies(monkeypatch):
+    words = [b"a", b"bb", b"a", b"x" * 300, b"long enough for several steps", b"bb", b"x" * 300, b"long enough for several steps", b"12345678", b"12345678"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    end = np.cumsum(size)
+    with monkeypatch.context() as m:
+        m.setattr(tb, "row_ranges", None)  # a place for each byte
+        _, one, inverse = recompression.distinct_words(data, end - size, end)
+    assert len(one) == 5 and [words[one[i]] for i in inverse] == words
+    for k in (0, 8, 28, 299):  # a byte that differs, in words of one hash
+        words = [b"y" * 300, b"y" * k + b"z" + b"y" * (299 - k)] if k == 299 else [b"y" * 29, b"y" * k + b"z" + b"y" * (28 - k)]
+        data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+        with monkeypatch.context() as m:
+            m.setattr(tb, "segments", lambda buf, start, end: np.zeros(len(start), np.uint64))
+            assert len(recompression.distinct_words(data, np.append(0, end[:-1]), end)[1]) == 2
+
+
 def test_windows_of_one_hash_are_compared(monkeypatch):
     which = np.array([random.Random(4).randrange(3) for _ in range(3000)])
     want = [tuple(which[i : i + 20].tolist()) for i in range(len(which) - 19)]
