@@ -6,8 +6,10 @@ largest inner product is the least distance. Centroids, one for about LIST disti
 sample with a penalty on large lists; each vector joins its nearest list and, near a boundary, a few more. Lists over `cap`
 vectors are dealt in parts, and so are the queries of lists that are asked more than `batch` times. A query searches the
 centroids by a neighbour graph held in memory and takes the lists whose distance is within a ratio of the nearest, and
-more until those hold enough other ids; the ratio is the least that reaches `recall` on the sample. Lists score their
-vectors in double precision. A query's EARLY nearest lists come first; the others then give only those vectors that are no
+more until those hold enough other ids. The graph's edges go both ways and each of its components has an entry, so every
+list can be reached. The ratio is measured on the whole index: for PROBES of the queries, chosen by hash, the truly
+nearest of all vectors are found by comparing with each, and the ratio is the least tried that finds `recall` of them; if
+none does, queries take all lists. Lists score their vectors in double precision. A query's EARLY nearest lists come first; the others then give only those vectors that are no
 farther than the last one of a whole answer, so that what travels hardly grows with the lists that a query takes.
 
 Vectors that are null, zero, of another length than most of the sample, or that hold null or non-finite components
@@ -33,6 +35,8 @@ SAMPLE, MOST, LIST, REPLICAS, BOUNDARY = 16_384, 262_144, 400, 4, 1.08
 EARLY = 8
 #: Distances held at a time: vectors of a block times centroids.
 HELD = 1 << 20
+#: Queries that the ratio is measured on.
+PROBES = 256
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -99,8 +103,8 @@ class Index:
             np.add.at(total, to, x)
             self.c = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], self.c)
         nearest = [_nearest(_distances(self.c[at], self.c), min(25, k))[:, 1:] for at in _blocks(k, k)]
-        self.graph = np.concatenate(nearest)
-        self.ratio = 1.0
+        self.graph, self.entries = _linked(np.concatenate(nearest))
+        self.ratio = np.inf
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that each vector joins: the nearest first, then those at most BOUNDARY times as far."""
@@ -119,7 +123,7 @@ class Index:
         import heapq
 
         away = lambda rows: np.sqrt(((self.c[rows] - q) ** 2).sum(1))
-        first = np.arange(0, len(self.c), max(1, len(self.c) // 8))
+        first = self.entries
         seen = set(first.tolist())
         todo = list(zip(away(first).tolist(), first.tolist(), strict=True))
         heapq.heapify(todo)
@@ -136,8 +140,6 @@ class Index:
                 seen.update(new)
                 for pair in zip(away(np.array(new)).tolist(), new, strict=True):
                     heapq.heappush(todo, pair)
-        if held < least:  # the graph doesn't lead far enough: all lists
-            met = list(zip(away(np.arange(len(self.c))).tolist(), range(len(self.c)), strict=True))
         met.sort()
         out, held = [], 0
         for d, at in met:
@@ -146,21 +148,88 @@ class Index:
                 held += int(sizes[at])
         return np.array(out)
 
-    def calibrate(self, sample: np.ndarray, k: int, recall: float) -> None:
-        """The least ratio that finds `recall` of the k nearest of some of the sample within the sample."""
-        some = sample[:: max(1, len(sample) // 256)]
-        true = [set(np.argpartition(-(sample @ v), min(k, len(sample) - 1))[:k].tolist()) for v in some]
-        member = self.lists_of(sample)
-        sizes = np.bincount([m[0] for m in member], minlength=len(self.c))
-        q = np.column_stack([some / np.linalg.norm(some, axis=1)[:, None], np.zeros(len(some))])
-        for self.ratio in (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4, 1.5, 1.7, 2.0, 1e9):
-            hit = total = 0
-            for v, t in zip(q, true, strict=True):
-                lists = set(self.walk(v, self.ratio, 2 * k, sizes).tolist())
-                hit += sum(not lists.isdisjoint(member[i].tolist()) for i in t)
-                total += len(t)
-            if hit >= recall * total:
+    def calibrate(self, probes: np.ndarray, near: list[list[tuple[np.ndarray, int]]], least: int, sizes: np.ndarray, recall: float) -> None:
+        """The least ratio tried that finds `recall` of what is truly nearest to the probes. near: for each of them, the
+        lists of each vector that is, and how many ids of the answer that vector has."""
+        q = np.column_stack([probes / np.linalg.norm(probes, axis=1)[:, None], np.zeros(len(probes))])
+        need, ids = [], []
+        for d, found in zip(_distances(q, self.c), near, strict=True):
+            need += [d[lists].min() / max(d.min(), 1e-300) for lists, _ in found]
+            ids += [n for _, n in found]
+        by = np.argsort(need)
+        need, held = np.array(need)[by], np.cumsum(np.array(ids)[by])
+        for share in (recall, *(1 - (1 - recall) / 2**i for i in range(1, 6)), 1.0):
+            # what the walk doesn't meet within a ratio asks for a larger one
+            self.ratio = need[min(len(need) - 1, int(np.searchsorted(held, share * held[-1])))] * (1 + 1e-9) if len(need) else np.inf
+            hit = 0
+            for v, found in zip(q, near, strict=True):
+                taken = set(self.walk(v, self.ratio, least, sizes).tolist())
+                hit += sum(n for lists, n in found if not taken.isdisjoint(lists.tolist()))
+            if hit >= recall * held[-1:].sum():
                 return
+        self.ratio = np.inf
+
+
+def _linked(near: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The graph of these neighbours with its edges both ways, and entries: a few, and one at least in each component."""
+    k = len(near)
+    a, b = np.repeat(np.arange(k), near.shape[1]), near.reshape(-1)
+    edges = np.unique(np.concatenate([a, b]) * k + np.concatenate([b, a]))
+    a, b = edges // k, edges % k
+    graph = np.split(b, np.cumsum(np.bincount(a, minlength=k))[:-1])
+    part = np.arange(k)
+    while True:  # each takes the least place that its neighbours know, and what that one knows
+        least = part.copy()
+        np.minimum.at(least, a, part[b])
+        least = least[least]
+        if (least == part).all():
+            break
+        part = least
+    return graph, np.union1d(np.arange(0, k, max(1, k // 8)), np.unique(part))
+
+
+def truly_nearest(every: DataFrame, probes: np.ndarray, k: int) -> DataFrame:
+    """probe, rep, score, n (ids): the k distinct vectors nearest to each probe, by comparing it with all of them."""
+    dim = probes.shape[1]
+
+    def compare(batches):
+        rep, n = np.zeros((len(probes), 0), np.int64), np.zeros((len(probes), 0), np.int64)
+        score = np.zeros((len(probes), 0))
+        for b in batches:
+            x = _matrix(b.column(1), dim)
+            own, ids = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for lo in range(0, len(x), HELD // 256):
+                some = slice(lo, lo + HELD // 256)
+                new = probes @ x[some].T
+                score, rep, n = (np.hstack([old, np.broadcast_to(v, new.shape)]) for old, v in ((score, new), (rep, own[some]), (n, ids[some])))
+                if score.shape[1] > k:
+                    at = np.argpartition(-score, k - 1, 1)[:, :k]
+                    score, rep, n = (np.take_along_axis(v, at, 1) for v in (score, rep, n))
+        probe = np.repeat(np.arange(len(probes)), score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1)) for v in (probe, rep, score, n)], names=["probe", "rep", "score", "n"])
+
+    found = every.select("rep", "v", F.size("ids").cast("long").alias("n")).mapInArrow(compare, "probe long, rep long, score double, n long")
+    order = W.partitionBy("probe").orderBy(F.desc("score"), "rep")
+    return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+
+
+def _measure(index: Index, every: DataFrame, asking: DataFrame, posted: DataFrame, sizes: np.ndarray, k: int, dim: int, recall: float) -> None:
+    """Sets the index's ratio by some queries and what is truly nearest to them."""
+    some = asking.orderBy(F.xxhash64("rep"), "rep").select("rep", "v").limit(PROBES).toArrow()
+    if not some.num_rows:
+        return
+    own, probes = some.column("rep").to_pylist(), _matrix(some.column("v"), dim)
+    true = truly_nearest(every, probes, k + 1).orderBy("probe", "at").select("probe", "rep", "n").collect()  # PROBES times k + 1
+    spark = every.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(sorted({(r["rep"],) for r in true}), "rep long"))
+    lists = {r["rep"]: np.array(r["lists"]) for r in posted.join(wanted, "rep").groupBy("rep").agg(F.collect_list("list").alias("lists")).collect()}
+    near, left = [[] for _ in own], [k] * len(own)
+    for i, rep, n in true:
+        n = min(left[i], n - (rep == own[i]))  # its own id is no answer
+        left[i] -= n
+        if n:
+            near[i].append((lists[rep], n))
+    index.calibrate(probes, near, k + 1, sizes, recall)
 
 
 def distinct(vectors: DataFrame, k: int) -> DataFrame:
@@ -171,7 +240,7 @@ def distinct(vectors: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def fit(index: DataFrame, k: int, recall: float = 0.97) -> tuple[Index | None, int]:
+def fit(index: DataFrame) -> tuple[Index | None, int]:
     """The index of the distinct vectors whose smallest ids hash lowest, and the vectors' length.
 
     There are 16 of them for each list, within SAMPLE and MOST.
@@ -185,9 +254,7 @@ def fit(index: DataFrame, k: int, recall: float = 0.97) -> tuple[Index | None, i
     sizes = rows.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     dim = int(np.bincount(sizes).argmax())
     x = _matrix(rows.filter(pa.array(sizes == dim)).column("v"), dim)
-    made = Index(x, float(most), lists)
-    made.calibrate(x, k, recall)
-    return made, dim
+    return Index(x, float(most), lists), dim
 
 
 def best(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray, x: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
@@ -205,23 +272,23 @@ def best(scores: np.ndarray, ids: np.ndarray, first: np.ndarray, q: np.ndarray,
     return own[order], exact[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192, batch: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192, batch: int = 20_000, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for each of queries(vec_id, v), the k vectors found that are nearest, not itself."""
     spark = vectors.sparkSession
     every = storage.keep(distinct(vectors, k + 1), "vectors")
-    index, dim = fit(every, k)
+    index, dim = fit(every)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = every.where(F.size("v") == dim)
     asking = storage.keep(distinct(queries.where(F.size("v") == dim), 1), "queries")
-    shared = spark.sparkContext.broadcast(index)  # centroids: MOST / 16 at most
+    centroids = spark.sparkContext.broadcast(index)  # MOST / 16 at most
 
     def post(batches):
         for b in batches:
             x = _matrix(b.column(1), dim)
             if not len(x):
                 continue
-            lists = shared.value.lists_of(x)
+            lists = centroids.value.lists_of(x)
             n = np.array([len(y) for y in lists])
             rows = pa.array(np.repeat(np.arange(len(x)), n))
             primary = np.zeros(int(n.sum()), bool)
@@ -233,6 +300,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
     for row in posted.groupBy("list").agg(F.sum(F.when(F.col("nearest"), F.size("ids"))), F.count("*")).collect():  # a row for each list
         sizes[row[0]], length[row[0]] = row[1] or 0, row[2]
 
+    _measure(index, every, asking, posted, sizes, k, dim, recall)
+    shared = spark.sparkContext.broadcast(index)  # with its ratio
+
     def choose(batches):
         for b in batches:
             q = _matrix(b.column(1), dim)

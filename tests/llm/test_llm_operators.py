@@ -466,6 +466,34 @@ def test_neighbours_of_repeated_rows_and_ties(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_recall_of_vectors_of_very_different_lengths(spark, monkeypatch):
+    """Lengths that spread over orders of magnitude: long vectors are nearest to most queries, in lists far from the others."""
+    monkeypatch.setattr(ann, "LIST", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)))
+    index = ann.Index(x, float(np.linalg.norm(x, axis=1).max()), 80)
+    assert len(index.walk(np.append(x[0] / np.linalg.norm(x[0]), 0.0), 1e9, 1, np.ones(80, int))) == 80  # each list can be reached
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.neighbours(table).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 200
+
+
+def test_queries_travel_once_from_workers(spark):
+    """A worker gives a row for each query, however many lists it takes."""
+    x = np.random.default_rng(8).normal(size=(4000, 8))
+    mark = storage.mark()
+    ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    asked = spark.read.parquet(next(name for _, name in storage._written[mark:] if "-asked-" in name))
+    assert asked.count() == 200 and asked.selectExpr("sum(size(lists))").first()[0] > 200
+
+
 def test_recall_beyond_the_sample(spark, monkeypatch):
     """Of vectors that the index was not fitted on, and of sf0.1: at least 0.9 against brute force."""
     monkeypatch.setattr(ann, "SAMPLE", 500)
