@@ -79,13 +79,25 @@ def register_sql(spark: SparkSession, p: V.Inversion | None = None) -> None:
 
     class Invert:
         def __init__(self):
-            self.rows = []
+            self.rows, self.all = [], V.Observations()
+            self.pixel = None
 
         def eval(self, row):
             self.rows.append([row[c] for c in V.NEEDED])
+            if len(self.rows) == V.BLOCK:
+                self.store()
+
+        def store(self):
+            if self.rows:
+                self.pixel = self.pixel or self.rows[0][:2]
+                V.add_frame(self.all, pd.DataFrame(self.rows, columns=list(V.NEEDED)))
+                self.rows = []
 
         def terminate(self):
-            out, _ = V.invert_frame(pd.DataFrame(self.rows, columns=list(V.NEEDED)), p)
+            self.store()
+            if not self.all.n:
+                return
+            out, _ = V.invert_series(self.all, *map(float, self.pixel), p)
             for r in out.astype(object).where(out.notna(), None).itertuples(index=False):
                 yield tuple(r)
 

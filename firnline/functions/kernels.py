@@ -60,8 +60,13 @@ def direction_rows(delta: np.ndarray, mean_x: np.ndarray, mean_y: np.ndarray) ->
 def solve(lo, hi, y, w, mu, coef, target=None, x0=None, extra=None) -> np.ndarray:
     """Least of |W (A x - y)|^2 + coef^2 |mu x - target|^2, nearest to x0 where that is not unique."""
     k = mu.shape[1]
-    n = normal_matrix(lo, hi, w * w, k) + coef**2 * mu.T @ mu
-    b = right_side(lo, hi, w * w * y, k)
+    return solve_sums(normal_matrix(lo, hi, w * w, k), right_side(lo, hi, w * w * y, k), mu, coef, target, x0, extra)
+
+
+def solve_sums(normal, right, mu, coef, target=None, x0=None, extra=None) -> np.ndarray:
+    """The same from A' W^2 A and A' W^2 y."""
+    n = normal + coef**2 * mu.T @ mu
+    b = right
     if target is not None:
         b = b + coef**2 * mu.T @ target
     if x0 is not None:
@@ -80,12 +85,26 @@ def solve(lo, hi, y, w, mu, coef, target=None, x0=None, extra=None) -> np.ndarra
 
 def solve_l1(lo, hi, y, w, mu, coef, target=None, rounds: int = 60) -> np.ndarray:
     """Least of the absolute residuals, by reweighted squares."""
-    x = solve(lo, hi, y, w, mu, coef, target)
+
+    def sums(x):
+        w2 = w * w if x is None else absolute_weights(w, y - forward(lo, hi, x))
+        return normal_matrix(lo, hi, w2, mu.shape[1]), right_side(lo, hi, w2 * y, mu.shape[1])
+
+    return solve_l1_sums(sums, mu, coef, target, rounds)
+
+
+def absolute_weights(w: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """Squared weights under which squares are absolute residuals."""
+    return np.where(w > 0, w / np.maximum(np.abs(w * residual), 1e-6), 0.0)
+
+
+def solve_l1_sums(sums, mu, coef, target=None, rounds: int = 60) -> np.ndarray:
+    """The same from sums(x): A' W^2 A and A' W^2 y under absolute_weights at x, or under the given ones for None."""
+    x = solve_sums(*sums(None), mu, coef, target)
     t = np.zeros(mu.shape[0]) if target is None else target
     for _ in range(rounds):
-        r, q = np.abs(w * (y - forward(lo, hi, x))), np.abs(coef * (mu @ x - t))
-        u, v = np.sqrt(w / np.maximum(r, 1e-6)) if len(w) else w, 1 / np.sqrt(np.maximum(q, 1e-6))
-        new = solve(lo, hi, y, np.where(w > 0, u, 0.0), mu * v[:, None] * math.sqrt(coef), 1.0, t * v * math.sqrt(coef))
+        v = 1 / np.sqrt(np.maximum(np.abs(coef * (mu @ x - t)), 1e-6))
+        new = solve_sums(*sums(x), mu * v[:, None] * math.sqrt(coef), 1.0, t * v * math.sqrt(coef))
         if np.abs(new - x).max() < 1e-9:
             break
         x = new
@@ -101,15 +120,67 @@ def robust_weights(residual: np.ndarray) -> np.ndarray:
     return np.ones(len(residual)) if scale == 0 else biweight(residual / scale)
 
 
-def initial_weights(error, baseline, apriori: bool, confidence: bool, decorrelation: int | None) -> np.ndarray:
-    if apriori and not (error == 1).all():
-        spread = error.max() - error.min()
-        w = error.copy() if confidence else np.ones(len(error)) if spread == 0 else 1 - (error - error.min()) / spread
+def initial_weights(error, baseline, apriori: bool, confidence: bool, decorrelation: int | None, ends: tuple | None = None) -> np.ndarray:
+    """ends: the least and the largest error of the pixel, if these are not all its observations."""
+    low, high = ends or (error.min(), error.max())
+    if apriori and not low == high == 1:
+        spread = high - low
+        w = error.copy() if confidence else np.ones(len(error)) if spread == 0 else 1 - (error - low) / spread
     else:
         w = np.ones(len(error))
     return w if decorrelation is None else w * (baseline <= decorrelation)
 
 
+def medians(parts, n: int, held: int = 1 << 18) -> np.ndarray:
+    """The median of each row of what parts() gives, pieces of n columns in all, exactly and as often as needed anew.
+
+    Up to `held` columns are put together. Of more, the bits of the two middle values are found from the highest on, by
+    counts of the values that begin like them; once few do, those are sorted."""
+    if n <= held:
+        return np.median(np.concatenate(list(parts()), axis=1), axis=1)
+    middle = ((n - 1) // 2, n // 2)
+    start: dict = {}  # of a row and rank: the bits found, how many, the rank among values that begin so, and how many do
+    for x in parts():
+        start = {(c, r): (np.uint64(0), 0, r, n) for c in range(len(x)) for r in middle}
+        break
+    while any(bits < 64 and many > held // 4 for _, bits, _, many in start.values()):
+        counts = {at: np.zeros(1 << 16, np.int64) for at in start}
+        for x in parts():
+            for c, row in enumerate(x):
+                key = _sortable(row)
+                for (own, r), (head, bits, _, _) in start.items():
+                    if own == c and bits < 64:
+                        some = key if not bits else key[key >> np.uint64(64 - bits) == head]
+                        counts[own, r] += np.bincount((some >> np.uint64(48 - bits) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        for at, (head, bits, rank, _) in start.items():
+            if bits < 64:
+                upto = np.cumsum(counts[at])
+                b = int(np.searchsorted(upto, rank, "right"))
+                start[at] = (head << np.uint64(16) | np.uint64(b), bits + 16, rank - int(upto[b] - counts[at][b]), int(counts[at][b]))
+    found: dict = {at: [] for at in start}
+    for x in parts():
+        for c, row in enumerate(x):
+            key = _sortable(row)
+            for (own, r), (head, bits, _, _) in start.items():
+                if own == c and bits < 64:
+                    found[own, r].append(row[key >> np.uint64(64 - bits) == head])
+    value = {at: np.sort(np.concatenate(found[at]))[rank] if bits < 64 else _unsorted(head) for at, (head, bits, rank, _) in start.items()}
+    return np.array([np.mean([value[c, r] for r in middle]) for c in range(len(start) // len(set(middle)))])
+
+
+_SIGN = np.uint64(1 << 63)
+
+
+def _sortable(v: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the values."""
+    key = np.ascontiguousarray(v, float).view(np.uint64)
+    return np.where(key & _SIGN, ~key, key | _SIGN)
+
+
+def _unsorted(key: np.uint64) -> float:
+    return float(np.array([key & ~_SIGN if key & _SIGN else ~key], np.uint64).view(float)[0])
+
+
 # ---- diagnostics -------------------------------------------------------------------------------------------------------
 def hat_matrix(lo, hi, w, mu, coef) -> np.ndarray:
     """Weighted observations to their fitted values: W A (A' W^2 A + coef^2 mu' mu)^-1 A' W."""

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .invert import NEEDED, Inversion, invert_frame
+from .invert import Inversion, _batch, _dates, by_pixel, invert_series
 from .series import resample_frame
 
 
@@ -20,10 +20,13 @@ def sweep(obs: DataFrame, coefs: list[float], method: str = "vvc", p: Inversion
     "ground_truth" (root mean square difference to truth). A pixel is read once for all coefficients."""
     p = p or Inversion()
 
-    def measure(pdf, other=None):
+    schema = "x double, y double, coef double, measure double"
+
+    def measure(o, pixel, other):
         rows = []
+        wanted = pd.DataFrame({"date1": _dates(other[1].astype(np.int64)), "date2": _dates(other[2].astype(np.int64)), "vx_t": other[3], "vy_t": other[4]})
         for coef in coefs:
-            ilf, _ = invert_frame(pdf, Inversion(**{**p.__dict__, "coef": float(coef)}))
+            ilf, _ = invert_series(o, pixel["x"], pixel["y"], Inversion(**{**p.__dict__, "coef": float(coef)}))
             rlf = resample_frame(ilf, interval, redundancy, option)
             v = rlf[["vx", "vy"]].to_numpy(float)
             if not len(v):
@@ -34,17 +37,18 @@ def sweep(obs: DataFrame, coefs: list[float], method: str = "vvc", p: Inversion
             elif method == "stable_ground":
                 m = float(np.sqrt((v**2).mean()))
             else:
-                joined = rlf.merge(other, on=["date1", "date2"], suffixes=("", "_t"))
+                joined = rlf.merge(wanted, on=["date1", "date2"])
                 if not len(joined):
                     continue
                 m = float(np.sqrt(((joined[["vx", "vy"]].to_numpy(float) - joined[["vx_t", "vy_t"]].to_numpy(float)) ** 2).mean()))
-            rows.append((float(pdf["x"].iloc[0]), float(pdf["y"].iloc[0]), float(coef), m))
-        return pd.DataFrame(rows, columns=["x", "y", "coef", "measure"], dtype=float)
+            rows.append((pixel["x"], pixel["y"], float(coef), m))
+        yield _batch(pd.DataFrame(rows, columns=["x", "y", "coef", "measure"], dtype=float), schema)
 
-    schema, groups = "x double, y double, coef double, measure double", obs.select(*NEEDED).groupBy("x", "y")
+    beside = None
     if method == "ground_truth":
-        return groups.cogroup(truth.select("x", "y", "date1", "date2", "vx", "vy").groupBy("x", "y")).applyInPandas(lambda a, b: measure(a, b) if len(a) else pd.DataFrame(columns=list(("x", "y", "coef", "measure")), dtype=object), schema)
-    return groups.applyInPandas(lambda pdf: measure(pdf), schema)
+        day = lambda c: F.unix_date(F.col(c).cast("date"))
+        beside = truth.select("x", "y", F.lit(0.0).alias("day"), day("date1").alias("d1"), day("date2").alias("d2"), "vx", "vy")
+    return by_pixel(obs, measure, schema, beside=beside)
 
 
 def select_coefs(measures: DataFrame, method: str = "vvc", how: str = "min-max relative", threshold: float = 95.0, mean_angle: float | None = None, mean_disp: tuple[float, float] | None = None) -> DataFrame:

@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
-from ..operators.invert import NEEDED, Inversion, invert_frame, _nulls
+from ..operators.invert import NEEDED, Inversion, invert
 
 LATE = "10 days"
 
@@ -106,7 +105,6 @@ def reinvert(store: str, p: Inversion | None = None):
         df.select(*NEEDED).write.mode("overwrite").parquet(f"{store}/obs/batch={number}")
         touched = df.select("x", "y").distinct()
         obs = spark.read.parquet(f"{store}/obs").join(touched, ["x", "y"], "left_semi")
-        out = obs.select(*NEEDED).groupBy("x", "y").applyInPandas(lambda pdf: _nulls(invert_frame(pdf, p)[0]), schema.ILF)
-        out.write.mode("overwrite").parquet(f"{store}/ilf/batch={number}")
+        invert(obs, p).write.mode("overwrite").parquet(f"{store}/ilf/batch={number}")
 
     return batch

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from firnline.functions import kernels as K
+from firnline.operators import invert
 from firnline.operators.invert import Inversion, invert_arrays
 
 DELTA = np.array([16, 16, 65, 24, 31, 64, 8, 8.0])
@@ -119,3 +120,29 @@ def test_saturation_of_a_curve_that_falls_again():
     assert gain == 0.95  # the largest, not the last
     model = gain * (1 - np.exp(-c / scale))
     assert coef == c[v > model.max() - 0.05 * (model.max() - model.min())][0]
+
+
+@pytest.mark.parametrize("p", [Inversion(regu="1", solver="LS", errors=True), Inversion(), Inversion(regu="1", solver="L1", apriori_weight=True, apriori_weight_again=True)])
+def test_blocks_in_a_file_give_the_same_series(p, monkeypatch):
+    """A pixel's observations read block by block from a file, and medians by counting: as from memory."""
+    rng = np.random.default_rng(3)
+    d1 = 12 * rng.integers(0, 12, 900)
+    d2 = d1 + 12 * rng.integers(1, 6, 900)
+    v, error = 50 + rng.normal(size=(2, 900)), rng.uniform(1, 4, (2, 900))
+    prior = np.full((2, len(np.unique([*d1, *d2])) - 1), 50.0)
+    want = invert_arrays(d1, d2, v, error, p, prior)
+    monkeypatch.setattr(invert, "BLOCK", 64)
+    monkeypatch.setattr(invert, "HELD", 1000)
+    medians = K.medians
+    monkeypatch.setattr(K, "medians", lambda parts, n: medians(parts, n, held=40))
+    got = invert_arrays(d1, d2, v, error, p, prior)
+    assert got.iterations == want.iterations
+    for name in ("x", "xcount", "weights", "first_weights", "residual", "normr") + (("error",) if p.errors else ()):
+        np.testing.assert_allclose(getattr(got, name), getattr(want, name), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_medians_by_counting_are_exact(n):
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.normal(size=n), rng.integers(-2, 3, n), np.repeat([1.0, -2.0], [n // 2, n - n // 2]), np.zeros(n)])
+    assert (K.medians(lambda: iter(np.array_split(x, 7, axis=1)), n, held=50) == np.median(x, axis=1)).all()

@@ -159,3 +159,27 @@ def test_queries_take_every_pixel_and_default_iterations(spark, sf, monkeypatch,
     got = catalogue.queries()[name](spark, sf)
     assert got.select("x", "y").distinct().count() == 40 and got.count() == catalogue.bridge.obs(spark, sf).count()
     assert [p.most_iterations for p in used] == [catalogue.V.Inversion().most_iterations]
+
+
+def test_a_worker_grows_little_with_the_observations_of_a_pixel(spark):
+    """One pixel with 600,000 observations of a few dates: the worker's memory stays far below what they take."""
+    from pyspark.sql import functions as F
+
+    from firnline.operators import invert as V
+
+    day = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), c)
+    n = F.col("id")
+    obs = spark.range(600_000).select(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), day((n % 20 * 12).cast("int")).alias("date1"), day((n % 20 * 12 + n % 3 * 12 + 12).cast("int")).alias("date2"), (50 + F.rand(1)).alias("vx"), (20 + F.rand(2)).alias("vy"), F.lit(1.0).alias("errorx"), F.lit(1.0).alias("errory"))
+
+    def used(o, pixel, other):
+        import resource
+
+        import pyarrow as pa
+
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        s = V.invert_series(o, pixel["x"], pixel["y"], V.Inversion(regu="1", solver="LS"))[1]
+        grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+        yield pa.RecordBatch.from_arrays([pa.array([float(s.n)]), pa.array([float(o.file._rolled)]), pa.array([grown / 1024])], names=["n", "rolled", "grown"])
+
+    row = V.by_pixel(obs, used, "n double, rolled double, grown double").first()
+    assert row.n == 600_000 and row.rolled and row.grown < 60
