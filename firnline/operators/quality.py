@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .network import mean_covering
 from .outliers import azimuth, speed
+from .select import where_computed
+
+#: Points of a profile up to which all executors hold it.
+POINTS = 10_000
 
 
 def mean_velocity(obs: DataFrame) -> DataFrame:
@@ -56,7 +60,10 @@ def heatmap(obs: DataFrame, profile: DataFrame, resolution: float, variable: str
     points = profile.select("distance", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"))
     for c in ("cx", "cy"):
         points = points.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
-    own = obs.select("date1", "date2", "sensor", "source", "x", "y", value.alias("v"), cell("x").alias("cx"), cell("y").alias("cy")).where("v is not null")
+    own = obs.select("date1", "date2", "sensor", "source", "x", "y", value.alias("v"), cell("x").alias("cx"), cell("y").alias("cy"))
+    own = where_computed(own, F.col("v").isNotNull())
+    if profile.limit(POINTS + 1).count() <= POINTS:  # so the observations aren't dealt by cells, of which they may have few
+        points = F.broadcast(points)
     near = own.join(points, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("px")) <= resolution) & (F.abs(F.col("y") - F.col("py")) <= resolution))
     layers = near.groupBy("distance", "date1", "date2", "sensor", "source").agg(F.avg("v").alias("v"))
     month = lambda d: F.trunc(d, "MM")

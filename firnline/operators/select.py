@@ -33,8 +33,23 @@ def pick_baseline(df: DataFrame, least: int, most: int) -> DataFrame:
     return df.where(F.col("temporal_baseline").between(least, most))
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows of df where the condition holds, tested on its columns as they are computed once.
+
+    A filter that Spark moves below them repeats their expressions, and those that they build on several times; the
+    resulting method can be too long for the JVM to compile. It isn't moved below the number of the partition."""
+    return df.withColumn("_part", F.spark_partition_id()).where(condition & (F.col("_part") >= 0)).drop("_part")
+
+
 def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=columns)
+    """Rows without NULL or NaN in any of the columns, all by default."""
+    whole = F.lit(True)
+    for name, kind in df.dtypes:
+        if columns is None or name in columns:
+            whole = whole & F.col(f"`{name}`").isNotNull()
+            if kind in ("double", "float"):
+                whole = whole & ~F.isnan(f"`{name}`")
+    return where_computed(df, whole)
 
 
 def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

@@ -183,3 +183,12 @@ def test_a_worker_grows_little_with_the_observations_of_a_pixel(spark):
 
     row = V.by_pixel(obs, used, "n double, rolled double, grown double").first()
     assert row.n == 600_000 and row.rolled and row.grown < 60
+
+
+@pytest.mark.parametrize("name", ["dropna_rows", "heatmap_mean", "heatmap_median"])
+def test_filters_do_not_compute_velocities_anew(spark, sf, name):
+    """A filter below the columns that it tests would hold their expressions, some of them several times."""
+    from firnline.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "SIN(" in line]
