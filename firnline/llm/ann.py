@@ -35,8 +35,8 @@ SAMPLE, MOST, LIST, REPLICAS, BOUNDARY = 16_384, 262_144, 400, 4, 1.08
 EARLY = 8
 #: Distances held at a time: vectors of a block times centroids.
 HELD = 1 << 20
-#: Queries that the ratio is measured on.
-PROBES = 256
+#: Queries that the ratio is measured on, and the components that vectors or queries of one task hold at most.
+PROBES, COMPONENTS = 256, 4 << 20
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -280,6 +280,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = every.where(F.size("v") == dim)
+    cap, batch = (max(1, min(x, COMPONENTS // dim)) for x in (cap, batch))
     asking = storage.keep(distinct(queries.where(F.size("v") == dim), 1), "queries")
     centroids = spark.sparkContext.broadcast(index)  # MOST / 16 at most
 
@@ -305,14 +306,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, cap: int = 8192,
 
     def choose(batches):
         for b in batches:
-            q = _matrix(b.column(1), dim)
-            found = [shared.value.walk(np.append(v / np.linalg.norm(v), 0.0), shared.value.ratio, k + 1, sizes) for v in q]
+            # a query is one row with the places of its lists: Spark sets them out, one row at a time
+            found = [shared.value.walk(np.append(v / np.linalg.norm(v), 0.0), shared.value.ratio, k + 1, sizes) for v in _matrix(b.column(1), dim)]
             if found:
-                rows = pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found]))
-                early = np.concatenate([np.arange(len(f)) < EARLY for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int32)), pa.array(early), b.column(0).take(rows), b.column(1).take(rows)], names=["list", "early", "rep", "q"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["rep", "q", "lists"])
 
-    asked = storage.keep(asking.select("rep", "v").mapInArrow(choose, "list int, early boolean, rep long, q array<double>"), "asked")
+    asked = storage.keep(asking.select("rep", "v").mapInArrow(choose, "rep long, q array<double>, lists array<int>"), "asked")
+    asked = asked.select("rep", "q", F.posexplode("lists").alias("at", "list")).select("list", (F.col("at") < EARLY).alias("early"), "rep", "q")
     times = np.zeros(len(index.c), np.int64)
     for row in asked.groupBy("list").count().collect():  # a row for each list
         times[row[0]] = row[1]
